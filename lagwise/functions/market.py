@@ -139,3 +139,48 @@ def band(x: Column, edges: Sequence[float], labels: Sequence[str], right_closed:
         inside = (x <= edge) if right_closed else (x < edge)
         out = F.when(inside, label) if out is None else out.when(inside, label)
     return F.when(x.isNotNull(), out.otherwise(labels[-1]))
+
+
+# Penalty weight of each market-match tier.
+MATCH_WEIGHTS = {
+    "tier_a_market": 1.00,
+    "tier_b_moneyline": 0.92,
+    "tier_c_mirrored": 0.80,
+    "tier_d_default": 0.65,
+    "tier_e_unknown": 0.75,
+}
+
+
+def price_tag(source: Column, price: Column) -> Column:
+    """Provenance tag of one side from its source column name and its repaired price."""
+    return (
+        F.when(source.isNull() | (source == ""), F.when(price == DEFAULT_AMERICAN, "default_-110").otherwise("mirrored"))
+        .when(F.startswith(source, F.lit("moneyline")), "moneyline")
+        .otherwise("spread_or_market")
+    )
+
+
+def match_tier(label: Column, used_default: Column) -> Column:
+    """Five match tiers from the provenance label of both sides."""
+    text = F.lower(label)
+    return (
+        F.when(F.coalesce(used_default, F.lit(False)), "tier_d_default")
+        .when(F.contains(text, F.lit("mirrored")), "tier_c_mirrored")
+        .when(F.contains(text, F.lit("moneyline")), "tier_b_moneyline")
+        .when(F.contains(text, F.lit("spread_or_market")), "tier_a_market")
+        .otherwise("tier_e_unknown")
+    )
+
+
+def match_weight(tier: Column) -> Column:
+    table = F.create_map(*[F.lit(v) for pair in MATCH_WEIGHTS.items() for v in pair])
+    return F.coalesce(F.try_element_at(table, tier), F.lit(MATCH_WEIGHTS["tier_e_unknown"]))
+
+
+def objective_score(edge: Column, ev: Column, risk: Column, median_risk: Column, kelly: Column, penalised: Column, weight: Column) -> Column:
+    """Ranking signal: expected value (else the absolute edge), divided by a risk penalty when asked for."""
+    typical = F.when(median_risk > 0, median_risk).otherwise(F.lit(1.0))
+    norm = clip(F.coalesce(F.abs(risk) / typical, F.lit(1.0)), 0.5, 3.0)
+    signal = F.when(F.coalesce(ev, F.lit(0.0)) == 0, F.coalesce(F.abs(edge), F.lit(0.0))).otherwise(ev)
+    penalty = 1.0 + weight * norm + weight * F.coalesce(kelly, F.lit(0.0))
+    return F.when(penalised, signal / penalty).otherwise(signal)

@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Latin letters with accents and the plain letter of each.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿšžčćđğıłńřśťůźżőűęąėįųūāēīōģķļņț"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyszccdgilnrstuzzoueaeiuuaeiogklnt"
+ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿšžčćďěğńňřśťůźżőűąęįųūāēīōģķļņțșțĺľŕ"
+PLAIN = "aaaaaaceeeeiiiinooooouuuuyyszccdegnnrstuzzouaeiuuaeiogklntstllr"
 
 
 def short_id(x: Column, keep_zero: bool = False) -> Column:

@@ -169,7 +169,7 @@ def quotes(events: DataFrame) -> DataFrame:
     """Price quotes per entity and market."""
     return events.select(
         F.col("event_id").alias("quote_id"), F.col("user_id").alias("entity"), F.col("event_type").alias("market"),
-        "ts", F.col("value").alias("price"), "props",
+        F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), "props",
     )
 
 
@@ -210,7 +210,7 @@ mb1 AS (SELECT *, CASE WHEN NOT in_join THEN 'unmatched' WHEN home_american IS N
   CASE WHEN h < 0 THEN 100.0 / abs(h) WHEN h > 0 THEN h / 100.0 ELSE 100.0 / 110.0 END AS payout_home,
   CASE WHEN a < 0 THEN 100.0 / abs(a) WHEN a > 0 THEN a / 100.0 ELSE 100.0 / 110.0 END AS payout_away FROM mb0),
 mb2 AS (SELECT *, 'm1' AS model, pred_m1 AS pred_ensemble FROM mb1 UNION ALL SELECT *, 'm2', pred_m2 FROM mb1),
-mb3 AS (SELECT *, 14.0 AS sigma_ensemble, pred_ensemble + spread_signed AS edge, (pred_ensemble + spread_signed) / 14.0 AS z,
+mb3 AS (SELECT *, CAST(14.0 AS DOUBLE) AS sigma_ensemble, pred_ensemble + spread_signed AS edge, (pred_ensemble + spread_signed) / 14.0 AS z,
   greatest(payout_home, 0.01) AS ph, greatest(payout_away, 0.01) AS pa FROM mb2),
 mb4 AS (SELECT *, {normal_cdf_sql('z')} AS win_prob FROM mb3),
 mb5 AS (SELECT *, win_prob * ph - (1 - win_prob) AS ev_home, (1 - win_prob) * pa - win_prob AS ev_away FROM mb4),

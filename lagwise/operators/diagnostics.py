@@ -157,10 +157,10 @@ def reliability(rows: DataFrame, p: str, y: str, bins: int = 10, keys: Sequence[
     )
 
 
-def side_ledger_summary(bets: DataFrame, ledger: DataFrame, start: float) -> DataFrame:
+def side_ledger_summary(ledger: DataFrame, start: float) -> DataFrame:
     """Per model: start, end, ROI, totals, win rate, mean edge and chosen-side EV, maximum drawdown.
 
-    ``ledger`` is the compounded form of ``bets`` with game_date and game_id.
+    ``ledger`` is a compounded bet table with game_date and game_id.
     """
     placed = F.col("bet_side") != "NONE"
     chosen = F.when(F.col("bet_side") == "HOME", F.col("ev_home")).when(F.col("bet_side") == "AWAY", F.col("ev_away"))

@@ -25,15 +25,16 @@ def cap_exposure(bets: DataFrame, keys: Sequence[str], day: str, stake: str, cap
     return bets.join(total, group).withColumn(name, F.col(stake) * scale).drop("__total")
 
 
-def stop_loss(bets: DataFrame, line: Timeline, pnl: str, limit: Column, name: str = "pnl_kept") -> DataFrame:
+def stop_loss(bets: DataFrame, line: Timeline, pnl: str, limit: Column, name: str = "pnl_kept", bounded: bool = False) -> DataFrame:
     """Zero the P&L of bets placed once the day's running P&L has reached the limit.
 
     The running P&L is frozen by the first breach, so "any earlier running sum at
-    or below the limit" is the same condition and needs no loop.
+    or below the limit" is the same condition and needs no loop. ``bounded``: a
+    day holds only a fixed number of bets (after a top-n selection).
     """
-    before = running(bets, line, {"__sum": cum_sum(F.col(pnl))})
+    before = running(bets, line, {"__sum": cum_sum(F.col(pnl))}, bounded=bounded)
     before = before.withColumn("__sum", F.coalesce("__sum", F.lit(0.0)))
-    lowest = running(before, line, {"__low": cum_min(F.col("__sum"))}, inclusive=True)
+    lowest = running(before, line, {"__low": cum_min(F.col("__sum"))}, inclusive=True, bounded=bounded)
     stopped = F.coalesce(F.col("__low") <= limit, F.lit(False))
     return lowest.withColumn(name, F.when(stopped, F.lit(0.0)).otherwise(F.col(pnl))).drop("__sum", "__low")
 
@@ -56,18 +57,19 @@ def attach_bankroll(bets: DataFrame, keys: Sequence[str], day: str, pnl: str) ->
     return bets.join(days, [*keys, day])
 
 
-def compounded(bets: DataFrame, line: Timeline, pnl: str, start: float = 1.0, floor: float | None = None, initial_peak: float | None = None) -> DataFrame:
+def compounded(bets: DataFrame, line: Timeline, pnl: str, start: float = 1.0, floor: float | None = None, initial_peak: float | None = None, bounded: bool = False) -> DataFrame:
     """Row-by-row compounded bankroll, running peak and drawdown (never above 0).
 
     ``floor`` bounds a single growth factor from below; ``initial_peak`` is a peak
-    that holds before the first row.
+    that holds before the first row. ``bounded``: the bets of a ledger are limited
+    per day, so one ledger is small.
     """
     growth = 1 + F.coalesce(F.col(pnl), F.lit(0.0))
     if floor is not None:
         growth = F.greatest(growth, F.lit(floor))
-    money = running(bets, line, {"bankroll": cum_product(growth)}, inclusive=True)
+    money = running(bets, line, {"bankroll": cum_product(growth)}, inclusive=True, bounded=bounded)
     money = money.withColumn("bankroll", F.col("bankroll") * start)
-    out = running(money, line, {"peak": cum_max(F.col("bankroll"))}, inclusive=True)
+    out = running(money, line, {"peak": cum_max(F.col("bankroll"))}, inclusive=True, bounded=bounded)
     if initial_peak is not None:
         out = out.withColumn("peak", F.greatest("peak", F.lit(initial_peak)))
     peak = F.nullif(F.col("peak"), F.lit(0.0))
@@ -109,16 +111,15 @@ def daily_volatility(daily: DataFrame, keys: Sequence[str], day: str, value: str
 
     Works on day rows: a key has at most one per calendar day.
     """
-    from lagwise.operators.ranking import attach, quantiles, with_group
-
-    frame = Window.partitionBy(*keys).orderBy(day).rowsBetween(-(window - 1), 0)
+    whole = Window.partitionBy(*keys)
+    frame = whole.orderBy(day).rowsBetween(-(window - 1), 0)
     vol = daily.withColumn("vol", F.when(F.count(value).over(frame) >= min_rows, F.stddev_samp(value).over(frame)))
-    cuts = quantiles(vol, keys, F.col("vol"), {"__ql": low, "__qh": high})
-    out = with_group(attach(vol, cuts, keys), keys, {"__n": F.count("vol")})
+    cuts = F.percentile("vol", F.array(F.lit(low), F.lit(high))).over(whole)
+    out = vol.withColumn("__cut", cuts).withColumn("__n", F.count("vol").over(whole))
     label = (
         F.when((F.col("__n") < min_valid) | F.col("vol").isNull(), "unknown_vol")
-        .when(F.col("vol") <= F.col("__ql"), "low_vol")
-        .when(F.col("vol") <= F.col("__qh"), "mid_vol")
+        .when(F.col("vol") <= F.col("__cut")[0], "low_vol")
+        .when(F.col("vol") <= F.col("__cut")[1], "mid_vol")
         .otherwise("high_vol")
     )
-    return out.withColumn("vol_bucket", label).drop("__ql", "__qh", "__n")
+    return out.withColumn("vol_bucket", label).drop("__cut", "__n")

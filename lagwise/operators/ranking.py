@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagwise.functions.numeric import value_bucket
-from lagwise.operators.timeline import Timeline, cum_sum, positions, running
+from lagwise.operators.timeline import Timeline, cum_count, cum_sum, running
 
 _ONE = "__one"
 
@@ -29,13 +29,19 @@ def top_n(df: DataFrame, keys: Sequence[str], order: Sequence, n: int, rank: str
     return out.withColumnRenamed("__rn", rank) if rank else out.drop("__rn")
 
 
-def group_rank(df: DataFrame, keys: Sequence[str], metric: Column, tie: Sequence, name: str, descending: bool = True) -> DataFrame:
-    """One-based rank of every row in its group, nulls last, ties by ``tie``."""
+def _ranked(df: DataFrame, keys: Sequence[str], metric: Column, tie: Sequence, name: str, descending: bool, size: str | None) -> DataFrame:
     rows = df.withColumn("__m", metric.cast("double"))
     order = F.col("__m").desc_nulls_last() if descending else F.col("__m").asc_nulls_last()
     bucket = value_bucket(-F.col("__m") if descending else F.col("__m"))
     line = Timeline(keys, (order, *tie), F.when(F.col("__m").isNull(), F.lit(100_000)).otherwise(bucket))
-    return positions(rows, line, name).withColumn(name, (F.col(name) + 1).cast("bigint")).drop("__m")
+    overall = {size: cum_count(F.col("__m"))} if size else None
+    out = running(rows, line, {name: cum_count()}, overall=overall)
+    return out.withColumn(name, (F.col(name) + 1).cast("bigint")).drop("__m")
+
+
+def group_rank(df: DataFrame, keys: Sequence[str], metric: Column, tie: Sequence, name: str, descending: bool = True) -> DataFrame:
+    """One-based rank of every row in its group, nulls last, ties by ``tie``."""
+    return _ranked(df, keys, metric, tie, name, descending, None)
 
 
 def equal_count_bins(df: DataFrame, keys: Sequence[str], metric: Column, tie: Sequence, q: int, name: str, label: str) -> DataFrame:
@@ -44,13 +50,11 @@ def equal_count_bins(df: DataFrame, keys: Sequence[str], metric: Column, tie: Se
     The bins are the right-closed intervals between equally spaced ranks, which
     differ from ``ntile`` in where the remainder rows go.
     """
-    known = df.where(metric.isNotNull())
-    ranked = group_rank(known, keys, metric, tie, "__r", descending=False)
-    ranked = with_group(ranked, keys, {"__n": F.count(F.lit(1))})
+    ranked = _ranked(df, keys, metric, tie, "__r", False, "__n")
     step = F.ceil((F.col("__r") - 1) * q / F.nullif(F.col("__n") - 1, F.lit(0)))
     bin_no = F.greatest(F.coalesce(step, F.lit(1)), F.lit(1)).cast("int")
-    ranked = ranked.withColumn(name, F.concat(F.lit(label), bin_no.cast("string"))).drop("__r", "__n")
-    return ranked.unionByName(df.where(metric.isNull()).withColumn(name, F.lit(None).cast("string")))
+    text = F.when(F.col("__r") <= F.col("__n"), F.concat(F.lit(label), bin_no.cast("string")))
+    return ranked.withColumn(name, text).drop("__r", "__n")
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: Column, probs: dict[str, float]) -> DataFrame:
@@ -59,15 +63,11 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: Column, probs: dict[str
     Values are counted first; the distinct values are then accumulated in order,
     bucket by bucket, so no group is sorted or held in one task.
     """
-    group = list(keys) or [_ONE]
     rows = df.select(*keys, value.cast("double").alias("__v")).where("__v IS NOT NULL")
-    if not keys:
-        rows = rows.withColumn(_ONE, F.lit(1))
-    counts = rows.groupBy(*group, "__v").agg(F.count(F.lit(1)).alias("__n"))
-    placed = running(counts, Timeline(group, "__v", value_bucket(F.col("__v"))), {"__b": cum_sum(F.col("__n"))})
-    placed = placed.withColumn("__b", F.coalesce("__b", F.lit(0)))
-    totals = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("__t"))
-    j = placed.join(totals, group)
+    counts = rows.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n"))
+    line = Timeline(tuple(keys), "__v", value_bucket(F.col("__v")))
+    size = cum_sum(F.col("__n"))
+    j = running(counts, line, {"__b": size}, overall={"__t": size}).withColumn("__b", F.coalesce("__b", F.lit(0)))
 
     def at(rank: Column) -> Column:
         here = (F.col("__b") <= rank) & (rank < F.col("__b") + F.col("__n"))
@@ -78,9 +78,9 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: Column, probs: dict[str
         h = (F.col("__t") - 1) * F.lit(float(p))
         picks += [at(F.floor(h)).alias(f"__lo_{name}"), at(F.ceil(h)).alias(f"__hi_{name}")]
         lo, hi = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
-        hh = (F.col("__n_all") - 1) * F.lit(float(p))
+        hh = (F.col("__all") - 1) * F.lit(float(p))
         outs.append((lo + (hi - lo) * (hh - F.floor(hh))).alias(name))
-    out = j.groupBy(*group).agg(F.max("__t").alias("__n_all"), *picks)
+    out = (j.groupBy(*keys) if keys else j).agg(F.max("__t").alias("__all"), *picks)
     return out.select(*keys, *outs)
 
 

@@ -102,22 +102,50 @@ def cum_product(expr: Column) -> Cumulative:
     return Cumulative("product", expr)
 
 
-def running(df: DataFrame, line: Timeline, aggs: dict[str, Cumulative], inclusive: bool = False) -> DataFrame:
-    """Add cumulative aggregates over all earlier rows (and this one if ``inclusive``)."""
+def running(
+    df: DataFrame,
+    line: Timeline,
+    aggs: dict[str, Cumulative],
+    inclusive: bool = False,
+    overall: dict[str, Cumulative] | None = None,
+    bounded: bool = False,
+) -> DataFrame:
+    """Add cumulative aggregates over all earlier rows (and this one if ``inclusive``).
+
+    ``overall`` adds aggregates over the whole entity; they come from the bucket
+    table at no extra cost. ``bounded`` declares that no entity can have many rows
+    (for example a top-n per day over a calendar): then one plain window is used
+    and the input is read once. The input is read twice otherwise, so materialise
+    an expensive input first.
+    """
+    overall = overall or {}
+    upto = 0 if inclusive else -1
+    kept = [c for c in df.columns if c not in aggs and c not in overall]
+    if bounded:
+        whole = Window.partitionBy(*line.keys)
+        frame = whole.orderBy(*line.order).rowsBetween(Window.unboundedPreceding, upto)
+        zero = F.lit(0)
+        return df.select(
+            *kept,
+            *[(F.coalesce(a.aggregate().over(frame), zero) if a.kind == "count" else a.aggregate().over(frame)).alias(n) for n, a in aggs.items()],
+            *[a.aggregate().over(whole).alias(n) for n, a in overall.items()],
+        )
     group = [*line.keys, _BUCKET]
     rows = df.withColumn(_BUCKET, line.bucket)
-    totals = rows.groupBy(*group).agg(*[a.aggregate().alias(f"__t_{n}") for n, a in aggs.items()])
-    earlier = Window.partitionBy(*line.keys).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(*group, *[a.accumulate(F.col(f"__t_{n}")).over(earlier).alias(f"__c_{n}") for n, a in aggs.items()])
-    inside = (
-        Window.partitionBy(*group)
-        .orderBy(*line.order)
-        .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    totals = rows.groupBy(*group).agg(*[a.aggregate().alias(f"__t_{n}") for n, a in {**aggs, **overall}.items()])
+    buckets = Window.partitionBy(*line.keys)
+    earlier = buckets.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(
+        *group,
+        *[a.accumulate(F.col(f"__t_{n}")).over(earlier).alias(f"__c_{n}") for n, a in aggs.items()],
+        *[a.accumulate(F.col(f"__t_{n}")).over(buckets).alias(f"__o_{n}") for n, a in overall.items()],
     )
+    inside = Window.partitionBy(*group).orderBy(*line.order).rowsBetween(Window.unboundedPreceding, upto)
     local = rows.select("*", *[a.aggregate().over(inside).alias(f"__l_{n}") for n, a in aggs.items()])
-    kept = [c for c in df.columns if c not in aggs]
     return local.join(carry, group, "left").select(
-        *kept, *[a.merge(F.col(f"__c_{n}"), F.col(f"__l_{n}")).alias(n) for n, a in aggs.items()]
+        *kept,
+        *[a.merge(F.col(f"__c_{n}"), F.col(f"__l_{n}")).alias(n) for n, a in aggs.items()],
+        *[F.col(f"__o_{n}").alias(n) for n in overall],
     )
 
 

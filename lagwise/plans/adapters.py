@@ -153,16 +153,16 @@ def predictions(g: DataFrame) -> DataFrame:
         (F.col("score_home") - F.col("score_away")).alias("home_margin"),
         F.col("home_handicap").alias("spread_signed"),
         (1 + F.floor(F.col("d") / 300)).cast("int").alias("fold"),
-        ((gid * 37 + F.col("d")) % 61 / 2.0 - 15.0 + (F.col("score_home") - F.col("score_away")) / 4.0).alias("pred_m1"),
-        ((gid * 53 + F.col("d")) % 47 / 2.0 - 11.5 + (F.col("score_home") - F.col("score_away")) / 8.0).alias("pred_m2"),
+        ((gid * 37 + F.col("d")) % 61 / 2.0 - 15.0 + (F.col("score_home") - F.col("score_away")) / 16.0).alias("pred_m1"),
+        ((gid * 53 + F.col("d")) % 47 / 2.0 - 11.5 + (F.col("score_home") - F.col("score_away")) / 32.0).alias("pred_m2"),
     )
 
 
 PREDICTIONS = GAMES + """,
 predictions AS (SELECT game_id, game_date, season, d, home, away, score_home - score_away AS home_margin,
   home_handicap AS spread_signed, CAST(1 + floor(d / 300) AS INTEGER) AS fold,
-  CAST((game_id * 37 + d) % 61 AS DOUBLE) / 2.0 - 15.0 + (score_home - score_away) / 4.0 AS pred_m1,
-  CAST((game_id * 53 + d) % 47 AS DOUBLE) / 2.0 - 11.5 + (score_home - score_away) / 8.0 AS pred_m2 FROM games)"""
+  CAST((game_id * 37 + d) % 61 AS DOUBLE) / 2.0 - 15.0 + (score_home - score_away) / 16.0 AS pred_m1,
+  CAST((game_id * 53 + d) % 47 AS DOUBLE) / 2.0 - 11.5 + (score_home - score_away) / 32.0 AS pred_m2 FROM games)"""
 
 
 def quotes(events: DataFrame) -> DataFrame:

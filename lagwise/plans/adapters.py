@@ -15,7 +15,7 @@ from lagwise.operators.sets import team_view
 
 EPOCH = "1995-01-01"
 DAY_STEP = (1, 7, 11, 13, 17, 19, 23, 29)
-EV_THRESHOLD, KELLY_FRACTION, KELLY_CAP = 0.02, 0.25, 0.02
+EV_THRESHOLD, KELLY_FRACTION, KELLY_CAP = 0.02, 0.05, 0.005
 
 
 def games(orders: DataFrame) -> DataFrame:

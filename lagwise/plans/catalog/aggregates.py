@@ -283,10 +283,10 @@ def top_report(s):
 
 @query(
     "settlement", "M-05 M-06",
-    f"""WITH {MODEL_BETS} SELECT model, game_id, bet_side, covered, round(win_prob, 6) AS win_prob, round(ev_home, 6) AS ev_home, round(ev_away, 6) AS ev_away, round(kelly, 6) AS kelly, round(pnl, 6) AS pnl FROM mb""",
+    f"""WITH {MODEL_BETS} SELECT model, game_id, bet_side, covered, round(win_prob, 6) AS win_prob, round(ev_home, 6) AS ev_home, round(ev_away, 6) AS ev_away, round(kelly, 12) AS kelly, round(pnl, 12) AS pnl FROM mb""",
 )
 def settlement(s):
-    return s.model_bets.select("model", "game_id", "bet_side", "covered", *[r6(c).alias(c) for c in ("win_prob", "ev_home", "ev_away", "kelly", "pnl")])
+    return s.model_bets.select("model", "game_id", "bet_side", "covered", *[r6(c).alias(c) for c in ("win_prob", "ev_home", "ev_away")], *[F.round(c, 12).alias(c) for c in ("kelly", "pnl")])
 
 
 @query(

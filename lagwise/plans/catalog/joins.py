@@ -244,16 +244,16 @@ def feature_match_report(s):
 
 
 STRATEGIES = [
-    {"strategy_id": "R0", "kelly_scale": 1.0, "kelly_cap": 0.10, "top_n": 2, "exposure": 0.25, "penalised": False, "weight": 0.0, "skip_default": False, "tiers": None, "max_daily_loss": None, "min_edge": 0.0},
-    {"strategy_id": "R1", "kelly_scale": 0.5, "kelly_cap": 0.05, "top_n": 3, "exposure": 0.10, "penalised": True, "weight": 0.5, "skip_default": True, "tiers": None, "max_daily_loss": None, "min_edge": 1.0},
-    {"strategy_id": "R2", "kelly_scale": 0.5, "kelly_cap": 0.05, "top_n": 5, "exposure": 0.05, "penalised": True, "weight": 1.0, "skip_default": False, "tiers": ["matched", "mirrored"], "max_daily_loss": -0.02, "min_edge": 0.0},
+    {"strategy_id": "R0", "kelly_scale": 0.1, "kelly_cap": 0.01, "top_n": 2, "exposure": 0.015, "penalised": False, "weight": 0.0, "skip_default": False, "tiers": None, "max_daily_loss": None, "min_edge": 0.0},
+    {"strategy_id": "R1", "kelly_scale": 0.05, "kelly_cap": 0.005, "top_n": 3, "exposure": 0.01, "penalised": True, "weight": 0.5, "skip_default": True, "tiers": None, "max_daily_loss": None, "min_edge": 1.0},
+    {"strategy_id": "R2", "kelly_scale": 0.05, "kelly_cap": 0.005, "top_n": 5, "exposure": 0.008, "penalised": True, "weight": 1.0, "skip_default": False, "tiers": ["matched", "mirrored"], "max_daily_loss": -0.003, "min_edge": 0.0},
 ]
 
 
 @query(
     "parameter_rows", "J-20 R-20",
-    f"""WITH {MODEL_BETS}, s AS (SELECT * FROM (VALUES ('R0', 1.0, 0.10, 2), ('R1', 0.5, 0.05, 3), ('R2', 0.5, 0.05, 5)) v(strategy_id, kelly_scale, kelly_cap, top_n))
-SELECT strategy_id, model, count(*) AS rows, round(sum(least(kelly * kelly_scale, kelly_cap)), 6) AS staked FROM mb, s GROUP BY 1, 2""",
+    f"""WITH {MODEL_BETS}, s AS (SELECT * FROM (VALUES ('R0', 0.1, 0.01, 2), ('R1', 0.05, 0.005, 3), ('R2', 0.05, 0.005, 5)) v(strategy_id, kelly_scale, kelly_cap, top_n))
+SELECT strategy_id, model, count(*) AS rows, round(sum(least(kelly * kelly_scale, CAST(kelly_cap AS DOUBLE))), 6) AS staked FROM mb, s GROUP BY 1, 2""",
 )
 def parameter_rows(s):
     j = joins.with_parameters(s.model_bets, STRATEGIES)

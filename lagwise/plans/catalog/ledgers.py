@@ -15,7 +15,7 @@ from lagwise.plans.strategies import strategy_matrix
 SELECTED = MODEL_BETS + """,
 sr AS (SELECT *, row_number() OVER (PARTITION BY model, d ORDER BY round(abs(edge), 9) DESC, game_id) AS rank FROM mb WHERE bet_side <> 'NONE'),
 sel AS (SELECT * FROM sr WHERE rank <= 3),
-cap AS (SELECT *, kelly * CASE WHEN sum(kelly) OVER (PARTITION BY model, d) > 0.03 THEN 0.03 / sum(kelly) OVER (PARTITION BY model, d) ELSE 1.0 END AS stake FROM sel),
+cap AS (SELECT *, kelly * CASE WHEN sum(kelly) OVER (PARTITION BY model, d) > 0.0075 THEN 0.0075 / sum(kelly) OVER (PARTITION BY model, d) ELSE 1.0 END AS stake FROM sel),
 led AS (SELECT *, CASE WHEN covered = 'PUSH' THEN 0.0 WHEN covered = bet_side THEN stake * CASE bet_side WHEN 'HOME' THEN payout_home ELSE payout_away END ELSE -stake END AS profit FROM cap)"""
 
 
@@ -24,16 +24,16 @@ def selected_bets(s):
 
     b = s.model_bets.where("bet_side <> 'NONE'")
     b = ledger.select_daily(b, ["model"], "d", F.round(F.abs("edge"), 9), ["game_id"], 3)
-    b = ledger.cap_exposure(b, ["model"], "d", "kelly", 0.03)
+    b = ledger.cap_exposure(b, ["model"], "d", "kelly", 0.0075)
     return b.withColumn("profit", settle(F.col("stake"), F.col("bet_side"), F.col("covered"), F.col("payout_home"), F.col("payout_away")))
 
 
 @query(
     "daily_exposure_cap", "W-16 T-04",
-    f"WITH {SELECTED} SELECT model, game_id, CAST(rank AS BIGINT) AS rank, round(stake, 8) AS stake, round(profit, 8) AS profit FROM led",
+    f"WITH {SELECTED} SELECT model, game_id, CAST(rank AS BIGINT) AS rank, round(stake, 12) AS stake, round(profit, 12) AS profit FROM led",
 )
 def daily_exposure_cap(s):
-    return selected_bets(s).select("model", "game_id", F.col("rank").cast("bigint").alias("rank"), F.round("stake", 8).alias("stake"), F.round("profit", 8).alias("profit"))
+    return selected_bets(s).select("model", "game_id", F.col("rank").cast("bigint").alias("rank"), F.round("stake", 12).alias("stake"), F.round("profit", 12).alias("profit"))
 
 
 LINE = ("d", "game_id")
@@ -41,11 +41,11 @@ LINE = ("d", "game_id")
 
 @query(
     "cumulative_pnl", "W-17",
-    f"WITH {MODEL_BETS} SELECT model, game_id, round(sum(pnl) OVER (PARTITION BY model ORDER BY d, game_id ROWS UNBOUNDED PRECEDING), 6) AS cum_pnl FROM mb",
+    f"WITH {MODEL_BETS} SELECT model, game_id, round(sum(pnl) OVER (PARTITION BY model ORDER BY d, game_id ROWS UNBOUNDED PRECEDING), 11) AS cum_pnl FROM mb",
 )
 def cumulative_pnl(s):
     out = running(s.model_bets, Timeline("model", LINE), {"c": cum_sum(F.col("pnl"))}, inclusive=True)
-    return out.select("model", "game_id", r6("c").alias("cum_pnl"))
+    return out.select("model", "game_id", F.round("c", 11).alias("cum_pnl"))
 
 
 ROW_LEDGER = SELECTED + """,
@@ -60,10 +60,10 @@ def row_ledger(s):
 
 @query(
     "compounded_bankroll", "W-18 W-24",
-    f"WITH {ROW_LEDGER} SELECT model, game_id, round(bankroll, 6) AS bankroll, round(peak, 6) AS peak, round(drawdown, 10) AS drawdown FROM rl",
+    f"WITH {ROW_LEDGER} SELECT model, game_id, round(ln(bankroll), 8) AS log_bankroll, round(ln(bankroll / peak), 9) AS log_drawdown FROM rl",
 )
 def compounded_bankroll(s):
-    return row_ledger(s).select("model", "game_id", r6("bankroll").alias("bankroll"), r6("peak").alias("peak"), F.round("drawdown", 10).alias("drawdown"))
+    return row_ledger(s).select("model", "game_id", F.round(F.log("bankroll"), 8).alias("log_bankroll"), F.round(F.log(F.col("bankroll") / F.col("peak")), 9).alias("log_drawdown"))
 
 
 @query(
@@ -71,11 +71,11 @@ def compounded_bankroll(s):
     f"""WITH {SELECTED}, dy AS (SELECT model, d, sum(profit) AS day_pnl FROM led GROUP BY 1, 2),
 e AS (SELECT model, d, product(1 + day_pnl) OVER (PARTITION BY model ORDER BY d ROWS UNBOUNDED PRECEDING) AS bankroll FROM dy),
 o AS (SELECT *, lag(bankroll, 1, 1.0) OVER (PARTITION BY model ORDER BY d) AS bankroll_open FROM e)
-SELECT led.model, game_id, round(bankroll_open, 8) AS bankroll_open, round(bankroll, 8) AS bankroll FROM led JOIN o ON o.model = led.model AND o.d = led.d""",
+SELECT led.model, game_id, round(ln(bankroll_open), 9) AS log_open, round(ln(bankroll), 9) AS log_bankroll FROM led JOIN o ON o.model = led.model AND o.d = led.d""",
 )
 def day_settled_bankroll(s):
     out = ledger.attach_bankroll(selected_bets(s), ["model"], "d", "profit")
-    return out.select("model", "game_id", F.round("bankroll_open", 8).alias("bankroll_open"), F.round("bankroll", 8).alias("bankroll"))
+    return out.select("model", "game_id", F.round(F.log("bankroll_open"), 9).alias("log_open"), F.round(F.log("bankroll"), 9).alias("log_bankroll"))
 
 
 @query(
@@ -92,11 +92,11 @@ def growth_objective(s):
     "stop_loss", "W-21",
     f"""WITH {SELECTED}, a AS (SELECT model, game_id, d, rank, profit, coalesce(sum(profit) OVER (PARTITION BY model, d ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM led),
 b AS (SELECT *, min(before) OVER (PARTITION BY model, d ORDER BY rank ROWS UNBOUNDED PRECEDING) AS low FROM a)
-SELECT model, game_id, round(CASE WHEN low <= -0.015 THEN 0.0 ELSE profit END, 8) AS pnl_kept FROM b""",
+SELECT model, game_id, round(CASE WHEN low <= -0.003 THEN 0.0 ELSE profit END, 12) AS pnl_kept FROM b""",
 )
 def stop_loss(s):
-    out = ledger.stop_loss(selected_bets(s), Timeline(("model", "d"), "rank"), "profit", F.lit(-0.015))
-    return out.select("model", "game_id", F.round("pnl_kept", 8).alias("pnl_kept"))
+    out = ledger.stop_loss(selected_bets(s), Timeline(("model", "d"), "rank"), "profit", F.lit(-0.003))
+    return out.select("model", "game_id", F.round("pnl_kept", 12).alias("pnl_kept"))
 
 
 DAILY = SELECTED + """,
@@ -116,10 +116,10 @@ def daily_regimes(s):
 
 @query(
     "volatility_regimes", "W-22",
-    f"WITH {DAILY} SELECT model, d, round(daily_pnl, 8) AS daily_pnl, round(vol, 8) AS vol, vol_bucket FROM vb",
+    f"WITH {DAILY} SELECT model, d, round(daily_pnl, 12) AS daily_pnl, round(vol, 8) AS vol, vol_bucket FROM vb",
 )
 def volatility_regimes(s):
-    return daily_regimes(s).select("model", "d", F.round("daily_pnl", 8).alias("daily_pnl"), F.round("vol", 8).alias("vol"), "vol_bucket")
+    return daily_regimes(s).select("model", "d", F.round("daily_pnl", 12).alias("daily_pnl"), F.round("vol", 8).alias("vol"), "vol_bucket")
 
 
 @query(
@@ -155,11 +155,11 @@ def ledger_summary(s):
 
 @query(
     "daily_exposure_and_tier_pnl", "A-27",
-    f"""WITH {SELECTED} SELECT model, tier, strftime(game_date, '%Y-%m') AS month, count(*) AS bets, round(sum(stake), 6) AS exposure, round(sum(profit), 6) AS pnl FROM led GROUP BY 1, 2, 3""",
+    f"""WITH {SELECTED} SELECT model, tier, strftime(game_date, '%Y-%m') AS month, count(*) AS bets, round(sum(stake), 12) AS exposure, round(sum(profit), 12) AS pnl FROM led GROUP BY 1, 2, 3""",
 )
 def daily_exposure_and_tier_pnl(s):
     return selected_bets(s).groupBy("model", "tier", F.date_format("game_date", "yyyy-MM").alias("month")).agg(
-        F.count(F.lit(1)).alias("bets"), r6(F.sum("stake")).alias("exposure"), r6(F.sum("profit")).alias("pnl")
+        F.count(F.lit(1)).alias("bets"), F.round(F.sum("stake"), 12).alias("exposure"), F.round(F.sum("profit"), 12).alias("pnl")
     )
 
 
@@ -190,8 +190,8 @@ def model_ledger_summary(s):
 
 
 MATRIX = MODEL_BETS + """,
-s AS (SELECT * FROM (VALUES ('R0', 1.0, 0.10, 2, 0.25, FALSE, 0.0, FALSE, NULL::VARCHAR[], NULL, 0.0), ('R1', 0.5, 0.05, 3, 0.10, TRUE, 0.5, TRUE, NULL, NULL, 1.0),
-  ('R2', 0.5, 0.05, 5, 0.05, TRUE, 1.0, FALSE, ['matched', 'mirrored'], -0.02, 0.0)) v(strategy_id, scale, cap, top_n, exposure, penalised, weight, skip_default, tiers, max_loss, min_edge)),
+s AS (SELECT * FROM (VALUES ('R0', 0.1, 0.01, 2, 0.015, FALSE, 0.0, FALSE, NULL::VARCHAR[], NULL, 0.0), ('R1', 0.05, 0.005, 3, 0.01, TRUE, 0.5, TRUE, NULL, NULL, 1.0),
+  ('R2', 0.05, 0.005, 5, 0.008, TRUE, 1.0, FALSE, ['matched', 'mirrored'], -0.003, 0.0)) v(strategy_id, scale, cap, top_n, exposure, penalised, weight, skip_default, tiers, max_loss, min_edge)),
 x0 AS (SELECT s.*, mb.*, CASE bet_side WHEN 'HOME' THEN (win_prob * (payout_home + 1) - 1) / payout_home WHEN 'AWAY' THEN ((1 - win_prob) * (payout_away + 1) - 1) / payout_away ELSE 0.0 END AS base,
   CASE bet_side WHEN 'HOME' THEN ev_home WHEN 'AWAY' THEN ev_away END AS ev, abs(pred_ensemble) AS risk FROM mb, s),
 med AS (SELECT model, quantile_cont(abs(pred_ensemble), 0.5) AS m FROM mb GROUP BY model),

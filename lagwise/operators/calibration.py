@@ -16,44 +16,51 @@ MIN_ROWS = 250
 
 
 def fold_losses(rows: DataFrame, fold: str, loss: Callable[[Column], Column], candidates: Sequence[float]) -> list[dict]:
-    """Summed loss of every candidate per fold, and the fold's row count.
+    """Summed loss per (fold, candidate) and the rows behind it.
 
-    All candidates are columns of one aggregation, so the rows are read once and
-    nothing but partial sums is shuffled. The result has one row per fold.
+    The candidates are exploded next to each row and summed on the map side, so
+    only one partial sum per (fold, candidate) is shuffled.
     """
-    cells = rows.groupBy(fold).agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(loss(F.lit(float(c)))).alias(f"c{i}") for i, c in enumerate(candidates)]
-    )
+    grid = F.posexplode(F.array(*[F.lit(float(c)) for c in candidates])).alias("i", "c")
+    cells = rows.select("*", grid).groupBy(fold, "i").agg(F.count(F.lit(1)).alias("n"), F.sum(loss(F.col("c"))).alias("loss"))
     return [r.asDict() for r in cells.collect()]
 
 
 def fit_by_earlier_folds(
     rows: DataFrame, fold: str, folds: Sequence[int], loss: Callable[[Column], Column], low: float, high: float,
-    points: int = 25, rounds: int = 4, min_rows: int = MIN_ROWS,
+    points: int = 17, rounds: int = 4, min_rows: int = MIN_ROWS,
 ) -> dict[int, float | None]:
     """Per fold, the parameter in [low, high] with the least mean loss over the earlier folds.
 
     Coarse-to-fine search: each round is one aggregation over the rows for all folds
-    together. Folds with fewer than ``min_rows`` earlier rows get None.
+    together. Folds with fewer than ``min_rows`` earlier rows get None. Only a table
+    of folds x candidates reaches the driver.
     """
     ratio = (high / low) ** (1 / (points - 1))
     grids = {f: [low * ratio**i for i in range(points)] for f in folds}
     best: dict[int, float | None] = {}
-    for _ in range(rounds):
-        candidates = sorted({c for g in grids.values() for c in g})
-        index = {c: i for i, c in enumerate(candidates)}
-        table = fold_losses(rows, fold, loss, candidates)
-        for f in list(grids):
-            earlier = [r for r in table if r[fold] < f]
-            if sum(r["n"] for r in earlier) < min_rows:
-                best[f] = None
-                grids.pop(f)
-                continue
-            totals = {c: math.fsum(r[f"c{index[c]}"] for r in earlier) for c in grids[f]}
-            best[f] = min(totals, key=lambda c: (totals[c], c))
-            at = grids[f].index(best[f])
-            a, b = grids[f][max(at - 1, 0)], grids[f][min(at + 1, len(grids[f]) - 1)]
-            grids[f] = [a + (b - a) * i / 8 for i in range(9)]
+    rows = rows.persist()
+    try:
+        for _ in range(rounds):
+            candidates = sorted({c for g in grids.values() for c in g})
+            if not candidates:
+                break
+            table = fold_losses(rows, fold, loss, candidates)
+            sizes = {r[fold]: r["n"] for r in table}
+            losses = {(r[fold], candidates[r["i"]]): r["loss"] for r in table}
+            for f in list(grids):
+                earlier = [e for e in sizes if e < f]
+                if sum(sizes[e] for e in earlier) < min_rows:
+                    best[f] = None
+                    grids.pop(f)
+                    continue
+                totals = {c: math.fsum(losses[e, c] for e in earlier) for c in grids[f]}
+                best[f] = min(totals, key=lambda c: (totals[c], c))
+                at = grids[f].index(best[f])
+                a, b = grids[f][max(at - 1, 0)], grids[f][min(at + 1, len(grids[f]) - 1)]
+                grids[f] = [a + (b - a) * i / 8 for i in range(9)]
+    finally:
+        rows.unpersist()
     return best
 
 

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from lagwise.plans.catalog import aggregates, cleaning, documents, joins, learning, ledgers, windows  # noqa: F401
+from lagwise.plans.catalog import aggregates, cleaning, documents, joins, learning, ledgers, reports, windows  # noqa: F401
 from lagwise.plans.registry import REGISTRY
 
 __all__ = ["REGISTRY"]

@@ -75,12 +75,11 @@ def choose_side(ev_home: Column, ev_away: Column, threshold: float) -> Column:
     return F.when(ev_home > threshold, "HOME").when(ev_away > threshold, "AWAY").otherwise("NONE")
 
 
-def kelly_stake(p_home: Column, side: Column, payout_home: Column, payout_away: Column, fraction: float | Column = 1.0, cap: float | Column = 1.0) -> Column:
-    """Fractional Kelly stake of the chosen side, inside [0, cap]."""
+def kelly_fraction(p_home: Column, side: Column, payout_home: Column, payout_away: Column) -> Column:
+    """Full Kelly fraction of the chosen side (may be negative); no side is 0."""
     home = (p_home * (payout_home + 1) - 1) / payout_home
     away = ((1 - p_home) * (payout_away + 1) - 1) / payout_away
-    raw = F.when(side == "HOME", home).when(side == "AWAY", away).otherwise(F.lit(0.0))
-    return clip(raw * fraction, 0.0, cap)
+    return F.when(side == "HOME", home).when(side == "AWAY", away).otherwise(F.lit(0.0))
 
 
 def priced_bets(df, ev_threshold: float, fraction: float, cap: float):
@@ -92,7 +91,7 @@ def priced_bets(df, ev_threshold: float, fraction: float, cap: float):
     sigma = F.coalesce(F.nullif(F.col("sigma_ensemble"), F.lit(0.0)), F.lit(1.0))
     df = df.withColumn("edge", F.col("pred_ensemble") + F.col("spread_signed"))
     df = df.withColumn("z", F.col("edge") / sigma).withColumn("win_prob", normal_cdf(F.col("z")))
-    df = df.withColumn("ph", clip(F.col("payout_home"), 0.01)).withColumn("pa", clip(F.col("payout_away"), 0.01))
+    df = df.withColumns({"ph": clip(F.col("payout_home"), 0.01), "pa": clip(F.col("payout_away"), 0.01)})
     ev_home, ev_away = expected_values(F.col("win_prob"), F.col("ph"), F.col("pa"))
     df = df.withColumn("ev_home", ev_home).withColumn("ev_away", ev_away)
     side = choose_side(F.col("ev_home"), F.col("ev_away"), ev_threshold)
@@ -100,7 +99,8 @@ def priced_bets(df, ev_threshold: float, fraction: float, cap: float):
         if flag in df.columns:
             side = F.when(F.coalesce(F.col(flag), F.lit(False)), side).otherwise(F.lit("NONE"))
     df = df.withColumn("bet_side", side)
-    return df.withColumn("kelly", kelly_stake(F.col("win_prob"), F.col("bet_side"), F.col("ph"), F.col("pa"), fraction, cap)).drop("z")
+    df = df.withColumn("raw", kelly_fraction(F.col("win_prob"), F.col("bet_side"), F.col("ph"), F.col("pa")) * fraction)
+    return df.withColumn("kelly", clip(F.col("raw"), 0.0, cap)).drop("z", "raw")
 
 
 def covered_side(home_margin: Column, handicap: Column) -> Column:

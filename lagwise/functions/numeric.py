@@ -88,11 +88,6 @@ def logistic(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
-def softplus(x: Column) -> Column:
-    """log(1 + exp(x)) without overflow."""
-    return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
-
-
 def signed_square(x: Column) -> Column:
     return F.signum(x) * x * x
 

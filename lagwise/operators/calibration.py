@@ -3,49 +3,52 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lagwise.functions.numeric import clip, normal_cdf, softplus
+from lagwise.functions.numeric import clip, normal_cdf
 from lagwise.operators.ranking import attach, edge_bin, quantile_edges, with_group
 
 NO_BET_MULTIPLIER = 100.0
 MIN_ROWS = 250
 
 
-def fold_losses(rows: DataFrame, fold: str, loss: Callable[[Column], Column], candidates: Sequence[float]) -> list[dict]:
-    """Summed loss per (fold, candidate) and the rows behind it.
+def fold_losses(rows: DataFrame, fold: str, candidates: Sequence[float], floor: float) -> list[dict]:
+    """Summed probit loss per (fold, candidate) and the rows behind it.
 
     The candidates are exploded next to each row and summed on the map side, so
     only one partial sum per (fold, candidate) is shuffled.
     """
     grid = F.posexplode(F.array(*[F.lit(float(c)) for c in candidates])).alias("i", "c")
-    cells = rows.select("*", grid).groupBy(fold, "i").agg(F.count(F.lit(1)).alias("n"), F.sum(loss(F.col("c"))).alias("loss"))
-    return [r.asDict() for r in cells.collect()]
+    cells = rows.select(fold, "x", "y", grid).withColumn("z", F.col("x") / F.col("c"))
+    cells = cells.withColumn("p", normal_cdf(F.col("z"))).withColumn("q", clip(F.col("p"), floor, 1 - floor))
+    loss = -F.log(F.when(F.col("y") == 1, F.col("q")).otherwise(1 - F.col("q")))
+    return [r.asDict() for r in cells.groupBy(fold, "i").agg(F.count(F.lit(1)).alias("n"), F.sum(loss).alias("loss")).collect()]
 
 
-def fit_by_earlier_folds(
-    rows: DataFrame, fold: str, folds: Sequence[int], loss: Callable[[Column], Column], low: float, high: float,
+def fit_probit_scale(
+    rows: DataFrame, fold: str, folds: Sequence[int], low: float, high: float, floor: float,
     points: int = 17, rounds: int = 4, min_rows: int = MIN_ROWS,
 ) -> dict[int, float | None]:
-    """Per fold, the parameter in [low, high] with the least mean loss over the earlier folds.
+    """Per fold, the c in [low, high] for which CDF(x / c) fits y best over the earlier folds.
 
-    Coarse-to-fine search: each round is one aggregation over the rows for all folds
-    together. Folds with fewer than ``min_rows`` earlier rows get None. Only a table
-    of folds x candidates reaches the driver.
+    ``rows`` has the fold, x and y (0 or 1). Coarse-to-fine search: each round is one
+    aggregation over the rows for all folds together. Folds with fewer than
+    ``min_rows`` earlier rows get None. Only a table of folds x candidates reaches
+    the driver.
     """
     ratio = (high / low) ** (1 / (points - 1))
     grids = {f: [low * ratio**i for i in range(points)] for f in folds}
     best: dict[int, float | None] = {}
-    rows = rows.persist()
+    rows = rows.select(fold, "x", "y").persist()
     try:
         for _ in range(rounds):
             candidates = sorted({c for g in grids.values() for c in g})
             if not candidates:
                 break
-            table = fold_losses(rows, fold, loss, candidates)
+            table = fold_losses(rows, fold, candidates, floor)
             sizes = {r[fold]: r["n"] for r in table}
             losses = {(r[fold], candidates[r["i"]]): r["loss"] for r in table}
             for f in list(grids):
@@ -70,16 +73,11 @@ def sigma_multipliers(rows: DataFrame, fold: str = "fold") -> dict[int, float]:
     Needs pred_ensemble, spread_signed, settle_signed, home_margin, sigma_ensemble.
     """
     usable = rows.select(
-        fold, (F.col("pred_ensemble") + F.col("spread_signed")).alias("edge"), F.col("sigma_ensemble").alias("sigma"),
+        fold, ((F.col("pred_ensemble") + F.col("spread_signed")) / F.col("sigma_ensemble")).alias("x"),
         F.col("home_margin").alias("m"), (-F.col("settle_signed")).alias("line"),
-    ).dropna().where("m <> line").withColumn("y", (F.col("m") > F.col("line")).cast("double"))
-
-    def loss(c: Column) -> Column:
-        p = clip(normal_cdf(F.col("edge") / (c * F.col("sigma"))), 1e-6, 1 - 1e-6)
-        return -(F.col("y") * F.log(p) + (1 - F.col("y")) * F.log(1 - p))
-
+    ).dropna().where("m <> line").withColumn("y", (F.col("m") > F.col("line")).cast("int"))
     folds = [r[0] for r in rows.select(fold).distinct().collect()]
-    found = fit_by_earlier_folds(usable, fold, folds, loss, 1.0, 50.0)
+    found = fit_probit_scale(usable, fold, folds, 1.0, 50.0, 1e-6)
     return {f: (NO_BET_MULTIPLIER if v is None else v) for f, v in found.items()}
 
 
@@ -98,23 +96,12 @@ def calibrate_sigma(rows: DataFrame, fold: str = "fold") -> DataFrame:
 
 def probit_probability(rows: DataFrame, x: str, won: str, fold: str = "fold") -> DataFrame:
     """P(win) = CDF(x / s) with s in [3, 60] fitted on earlier folds; null where too few rows exist."""
-    usable = rows.select(fold, F.col(x).alias("x"), F.col(won).cast("double").alias("y")).dropna()
-
-    def loss(s: Column) -> Column:
-        p = clip(normal_cdf(F.col("x") / s), 1e-12, 1 - 1e-12)
-        return -(F.col("y") * F.log(p) + (1 - F.col("y")) * F.log(1 - p))
-
+    usable = rows.select(fold, F.col(x).cast("double").alias("x"), F.col(won).cast("int").alias("y")).dropna()
     folds = [r[0] for r in rows.select(fold).distinct().collect()]
-    scale = {f: s for f, s in fit_by_earlier_folds(usable, fold, folds, loss, 3.0, 60.0).items() if s is not None}
-    if not scale:
-        return rows.withColumn("probit_scale", F.lit(None).cast("double")).withColumn("p_model", F.lit(None).cast("double"))
-    out = rows.withColumn("probit_scale", by_fold(scale, fold))
-    return out.withColumn("p_model", normal_cdf(F.col(x) / F.col("probit_scale")))
-
-
-def logistic_loss(intercept: Column, slope: Column, x: Column, y: Column) -> Column:
-    z = intercept + slope * x
-    return softplus(-z) * y + softplus(z) * (1 - y)
+    scale = {f: s for f, s in fit_probit_scale(usable, fold, folds, 3.0, 60.0, 1e-12).items() if s is not None}
+    fitted = by_fold(scale, fold) if scale else F.lit(None).cast("double")
+    out = rows.withColumn("probit_scale", fitted).withColumn("__z", F.col(x) / F.col("probit_scale"))
+    return out.withColumn("p_model", normal_cdf(F.col("__z"))).drop("__z")
 
 
 def shrunken_bins(df: DataFrame, p: Column, y: Column, keys: Sequence[str] = (), bins: int = 10, alpha: float = 25.0, min_rows: int = 200) -> DataFrame:

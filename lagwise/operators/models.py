@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lagwise.operators.folds import causal_weights, ensemble, fold_calendar
 from lagwise.operators.timeline import Timeline, positions
+from lagwise.session import cut_lineage
 
 # Model id -> estimator factory. All learn from a "features" vector and a "label".
 REGRESSORS: dict[str, Callable] = {
@@ -99,13 +100,15 @@ def walk_forward(
 
     ``rows`` needs home_margin and spread_signed. Folds are independent; their
     jobs are submitted from a few driver threads so that the cluster overlaps them.
+    The table is written to the checkpoint folder once instead of being rebuilt by
+    every fold.
     """
     calendar = fold_calendar(rows, day, train_rows, test_rows)
     specs = fold_specs(calendar)
     if not specs:
         raise ValueError("not enough rows for one fold")
     placed = positions(rows, Timeline((), (day, key)), "__pos").withColumn("label", (F.col("home_margin") + F.col("spread_signed")).cast("double"))
-    placed = placed.persist()
+    placed = cut_lineage(placed)
     jobs = [(s, m) for s in specs for m in models]
     with ThreadPoolExecutor(max_workers=workers) as pool:
         parts = list(pool.map(lambda j: fit_one(placed, j[0], features, j[1], key), jobs))
@@ -177,9 +180,15 @@ def logistic_by_fold(rows: DataFrame, x: str, won: str, folds: Sequence[int], mi
     return out
 
 
-def isotonic(train: DataFrame, test: DataFrame, p: str, y: str, name: str = "p_isotonic") -> DataFrame:
-    ready = train.where(F.col(p).isNotNull() & F.col(y).isNotNull()).withColumn("label", F.col(y).cast("double"))
-    fitted = IsotonicRegression(featuresCol=p, labelCol="label", predictionCol=name).fit(ready)
+def isotonic(train: DataFrame, test: DataFrame, p: str, y: str, name: str = "p_isotonic", digits: int = 6) -> DataFrame:
+    """Isotonic calibration of a probability.
+
+    Training rows are reduced to one weighted point per probability at the stored
+    precision, which bounds what the final pooling step has to hold.
+    """
+    known = train.where(F.col(p).isNotNull() & F.col(y).isNotNull())
+    points = known.groupBy(F.round(p, digits).alias(p)).agg(F.avg(y).alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
+    fitted = IsotonicRegression(featuresCol=p, labelCol="label", weightCol="weight", predictionCol=name).fit(points)
     return fitted.transform(test)
 
 

@@ -6,12 +6,13 @@ Only integer and half-integer arithmetic is used, so both sides agree exactly.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lagwise.functions.market import priced_bets, repaired_prices, valid_payout
 from lagwise.functions.numeric import normal_cdf_sql
 from lagwise.operators.sets import team_view
+from lagwise.operators.timeline import Timeline, positions
 
 EPOCH = "1995-01-01"
 DAY_STEP = (1, 7, 11, 13, 17, 19, 23, 29)
@@ -21,7 +22,6 @@ EV_THRESHOLD, KELLY_FRACTION, KELLY_CAP = 0.02, 0.05, 0.005
 def games(orders: DataFrame) -> DataFrame:
     """One row per order; every team plays at most once a day."""
     step = F.element_at(F.array(*[F.lit(s) for s in DAY_STEP]), (F.col("d") % 8 + 1).cast("int"))
-    in_day = Window.partitionBy("game_date").orderBy("game_id")
     o = orders.select(
         F.col("o_orderkey").alias("game_id"),
         "o_custkey",
@@ -30,7 +30,8 @@ def games(orders: DataFrame) -> DataFrame:
         F.floor("o_totalprice").cast("bigint").alias("px"),
     )
     o = o.withColumn("d", F.datediff("game_date", F.lit(EPOCH).cast("date")).cast("bigint"))
-    o = o.withColumn("rn", (F.row_number().over(in_day) - 1).cast("bigint"))
+    # id blocks keep a very full day out of a single task
+    o = positions(o, Timeline("game_date", "game_id", "shiftright(game_id, 20)"), "rn")
     o = o.withColumn("pool_id", F.floor(F.col("rn") / 15.0).cast("bigint")).withColumn("slot", F.col("rn") % 15)
     o = o.withColumn("m", step)
     handicap = F.when(F.col("game_id") % 97 != 0, (F.col("game_id") * 13) % 29 / 2.0 - 7.0)

@@ -1,6 +1,17 @@
 """All registered queries."""
 
-from lagwise.plans.catalog import aggregates, cleaning, documents, joins, learning, ledgers, reports, windows  # noqa: F401
+from lagwise.plans.catalog import (  # noqa: F401
+    aggregates,
+    cleaning,
+    documents,
+    joins,
+    learning,
+    ledgers,
+    pipelines,
+    reports,
+    streams,
+    windows,
+)
 from lagwise.plans.registry import REGISTRY
 
 __all__ = ["REGISTRY"]

@@ -13,11 +13,11 @@ from lagwise.plans.registry import query
 
 CLEAN = PLAYER_BOX + """,
 cl AS (SELECT *, CAST(split_part(minutes, ':', 1) AS DOUBLE) + CAST(split_part(minutes, ':', 2) AS DOUBLE) / 60 AS minutes_played FROM (
-  SELECT *, row_number() OVER (PARTITION BY game_id, player_id ORDER BY line DESC, supp DESC) AS k FROM player_box) WHERE k = 1)"""
+  SELECT *, row_number() OVER (PARTITION BY game_id, player_id ORDER BY line DESC, supp DESC, points DESC, fga DESC, minutes DESC) AS k FROM player_box) WHERE k = 1)"""
 
 
 def clean_players(s):
-    one = sets.latest(s.player_box, ["game_id", "player_id"], ["line", "supp"])
+    one = sets.latest(s.player_box, ["game_id", "player_id"], ["line", "supp", "points", "fga", "minutes"])
     return one.withColumn("minutes_played", text.minutes_lenient(F.col("minutes")))
 
 

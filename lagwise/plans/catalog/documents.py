@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lagwise.operators import nested
-from lagwise.plans.adapters import PLAYER_BOX
+from lagwise.plans.adapters import GAMES, PLAYER_BOX
 from lagwise.plans.registry import query
 from lagwise.sources.documents import slate_document
 
@@ -73,19 +73,21 @@ def flatten_quotes_b(s):
 
 @query(
     "flatten_candles", "N-05 N-06 S-08",
-    """WITH m AS (SELECT o_orderkey, epoch(o_orderdate) - 3 * 3600 AS tip FROM orders)
-SELECT 'O' || o_orderkey AS ticker, CAST(tip AS BIGINT) AS tip_ts, CAST(l_linenumber AS BIGINT) AS end_period_ts, l_quantity AS bid, l_quantity + 1 AS ask, CASE WHEN l_linenumber % 2 = 0 THEN l_tax END AS price
-FROM m LEFT JOIN lineitem ON l_orderkey = o_orderkey""",
+    """SELECT 'L' || l_orderkey || '-' || l_partkey || '-' || l_suppkey AS ticker, CAST(epoch(l_shipdate) - 3 * 3600 AS BIGINT) AS tip_ts, k.end_ts AS end_period_ts,
+  CASE WHEN k.end_ts IS NOT NULL THEN l_quantity END AS bid, CASE WHEN k.end_ts IS NOT NULL THEN l_quantity + 1 END AS ask, CASE WHEN k.end_ts = 2 THEN l_tax END AS price
+FROM lineitem, (VALUES (0, 0, NULL::BIGINT), (1, 3, 1::BIGINT), (1, 3, 2::BIGINT), (4, 7, 1::BIGINT)) k(lo, hi, end_ts) WHERE l_linenumber BETWEEN lo AND hi OR l_linenumber NOT BETWEEN 1 AND 7 AND k.end_ts IS NULL""",
 )
 def flatten_candles(s):
-    candle = F.struct(
-        F.col("l_linenumber").cast("bigint").alias("end_period_ts"), F.struct(F.col("l_quantity").alias("close")).alias("yes_bid"),
-        F.struct((F.col("l_quantity") + 1).alias("close")).alias("yes_ask"),
-        F.when(F.col("l_linenumber") % 2 == 0, F.struct(F.col("l_tax").alias("close"))).alias("price"), F.lit(1).alias("volume"),
-    )
-    candles = s.table("lineitem").groupBy("l_orderkey").agg(F.collect_list(candle).alias("candlesticks"))
-    m = s.table("orders").join(candles, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
-        F.concat(F.lit("O"), F.col("o_orderkey")).alias("ticker"), F.col("o_orderdate").cast("timestamp").alias("expiry"), "candlesticks"
+    def candle(i, price):
+        return F.struct(
+            F.lit(i).cast("bigint").alias("end_period_ts"), F.struct(F.col("l_quantity").alias("close")).alias("yes_bid"),
+            F.struct((F.col("l_quantity") + 1).alias("close")).alias("yes_ask"), F.when(F.lit(price), F.struct(F.col("l_tax").alias("close"))).alias("price"), F.lit(1).alias("volume"),
+        )
+
+    n = F.col("l_linenumber")
+    candles = F.when(n.between(1, 3), F.array(candle(1, False), candle(2, True))).when(n.between(4, 7), F.array(candle(1, False)))
+    m = s.table("lineitem").select(
+        F.concat(F.lit("L"), F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey")).alias("ticker"), F.col("l_shipdate").cast("timestamp").alias("expiry"), candles.alias("candlesticks")
     )
     return nested.candle_rows(m).drop("volume")
 
@@ -170,25 +172,25 @@ def scoreboard_games(s):
 
 @query(
     "first_priced_line", "N-10",
-    """SELECT l_orderkey, arg_min(l_tax, (coalesce(CASE WHEN l_linenumber <> 4 THEN l_linenumber END, 99), l_partkey, l_suppkey)) FILTER (l_partkey % 3 <> 0) AS line FROM lineitem GROUP BY 1""",
+    """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN l_linenumber <> 4 AND l_linenumber <= 6 AND l_partkey % 3 <> 0 THEN l_tax WHEN l_suppkey % 4 <> 0 THEN l_discount WHEN l_partkey % 3 <> 0 THEN l_tax END AS line FROM lineitem""",
 )
 def first_priced_line(s):
-    item = F.struct(
-        F.struct(F.when(F.col("l_linenumber") != 4, F.col("l_linenumber")).alias("priority")).alias("provider"),
-        F.when(F.col("l_partkey") % 3 != 0, F.col("l_tax")).alias("spread"),
-    )
-    docs = s.table("lineitem").groupBy("l_orderkey").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("l_partkey", "l_suppkey", item.alias("item")))), lambda x: x["item"]).alias("items")
+    n = F.col("l_linenumber")
+    items = F.array(
+        F.struct(F.struct(F.when(n != 4, n).alias("priority")).alias("provider"), F.when(F.col("l_partkey") % 3 != 0, F.col("l_tax")).alias("spread")),
+        F.struct(F.struct(F.lit(6).alias("priority")).alias("provider"), F.when(F.col("l_suppkey") % 4 != 0, F.col("l_discount")).alias("spread")),
     )
-    return docs.select("l_orderkey", nested.first_priced_line(F.col("items")).alias("line"))
+    return s.table("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", nested.first_priced_line(items).alias("line"))
 
 
 @query(
     "slate_documents", "S-14",
-    f"""SELECT strftime(o_orderdate, '%Y-%m-%d') AS slate_date, count(*) AS n_games, max(o_orderkey) AS last_game, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1""",
+    f"""WITH {GAMES} SELECT strftime(game_date, '%Y-%m-%d') AS slate_date, pool_id, count(*) AS n_games, max(game_id) AS last_game, CAST(sum(score_home) AS BIGINT) AS total FROM games GROUP BY 1, 2""",
 )
 def slate_documents(s):
-    f = s.table("orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("slate_date"), F.col("o_orderkey").alias("game_id"), F.col("o_totalprice").alias("pred"))
-    d = slate_document(f)
-    return d.select("slate_date", F.size("games").cast("bigint").alias("n_games"), F.array_max(F.transform("games", lambda g: g["game_id"])).alias("last_game"),
-                    F.round(F.aggregate("games", F.lit(0.0), lambda acc, g: acc + g["pred"]), 2).alias("total"))
+    f = s.games.select(F.date_format("game_date", "yyyy-MM-dd").alias("slate_date"), "pool_id", "game_id", F.col("score_home").alias("pred"))
+    d = slate_document(f, ("slate_date", "pool_id"))
+    return d.select(
+        "slate_date", "pool_id", F.size("games").cast("bigint").alias("n_games"), F.array_max(F.transform("games", lambda g: g["game_id"])).alias("last_game"),
+        F.aggregate("games", F.lit(0).cast("bigint"), lambda acc, g: acc + g["pred"]).alias("total"),
+    )

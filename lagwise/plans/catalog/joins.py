@@ -287,14 +287,14 @@ def key_overlap(s):
 
 @query(
     "merge_newer", "U-05 A-03",
-    """WITH n AS (SELECT l_orderkey, l_linenumber, l_quantity, l_partkey, l_suppkey, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS newer FROM lineitem),
-r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY newer DESC, l_partkey DESC, l_suppkey DESC) AS k FROM n)
+    """WITH n AS (SELECT l_orderkey, l_linenumber, l_quantity, l_partkey, l_suppkey, l_extendedprice, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS newer FROM lineitem),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY newer DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC, l_quantity DESC) AS k FROM n)
 SELECT l_orderkey, l_linenumber, l_quantity FROM r WHERE k = 1""",
 )
 def merge_newer(s):
     li = s.table("lineitem")
     old, new = li.where("l_returnflag <> 'R'"), li.where("l_returnflag = 'R'")
-    return sets.merge_newer(old, new, ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey"]).select("l_orderkey", "l_linenumber", "l_quantity")
+    return sets.merge_newer(old, new, ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]).select("l_orderkey", "l_linenumber", "l_quantity")
 
 
 @query(

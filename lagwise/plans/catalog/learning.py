@@ -11,6 +11,7 @@ from lagwise.operators import windows as W
 from lagwise.plans.adapters import GAMES, MODEL_BETS, PREDICTIONS, TEAM_GAMES
 from lagwise.plans.catalog.common import TEAM_LINE, r6, text_date
 from lagwise.plans.registry import query
+from lagwise.session import cut_lineage
 
 TRAIN, TEST = 3000, 1500
 CALENDAR = GAMES + f""",
@@ -183,7 +184,7 @@ FEATURES = ["home_form", "away_form", "home_scoring", "away_scoring", "never"]
 
 
 def walk(s):
-    rows = model_table(s)
+    rows = cut_lineage(model_table(s))
     n = rows.count()
     return models.walk_forward(rows, "game_date", "game_id", FEATURES, ["linear", "elastic"], int(n * 0.4), int(n * 0.25))
 
@@ -200,7 +201,7 @@ def walk_forward_ensemble(s):
 
 @query("slate_forecast", "R-19 Q-09")
 def slate_forecast(s):
-    rows = model_table(s)
+    rows = cut_lineage(model_table(s))
     last = rows.agg(F.max("game_date")).first()[0]
     models.require_fresh(rows.where(F.col("game_date") < F.lit(last)), "game_date", last, 5)
     done, slate = rows.where(F.col("game_date") < F.lit(last)), rows.where(F.col("game_date") == F.lit(last))
@@ -243,7 +244,7 @@ def point_in_time_audit(s):
 def leak_screen(s):
     rows = model_table(s).withColumn("planted", F.abs("home_margin") + F.col("d") % 9)
     noise = [((F.col("game_id") * k) % 101).cast("double").alias(f"noise_{k}") for k in (3, 7, 11, 13, 17, 19)]
-    rows = rows.select("*", *noise)
+    rows = cut_lineage(rows.select("*", *noise))
     feats = ["home_form", "away_form", "home_scoring", "away_scoring", "planted", *[f"noise_{k}" for k in (3, 7, 11, 13, 17, 19)]]
     return audits.linear_leak_screen(rows, F.abs("home_margin"), F.abs("spread_signed"), feats)
 
@@ -262,14 +263,13 @@ def slate_features(s):
 
 @query(
     "build_parity", "Q-05",
-    """SELECT 'l_extendedprice' AS "column", count(*) AS rows, 0 AS missing_keys, count(*) FILTER (l_orderkey % 10 = 0) AS differing FROM lineitem
-UNION ALL SELECT 'l_tax', count(*), 0, 0 FROM lineitem""",
+    """SELECT 'o_totalprice' AS "column", count(*) AS rows, 0 AS missing_keys, count(*) FILTER (o_orderkey % 10 = 0) AS differing FROM orders
+UNION ALL SELECT 'o_custkey', count(*), 0, 0 FROM orders""",
 )
 def build_parity(s):
-    keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
-    a = s.table("lineitem").select(*keys, "l_extendedprice", "l_tax")
-    b = a.withColumn("l_extendedprice", F.col("l_extendedprice") + F.when(F.col("l_orderkey") % 10 == 0, 1.0).otherwise(0.0))
-    return audits.compare_builds(a, b, keys).drop("max_difference")
+    a = s.table("orders").select("o_orderkey", "o_totalprice", "o_custkey")
+    b = a.withColumn("o_totalprice", F.col("o_totalprice") + F.when(F.col("o_orderkey") % 10 == 0, 1.0).otherwise(0.0))
+    return audits.compare_builds(a, b, ["o_orderkey"]).drop("max_difference")
 
 
 @query("table_fingerprint", "Q-06 S-12")

@@ -261,13 +261,13 @@ def slot_intervals(s):
 
 @query(
     "anchored_groups", "ST-05 T-06",
-    """WITH RECURSIVE t AS (SELECT CAST(ts AS DATE) AS day, epoch_us(ts) AS us FROM events), r AS (SELECT day, us, row_number() OVER (PARTITION BY day ORDER BY us) AS n FROM t),
+    """WITH RECURSIVE t AS (SELECT CAST(ts AS DATE) AS day, epoch_us(date_trunc('minute', ts)) AS us FROM events), r AS (SELECT day, us, row_number() OVER (PARTITION BY day ORDER BY us) AS n FROM t),
 w AS (SELECT day, n, us, us AS anchor FROM r WHERE n = 1 UNION ALL SELECT r.day, r.n, r.us, CASE WHEN r.us - w.anchor <= 7200000000 THEN w.anchor ELSE r.us END FROM w JOIN r ON r.day = w.day AND r.n = w.n + 1)
 SELECT strftime(day, '%Y-%m-%d') AS day, anchor AS first_us, count(*) AS size FROM w GROUP BY 1, 2""",
 )
 def anchored_groups(s):
     from lagwise.streaming.slots import anchored_groups as groups
 
-    e = s.table("events").select(F.to_date("ts").alias("day"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    e = s.table("events").select(F.to_date("ts").alias("day"), F.unix_micros(F.date_trunc("minute", F.col("ts").cast("timestamp"))).alias("us"))
     out = groups(e, ["day"], "us", 7_200_000_000)
     return out.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "first_us", "size")

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lagwise.operators import sets
+from lagwise.operators import aggregates, sets
 from lagwise.operators import windows as W
 from lagwise.operators.timeline import Timeline, framed
 from lagwise.plans.adapters import GAMES, PLAYER_BOX, TEAM_GAMES
@@ -224,7 +223,7 @@ def previous_row_flag(s):
 @query(
     "previous_day_snapshot", "J-12 A-07",
     f"""WITH {PLAYER_BOX},
-dd AS (SELECT *, row_number() OVER (PARTITION BY game_id, player_id ORDER BY line DESC, supp DESC) AS k FROM player_box),
+dd AS (SELECT *, row_number() OVER (PARTITION BY game_id, player_id ORDER BY line DESC, supp DESC, points DESC, fga DESC, minutes DESC) AS k FROM player_box),
 rk AS (SELECT game_id, team, d, points, row_number() OVER (PARTITION BY game_id, team
   ORDER BY CAST(split_part(minutes, ':', 1) AS INTEGER) DESC, player_id) AS r FROM dd WHERE k = 1),
 dy AS (SELECT team, d, avg(points) AS top2 FROM rk WHERE r <= 2 GROUP BY team, d),
@@ -232,14 +231,12 @@ pv AS (SELECT team, d, lag(top2) OVER (PARTITION BY team ORDER BY d) AS prev_top
 SELECT DISTINCT k.game_id, k.team, round(prev_top2, 6) AS prev_top2 FROM rk k JOIN pv ON k.team = pv.team AND k.d = pv.d""",
 )
 def previous_day_snapshot(s):
-    box = sets.latest(s.player_box, ["game_id", "player_id"], ["line", "supp"])
-    minute = F.split("minutes", ":")[0].cast("int")
-    w = Window.partitionBy("game_id", "team").orderBy(minute.desc(), "player_id")
-    top = box.withColumn("__r", F.row_number().over(w)).where("__r <= 2")
-    keys = box.select("game_id", "team", "d").distinct()
-    daily = top.groupBy("team", "d").agg(F.avg("points").alias("v"))
-    lagged = daily.withColumn("prev_top2", F.lag("v").over(Window.partitionBy("team").orderBy("d")))
-    return keys.join(lagged, ["team", "d"]).select("game_id", "team", r6("prev_top2").alias("prev_top2"))
+    box = sets.latest(s.player_box, ["game_id", "player_id"], ["line", "supp", "points", "fga", "minutes"])
+    box = box.withColumn("minute", F.split("minutes", ":")[0].cast("int"))
+    top = aggregates.top_mean(box, ["game_id", "team", "d"], "minute", "player_id", "points", 2, "v")
+    # a team plays once a day, so a game's mean is the day's mean
+    out = W.previous_day_value(top, ["team"], "d", F.avg("v"), "prev_top2")
+    return out.select("game_id", "team", r6("prev_top2").alias("prev_top2"))
 
 
 @query(

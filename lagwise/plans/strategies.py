@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagwise.functions.market import kelly_stake, objective_score, settle
+from lagwise.functions.market import kelly_fraction, objective_score, settle
 from lagwise.functions.numeric import clip
 from lagwise.operators import ledger
 from lagwise.operators.joins import with_parameters
@@ -29,8 +29,9 @@ def strategy_selection(bets: DataFrame, strategies: Sequence[dict]) -> DataFrame
     median = quantiles(bets, ["model"], F.abs("pred_ensemble"), {"__median": 0.5})
     base = attach(bets, median, ["model"])
     j = with_parameters(base, strategies)
-    stake = kelly_stake(F.col("win_prob"), F.col("bet_side"), F.col("payout_home"), F.col("payout_away"))
-    j = j.withColumn("k", clip(stake * F.col("p.kelly_scale"), F.lit(0.0), F.col("p.kelly_cap")))
+    full = kelly_fraction(F.col("win_prob"), F.col("bet_side"), F.col("payout_home"), F.col("payout_away"))
+    j = j.withColumn("full", full).withColumn("full", clip(F.col("full"), 0.0, 1.0))
+    j = j.withColumn("k", clip(F.col("full") * F.col("p.kelly_scale"), 0.0, F.col("p.kelly_cap")))
     allowed = F.lit(True)
     if any(s.get("tiers") for s in strategies):
         allowed = F.col("p.tiers").isNull() | F.array_contains("p.tiers", F.col("tier"))

@@ -61,11 +61,11 @@ def write_slate_document(forecast: DataFrame, path: str) -> None:
     slate_document(forecast).write.mode("overwrite").json(path)
 
 
-def slate_document(forecast: DataFrame) -> DataFrame:
-    """A slate is one day's games, so the array is short."""
+def slate_document(forecast: DataFrame, keys: tuple[str, ...] = ("slate_date",)) -> DataFrame:
+    """Header fields and an array of games per key; a slate is the games of one league and day."""
     header = [c for c in ("model_version", "data_through") if c in forecast.columns]
-    games = [c for c in forecast.columns if c not in ("slate_date", *header)]
-    return forecast.groupBy("slate_date").agg(
+    games = [c for c in forecast.columns if c not in (*keys, *header)]
+    return forecast.groupBy(*keys).agg(
         *[F.max(c).alias(c) for c in header],
         F.array_sort(F.collect_list(F.struct(*games))).alias("games"),
     )

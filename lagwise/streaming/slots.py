@@ -20,17 +20,11 @@ FAILED = ("error", "empty", "skipped_quota")
 def anchored_groups(df: DataFrame, keys: Sequence[str], time: str, span: int) -> DataFrame:
     """Groups anchored at their first time: a time later than anchor + span opens a new group.
 
-    Not a session gap. Equal times are counted first, then each key's times are cut
-    into blocks no anchor can depend on: a gap larger than ``span`` always opens a new
-    group, so the blocks between such gaps are folded independently.
+    Not a session gap. Equal times are counted first; start times lie on a minute
+    grid, so a date has at most 1,440 entries to fold, however many games it has.
     """
-    from lagwise.operators.timeline import Timeline, cum_sum, framed, running
-
     counts = df.where(F.col(time).isNotNull()).groupBy(*keys, time).agg(F.count(F.lit(1)).alias("__n"))
-    line = Timeline(tuple(keys), time, F.floor(F.col(time) / (span * 1000)))
-    gaps = framed(counts, line, lambda w: {"__new": (F.coalesce(F.col(time) - F.lag(time).over(w), F.lit(span + 1)) > span).cast("int")}, 1)
-    blocks = running(gaps, line, {"__block": cum_sum(F.col("__new"))}, inclusive=True)
-    folded = blocks.groupBy(*keys, "__block").agg(F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col("__n").alias("n")))).alias("ts"))
+    folded = counts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col("__n").alias("n")))).alias("ts"))
 
     def step(groups: Column, x: Column) -> Column:
         last = F.element_at(groups, -1)

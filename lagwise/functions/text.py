@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Latin letters with accents and the plain letter of each.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿšžčćďěğńňřśťůźżőűąęįųūāēīōģķļņțșțĺľŕ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyszccdegnnrstuzzouaeiuuaeiogklntstllr"
+
+def _single_letter_forms() -> tuple[str, str]:
+    """Characters whose compatibility decomposition is one plain letter or digit, and that letter."""
+    source, plain = [], []
+    for code in range(0x80, 0x10000):
+        base = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
+        if len(base) == 1 and base.isalnum():
+            source.append(chr(code))
+            plain.append(base)
+    return "".join(source), "".join(plain)
+
+
+ACCENTED, PLAIN = _single_letter_forms()
 
 
 def short_id(x: Column, keep_zero: bool = False) -> Column:
@@ -72,12 +85,27 @@ def known_absence(minutes: Column, status: Column) -> Column:
 
 
 def name_key(x: Column) -> Column:
-    """Lower-case ASCII name with single spaces, for matching people across sources."""
-    plain = F.translate(F.lower(x), ACCENTED, PLAIN)
+    """Lower-case ASCII name with single spaces, for matching people across sources.
+
+    Built-in functions only. Characters that decompose into several letters (such
+    as ligatures) are dropped; use ``name_key_full`` where they occur.
+    """
+    plain = F.lower(F.translate(x, ACCENTED, PLAIN))
     kept = F.regexp_replace(plain, "[^a-z0-9 ]", "")
     return F.trim(F.regexp_replace(kept, " +", " "))
 
 
+def name_key_full(x: Column) -> Column:
+    """The same key with full Unicode decomposition, as an Arrow-batched function."""
+
+    @F.pandas_udf("string")
+    def key(names: pd.Series) -> pd.Series:
+        plain = names.str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii").str.lower()
+        return plain.str.replace("[^a-z0-9 ]", "", regex=True).str.replace(" +", " ", regex=True).str.strip()
+
+    return key(x)
+
+
 def home_from_matchup(matchup: Column) -> Column:
     """Home code of ``"A vs. B"`` (A) and ``"A @ B"`` (B)."""
     return (

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from lagwise.operators.aggregates import permuted
-from lagwise.operators.ranking import attach, outlier_cutoff
 
 
 def numeric_columns(df: DataFrame, but: Sequence[str] = ()) -> list[str]:
@@ -91,10 +90,20 @@ def linear_leak_screen(df: DataFrame, target: Column, base: Column, features: Se
         both = (yb * yb + yx * yx - 2 * yb * yx * bx) / F.nullif(1 - bx * bx, F.lit(0.0))
         return both - yb * yb
 
-    rows = one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), gain(c).alias("d_r2")) for c in features])).alias("r")).select("r.*")
-    rows = rows.where("d_r2 IS NOT NULL AND NOT isnan(d_r2)")
-    cut = outlier_cutoff(rows, [], F.col("d_r2"), factor)
-    return attach(rows, cut, []).withColumn("flagged", F.col("d_r2") > F.col("cutoff"))
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.nanvl(gain(c), F.lit(None)).alias("d_r2")) for c in features])
+    one = one.select(F.filter(cells, lambda e: e["d_r2"].isNotNull()).alias("cells"))
+
+    def median(values: Column) -> Column:
+        ordered = F.array_sort(values)
+        n = F.size(ordered)
+        return (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2
+
+    # one entry per feature, so median and MAD are array expressions on a single row
+    one = one.withColumn("median", median(F.transform("cells", lambda e: e["d_r2"])))
+    one = one.withColumn("mad", median(F.transform("cells", lambda e: F.abs(e["d_r2"] - F.col("median")))))
+    one = one.withColumn("cutoff", F.col("median") + factor * 1.4826 * F.col("mad"))
+    rows = one.select(F.explode("cells").alias("e"), "median", "mad", "cutoff").select("e.*", "median", "mad", "cutoff")
+    return rows.withColumn("flagged", F.col("d_r2") > F.col("cutoff"))
 
 
 def with_slate_stubs(games: DataFrame, slate: DataFrame, outcomes: Sequence[str]) -> DataFrame:

@@ -5,7 +5,8 @@ without a full form history are then dropped, and every later family (streaks,
 cover rates, ratings, travel) sees only the survivors.
 
 Each family is computed from the same survivors and joined on (game_id, team).
-Pass ``store`` to materialise the survivors, so the families do not rebuild them.
+The survivors and the families are materialised (in ``store``, else in the checkpoint
+folder), so no stage is rebuilt by the next one.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from lagwise.operators import windows as W
 from lagwise.operators.joins import sides_to_wide
 from lagwise.operators.sets import team_view
 from lagwise.operators.timeline import Timeline, cum_count, cum_sum, framed, running
+from lagwise.session import cut_lineage
 from lagwise.sources.tables import read_or_build
 
 
@@ -118,7 +120,7 @@ def build_feature_table(games: DataFrame, venues: DataFrame, cfg: FeatureSetting
     spark: SparkSession = games.sparkSession
 
     def kept(name: str, build) -> DataFrame:
-        return read_or_build(spark, f"{store}/{name}", build) if store else build()
+        return read_or_build(spark, f"{store}/{name}", build) if store else cut_lineage(build())
 
     survivors = kept("form", lambda: form(games, cfg))
     per_team = kept("team_families", lambda: team_families(survivors, venues, cfg))

@@ -9,6 +9,7 @@ from lagwise.plans.catalog import (  # noqa: F401
     ledgers,
     pipelines,
     reports,
+    stores,
     streams,
     windows,
 )

@@ -223,7 +223,7 @@ BANDS_SQL = """CASE WHEN x IS NULL THEN NULL WHEN x <= 2 THEN '0-2' WHEN x <= 5
 
 
 @query(
-    "fixed_bands_and_bet_type", "C-28 C-31",
+    "fixed_bands_and_bet_type", "C-28 C-31 F-04",
     f"""WITH {MODEL_BETS}, b AS (SELECT *, abs(spread_signed) AS x, CASE WHEN spread_signed < 0 THEN 'HOME' WHEN spread_signed > 0 THEN 'AWAY' ELSE 'PICKEM' END AS fav FROM mb WHERE bet_side <> 'NONE')
 SELECT model, game_id, {BANDS_SQL} AS spread_bucket, CASE WHEN x < 2 THEN '0-2' WHEN x < 5 THEN '2-5' ELSE '5+' END AS left_closed,
   fav AS favorite_side, CASE WHEN fav = 'PICKEM' THEN 'pickem' WHEN bet_side = fav THEN 'favorite' ELSE 'underdog' END AS bet_type FROM b""",
@@ -263,7 +263,7 @@ def value_quantile_bins(s):
 @query(
     "four_factors_and_expectation", "C-33 C-34 M-03",
     f"""WITH {GAMES}, x AS (SELECT *, score_home - score_away AS m, greatest(CAST(score_home AS DOUBLE), 1.0) AS o, greatest(CAST(score_away AS DOUBLE), 1.0) AS a FROM games)
-SELECT game_id, round(sign(m) * m * m, 6) AS signed_square, round(1 / (1 + exp(-m / 100.0)), 6) AS logistic_margin,
+SELECT game_id, CAST(sign(m) * m * m AS DOUBLE) AS signed_square, round(1 / (1 + exp(-m / 100.0)), 6) AS logistic_margin,
   round(pow(o, 13.91) / (pow(o, 13.91) + pow(a, 13.91)), 6) AS pyth_home,
   CAST(0.4 * m - 0.25 * (score_home % 7 - score_away % 7) + 0.2 * (score_home % 5 - score_away % 5) + 0.15 * (score_home % 3 - score_away % 3) AS DOUBLE) AS composite FROM x""",
 )

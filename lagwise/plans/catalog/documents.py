@@ -27,6 +27,7 @@ def envelopes_a(s):
     )
     return s.table("events").select(
         F.concat(F.lit("r"), eid).alias("request_id"), F.lit("open").alias("slot"),
+        F.date_format("ts", "yyyy-MM-dd").alias("slate_date"), F.lit("sgo").alias("provider"),
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("captured_at_utc"), F.from_json(payload, nested.PAYLOAD_A).alias("payload"),
     )
 

@@ -128,7 +128,7 @@ def decay_weighted_mean(s):
     "rest_and_back_to_back", "W-08 M-04 D-01",
     f"""WITH {TEAM_GAMES}, r AS (SELECT game_id, team, d - lag(d) OVER (PARTITION BY team ORDER BY d, game_id) AS rest FROM tg)
 SELECT game_id, team, rest, CASE WHEN rest = 1 THEN 1 ELSE 0 END AS b2b,
-  CASE WHEN rest IS NULL THEN NULL ELSE least(greatest(rest, 0), 5) END AS rest_clipped FROM r""",
+  CASE WHEN rest IS NULL THEN NULL ELSE CAST(least(greatest(rest, 0), 5) AS DOUBLE) END AS rest_clipped FROM r""",
 )
 def rest_and_back_to_back(s):
     from lagwise.functions.numeric import clip

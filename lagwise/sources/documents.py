@@ -10,11 +10,11 @@ from lagwise.operators.nested import PAYLOAD_A, PAYLOAD_B, envelope_schema, quot
 FLATTEN = {"sgo": (PAYLOAD_A, quote_rows_a), "oddsapi": (PAYLOAD_B, quote_rows_b)}
 
 
-def read_envelopes(spark: SparkSession, path: str, provider: str) -> DataFrame:
-    """One JSON document per file (gzip is recognised by its suffix); Hive folders below ``path`` are read."""
+def read_envelopes(spark: SparkSession, path: str, provider: str, per_file: bool = True) -> DataFrame:
+    """Envelopes, one JSON document per file or per line; gzip is recognised by its suffix and Hive folders are read."""
     payload, _ = FLATTEN[provider]
     return (
-        spark.read.option("multiLine", True).option("recursiveFileLookup", True)
+        spark.read.option("multiLine", per_file).option("recursiveFileLookup", True)
         .schema(envelope_schema(payload)).json(path)
     )
 
@@ -38,9 +38,9 @@ def append_quotes(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("provider", "date").parquet(path)
 
 
-def rebuild_quotes(spark: SparkSession, raw: str, path: str, provider: str) -> None:
+def rebuild_quotes(spark: SparkSession, raw: str, path: str, provider: str, per_file: bool = True) -> None:
     """Rebuild the flattened store from the raw documents; running it twice changes nothing."""
-    write_quotes(flatten_envelopes(read_envelopes(spark, raw, provider), provider), path)
+    write_quotes(flatten_envelopes(read_envelopes(spark, raw, provider, per_file), provider), path)
 
 
 def read_quotes(spark: SparkSession, path: str, provider: str, dates: tuple[str, str] | None = None) -> DataFrame:

@@ -21,11 +21,11 @@ def job_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def flatten_new_documents(spark: SparkSession, raw: str, out: str, checkpoint: str, provider: str) -> None:
+def flatten_new_documents(spark: SparkSession, raw: str, out: str, checkpoint: str, provider: str, per_file: bool = True) -> None:
     """Flatten every document that arrived since the last run exactly once, then stop."""
     payload, _ = FLATTEN[provider]
     docs = (
-        spark.readStream.schema(envelope_schema(payload)).option("multiLine", True).option("recursiveFileLookup", True).json(raw)
+        spark.readStream.schema(envelope_schema(payload)).option("multiLine", per_file).option("recursiveFileLookup", True).json(raw)
     )
     query = (
         flatten_envelopes(docs, provider).writeStream.format("parquet").option("path", out)

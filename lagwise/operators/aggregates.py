@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lagwise.functions.numeric import clip, ratio
 from lagwise.operators.joins import opponent_rows, share_of_group
 from lagwise.operators.ranking import top_n
+from lagwise.operators.timeline import Timeline, positions
 
 
 def totals(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -161,11 +162,9 @@ def permuted(df: DataFrame, column: str, id_column: str, seed: int, name: str) -
     The two orders are numbered independently and joined by number. Numbering is
     done in hash buckets, so it needs no global sort.
     """
-    from lagwise.operators.timeline import Timeline, positions
-
     keyed = df.withColumn("__h1", F.xxhash64(F.lit(seed), F.col(id_column))).withColumn("__h2", F.xxhash64(F.lit(seed + 1), F.col(id_column)))
-    a = positions(keyed, Timeline((), ("__h1", id_column), F.shiftright("__h1", 52)), "__p")
-    b = positions(keyed.select("__h2", id_column, F.col(column).alias(name)), Timeline((), ("__h2", id_column), F.shiftright("__h2", 52)), "__p")
+    a = positions(keyed, Timeline((), ("__h1", id_column), F.shiftright("__h1", 48)), "__p")
+    b = positions(keyed.select("__h2", id_column, F.col(column).alias(name)), Timeline((), ("__h2", id_column), F.shiftright("__h2", 48)), "__p")
     return a.join(b.select("__p", name), "__p").drop("__p", "__h1", "__h2")
 
 

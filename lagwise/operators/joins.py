@@ -27,9 +27,16 @@ def sides_to_wide(long: DataFrame, key: str, is_home: Column, columns: Sequence[
 
 
 def opponent_rows(df: DataFrame, game: str, team: str, columns: Sequence[str]) -> DataFrame:
-    """Each team's row with the other team's values as ``<col>_opp``."""
-    other = df.select(game, F.col(team).alias("opp_team"), *[F.col(c).alias(f"{c}_opp") for c in columns])
-    return df.join(other, game).where(F.col(team) != F.col("opp_team"))
+    """Each team's row with the other team's values as ``<col>_opp``.
+
+    A game has two rows (``require_count`` checks it). Both sides are reduced to one
+    row per game before the join, so a game never multiplies its rows by themselves.
+    """
+    side = F.struct(F.col(team).alias("t"), *columns)
+    both = df.groupBy(game).agg(F.min(side).alias("__lo"), F.max(side).alias("__hi")).where("__lo.t <> __hi.t")
+    other = F.when(F.col(team) == F.col("__lo.t"), F.col("__hi")).otherwise(F.col("__lo"))
+    j = df.join(both, game).withColumn("__o", other)
+    return j.select(*df.columns, F.col("__o.t").alias("opp_team"), *[F.col(f"__o.{c}").alias(f"{c}_opp") for c in columns])
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagwise.functions.market import priced_bets, repaired_prices, valid_payout
+from lagwise.functions.market import covered_side, odds_tier, priced_bets, repaired_prices, settle, valid_payout
 from lagwise.functions.numeric import normal_cdf_sql
 from lagwise.operators.sets import team_view
 from lagwise.operators.timeline import Timeline, positions
@@ -182,8 +182,6 @@ def model_bets(pred: DataFrame, price: DataFrame) -> DataFrame:
     raw = price.select("game_id", "home_american", "away_american", F.lit(True).alias("in_join"))
     j = pred.join(raw, "game_id", "left").where(F.col("spread_signed").isNotNull())
     home, away = repaired_prices(F.col("home_american"), F.col("away_american"))
-    from lagwise.functions.market import covered_side, odds_tier, settle
-
     j = j.withColumn("tier", odds_tier(F.col("in_join"), F.col("home_american"), F.col("away_american")))
     j = j.withColumn("payout_home", valid_payout(home)).withColumn("payout_away", valid_payout(away))
     j = j.withColumn("m", F.explode(F.array(

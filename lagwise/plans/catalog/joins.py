@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lagwise.operators import aggregates, joins, sets
-from lagwise.operators import windows as W
-from lagwise.plans.adapters import GAMES, MODEL_BETS, PLAYER_BOX, PREDICTIONS, PRICES, QUOTES, TEAM_GAMES
+from lagwise.plans.adapters import GAMES, MODEL_BETS, PREDICTIONS, PRICES, QUOTES, TEAM_GAMES
 from lagwise.plans.catalog.common import TEAM_LINE, r6, text_date
 from lagwise.plans.registry import query
 

@@ -41,11 +41,11 @@ LINE = ("d", "game_id")
 
 @query(
     "cumulative_pnl", "W-17",
-    f"WITH {MODEL_BETS} SELECT model, game_id, round(sum(pnl) OVER (PARTITION BY model ORDER BY d, game_id ROWS UNBOUNDED PRECEDING), 11) AS cum_pnl FROM mb",
+    f"WITH {MODEL_BETS} SELECT model, game_id, CAST(sum(CAST(round(pnl * 1e12) AS BIGINT)) OVER (PARTITION BY model ORDER BY d, game_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum_pnl_e12 FROM mb",
 )
 def cumulative_pnl(s):
-    out = running(s.model_bets, Timeline("model", LINE), {"c": cum_sum(F.col("pnl"))}, inclusive=True)
-    return out.select("model", "game_id", F.round("c", 11).alias("cum_pnl"))
+    out = running(s.model_bets, Timeline("model", LINE), {"cum_pnl_e12": cum_sum(F.round(F.col("pnl") * 1e12).cast("bigint"))}, inclusive=True)
+    return out.select("model", "game_id", "cum_pnl_e12")
 
 
 ROW_LEDGER = SELECTED + """,

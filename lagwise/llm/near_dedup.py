@@ -115,10 +115,10 @@ def links(prints: DataFrame, distance: int = 4, long_list: int = LONG_LIST) -> D
             rows += [(i, n, sum(1 << p for p in ones)) for ones in combinations(free, n)]
     table = spark.createDataFrame([(i, n, m - (1 << 64) if m >= 1 << 63 else m) for i, n, m in rows], "s int, n int, mask long")
     # the left half of an odd distance is one bit longer: both halves are tried from either end
-    around = index.join(long_lists, ["s", "k"]).join(F.broadcast(table), "s").select("s", "k", "fp", "n", F.col("fp").bitwiseXOR("mask").alias("mid"))
+    around = index.join(long_lists, ["s", "k"]).join(F.broadcast(table), "s").select("s", "k", "fp", "n", F.col("fp").bitwiseXOR(F.col("mask")).alias("mid"))
     near = around.filter(F.col("n") <= half)
     centre = near.groupBy("s", "k", "mid").agg(F.min("fp").alias("a"))
-    reached = around.join(centre, ["s", "k", "mid"]).filter((F.col("a") != F.col("fp")) & (F.bit_count(F.col("a").bitwiseXOR("fp")) <= distance))
+    reached = around.join(centre, ["s", "k", "mid"]).filter((F.col("a") != F.col("fp")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= distance))
     return pairs.unionByName(reached.select("a", F.col("fp").alias("b"))).distinct()
 
 

@@ -69,11 +69,13 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
         F.col("__r"), F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")),
         lambda a, i: F.struct((i + 3).alias("end"), (a["n"] + i + 3 - F.greatest(i, a["end"])).cast("long").alias("n")), lambda a: a["n"],
     )
-    return df.select(
-        *[F.col(f"`{c}`") for c in own], n.cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+    found = F.struct(
+        n.cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         F.col("__s").cast("long").alias("n_symbols"), (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
         covered.alias("n_repeat_words"), F.col("__u").cast("long").alias("n_upper"),
     )
+    # generated columns: a filter on them is not moved below, where each use would count the text again
+    return df.select(*[F.col(f"`{c}`") for c in own], F.inline(F.array(found)))
 
 
 def base_failed() -> Column:

@@ -150,7 +150,7 @@ def repeated_spans(docs: DataFrame, size: int = 50) -> DataFrame:
     """
     found = written(stretches(docs, size), "stretches")
     shared = found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("anchor")
-    found = written(found.join(shared, "anchor"), "shared-stretches")
+    found = written(found.join(written(shared, "anchors"), "anchor"), "shared-stretches")  # a plain join: Spark can split a hot anchor
 
     place = F.xxhash64("doc_id", "lo")
     behind = F.xxhash64("doc_id", F.col("lo") + F.col("n"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagwise.llm import decontaminate, licenses, near_dedup, packing, quality_rules, substring_dedup
+from lagwise.llm import chat, decontaminate, language_id, licenses, near_dedup, packing, quality_classifier, quality_rules, substring_dedup
 from lagwise.llm.common import table
 
 QUERIES = {}
@@ -48,3 +48,34 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.digests(chat.read_back(chat.formatted(rows)))
+
+
+SQL["op4_chat_formatting"] = r"""
+WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL
+              UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+     c AS (SELECT *, length(replace(replace(replace(replace(r, '\', '\b'), '###', '\h'), '</turn>', '\e'), ':', '\c')) AS r_chars,
+                  length(replace(replace(replace(replace(t, '\', '\b'), '###', '\h'), '</turn>', '\e'), ':', '\c')) AS t_chars FROM rows),
+     g AS (SELECT conv_id, count(*) AS n_turns, string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, r, t) AS said,
+                  coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, r, t) FILTER (WHERE r = 'assistant'), '') AS loss,
+                  string_agg(r || ',', '' ORDER BY turn NULLS FIRST, r, t) AS roles, sum(15 + r_chars + t_chars) AS formatted_chars FROM c GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+       CAST(formatted_chars AS BIGINT) AS formatted_chars, regexp_full_match(roles, '(system,)?(user,assistant,)+') AS valid FROM g
+"""
+
+
+@query
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,11 +52,19 @@ def _horner(coefficients, z: Column) -> Column:
     return out
 
 
+#: From here on the tail is Laplace's continued fraction, cut after so many terms (exact to a few units in 1e-14).
+FAR, TERMS = 7.0, 30
+
+
 def normal_cdf(x: Column) -> Column:
-    """Standard normal distribution function; 0 or 1 beyond 7 standard deviations."""
+    """Standard normal distribution function, with its tails."""
     z = F.abs(x)
-    tail = F.exp(-z * z / 2) * _horner(WEST_P, z) / _horner(WEST_Q, z)
-    tail = F.when(z > 7.0, F.lit(0.0)).otherwise(tail)
+    density = F.exp(-z * z / 2)
+    near = density * _horner(WEST_P, z) / _horner(WEST_Q, z)
+    fraction = z
+    for k in range(TERMS, 0, -1):
+        fraction = z + F.lit(float(k)) / fraction
+    tail = F.when(z > FAR, density / (F.lit(math.sqrt(2 * math.pi)) * fraction)).otherwise(near)
     return F.when(x > 0, 1 - tail).otherwise(tail)
 
 
@@ -65,8 +75,12 @@ def normal_cdf_sql(x: str) -> str:
         for c in cs[1:]:
             text = f"({text} * abs({x}) + {c!r})"
         return text
-    tail = (f"(CASE WHEN abs({x}) > 7.0 THEN 0.0 ELSE exp(-abs({x}) * abs({x}) / 2) * {horner(WEST_P)}"
-            f" / {horner(WEST_Q)} END)")
+    fraction = f"abs({x})"
+    for k in range(TERMS, 0, -1):
+        fraction = f"(abs({x}) + {float(k)} / {fraction})"
+    density = f"exp(-abs({x}) * abs({x}) / 2)"
+    tail = (f"(CASE WHEN abs({x}) > {FAR} THEN {density} / ({math.sqrt(2 * math.pi)!r} * {fraction})"
+            f" ELSE {density} * {horner(WEST_P)} / {horner(WEST_Q)} END)")
     return f"(CASE WHEN {x} > 0 THEN 1 - {tail} ELSE {tail} END)"
 
 

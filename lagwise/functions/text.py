@@ -9,18 +9,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _single_letter_forms() -> tuple[str, str]:
-    """Characters whose compatibility decomposition is one plain letter or digit, and that letter."""
-    source, plain = [], []
-    for code in range(0x80, 0x10000):
+def _plain_forms() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters outside ASCII whose compatibility decomposition has plain letters, digits or blanks: one, or several."""
+    one, several = {}, {}
+    for code in range(0x80, 0x110000):
         base = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
-        if len(base) == 1 and base.isalnum():
-            source.append(chr(code))
-            plain.append(base)
-    return "".join(source), "".join(plain)
+        base = "".join(c for c in base if c.isalnum() or c == " ")
+        if base:
+            (one if len(base) == 1 else several)[chr(code)] = base
+    return one, several
 
 
-ACCENTED, PLAIN = _single_letter_forms()
+SINGLE, SEVERAL = _plain_forms()
 
 
 def short_id(x: Column, keep_zero: bool = False) -> Column:
@@ -87,10 +87,13 @@ def known_absence(minutes: Column, status: Column) -> Column:
 def name_key(x: Column) -> Column:
     """Lower-case ASCII name with single spaces, for matching people across sources.
 
-    Built-in functions only. Characters that decompose into several letters (such
-    as ligatures) are dropped; use ``name_key_full`` where they occur.
+    Built-in functions only. Characters that decompose into several letters, such as
+    ligatures, are rare: only names that hold one are taken apart letter by letter.
     """
-    plain = F.lower(F.translate(x, ACCENTED, PLAIN))
+    forms = F.create_map(*[F.lit(v) for pair in SEVERAL.items() for v in pair])
+    apart = F.array_join(F.transform(F.split(x, ""), lambda c: F.coalesce(F.try_element_at(forms, c), c)), "")
+    whole = F.when(F.rlike(x, F.lit("[" + "".join(SEVERAL) + "]")), apart).otherwise(x)
+    plain = F.lower(F.translate(whole, "".join(SINGLE), "".join(SINGLE.values())))
     kept = F.regexp_replace(plain, "[^a-z0-9 ]", "")
     return F.trim(F.regexp_replace(kept, " +", " "))
 

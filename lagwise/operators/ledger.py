@@ -7,12 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lagwise.operators.ranking import top_n
+from lagwise.operators.ranking import group_rank, top_n
 from lagwise.operators.timeline import Timeline, cum_max, cum_min, cum_product, cum_sum, running
 
 
+#: Bets a day up to which plain windows over a day are used.
+SHORT_DAY = 1000
+
+
 def select_daily(bets: DataFrame, keys: Sequence[str], day: str, score: Column, tie: Sequence[str], n: int, rank: str = "rank") -> DataFrame:
-    """The n best bets of each day by score (ties by ``tie``)."""
+    """The n best bets of each day by score (ties by ``tie``), for any n.
+
+    Up to ``SHORT_DAY`` Spark drops the rest before the shuffle; beyond, the ranking that splits large groups gives the
+    same ranks.
+    """
+    if n > SHORT_DAY:
+        return group_rank(bets, [*keys, day], score, tie, rank).where(F.col(rank) <= n)
     return top_n(bets, [*keys, day], [score.desc_nulls_last(), *tie], n, rank)
 
 

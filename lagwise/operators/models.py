@@ -9,7 +9,6 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import Imputer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -160,31 +159,42 @@ def forecast(
     return out.groupBy(key).agg(F.sum(F.col("pred") * F.col("w")).alias("pred_margin"))
 
 
-def logistic_by_fold(rows: DataFrame, x: str, won: str, folds: Sequence[int], min_rows: int = 250, key: str = "game_id") -> DataFrame:
-    """P(win) from one feature, fitted on the earlier folds of each fold."""
-    ready = VectorAssembler(inputCols=[x], outputCol="features").transform(rows.where(F.col(x).isNotNull()))
-    out = None
-    for f in folds:
-        train = ready.where(F.col("fold") < f).withColumn("label", F.col(won).cast("double")).where("label IS NOT NULL")
-        if train.limit(min_rows).count() < min_rows:
-            continue
-        fitted = LogisticRegression(regParam=0.0).fit(train)
-        p = fitted.transform(ready.where(F.col("fold") == f))
-        part = p.select(key, "fold", vector_to_array("probability")[1].alias("p"))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        raise ValueError("no fold has enough earlier rows")
-    return out
+def logistic_by_fold(rows: DataFrame, x: str, won: str, min_rows: int = 250, key: str = "game_id", workers: int = 4) -> DataFrame:
+    """P(win) from one feature, for every row of every fold, fitted on the folds before it.
 
+    ``p`` is null, with the ``reason``, where the feature is null (``no feature``), fewer than ``min_rows`` earlier rows
+    have both feature and outcome (``few rows``), or these have one outcome only (``one outcome``).
+    """
+    narrow = rows.select(key, "fold", F.col(x).cast("double").alias("__x"), F.col(won).cast("double").alias("label"))
+    known = narrow.where("__x IS NOT NULL AND label IS NOT NULL")
+    per_fold = known.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("won"))
+    before = Window.orderBy("fold").rowsBetween(Window.unboundedPreceding, -1)  # one row per fold
+    counts = narrow.select("fold").distinct().join(per_fold, "fold", "left").select(
+        "fold", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n"), F.coalesce(F.sum("won").over(before), F.lit(0.0)).alias("won")
+    ).where("fold IS NOT NULL").collect()
+    reasons = {r.fold: "few rows" if r.n < min_rows else "one outcome" if r.won in (0, r.n) else None for r in counts}
+    ready = VectorAssembler(inputCols=["__x"], outputCol="features").transform(known)
+
+    def fit(fold):
+        model = LogisticRegression(regParam=0.0).fit(ready.where(F.col("fold") < fold))
+        return fold, float(model.intercept), float(model.coefficients[0])
 
-def isotonic(train: DataFrame, test: DataFrame, p: str, y: str, name: str = "p_isotonic", digits: int = 6) -> DataFrame:
-    """Isotonic calibration of a probability.
+    with ThreadPoolExecutor(max_workers=workers) as pool:
+        fitted = list(pool.map(fit, [f for f, reason in reasons.items() if reason is None]))
+    kinds = dict(narrow.dtypes)
+    lines = rows.sparkSession.createDataFrame(
+        [(f, None, None, reason) for f, reason in reasons.items() if reason] + [(*f, None) for f in fitted],
+        f"fold {kinds['fold']}, a double, b double, reason string",
+    )
+    j = narrow.join(lines, "fold", "left")
+    p = 1 / (1 + F.exp(-(F.col("a") + F.col("b") * F.col("__x"))))
+    return j.select(key, "fold", p.alias("p"), F.coalesce("reason", F.when(F.col("__x").isNull(), F.lit("no feature"))).alias("reason"))
 
-    Training rows are reduced to one weighted point per probability at the stored
-    precision, which bounds what the final pooling step has to hold.
-    """
+
+def isotonic(train: DataFrame, test: DataFrame, p: str, y: str, name: str = "p_isotonic") -> DataFrame:
+    """Isotonic calibration of a probability; training rows become one weighted point per value, which changes nothing."""
     known = train.where(F.col(p).isNotNull() & F.col(y).isNotNull())
-    points = known.groupBy(F.round(p, digits).alias(p)).agg(F.avg(y).alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
+    points = known.groupBy(p).agg(F.avg(y).alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
     fitted = IsotonicRegression(featuresCol=p, labelCol="label", weightCol="weight", predictionCol=name).fit(points)
     return fitted.transform(test)
 

@@ -1,9 +1,9 @@
-"""Sequential pair ratings by pool."""
+"""Pair ratings by pool, one vector step per day."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -16,48 +16,87 @@ from lagwise.operators.windows import lagged_means
 
 @dataclass(frozen=True)
 class RatingRule:
-    """Fixed values of the rating: start, step size, home bonus, share kept over a season change."""
+    """Fixed values of the rating.
+
+    Start, step size, home bonus, share kept over a season change, points per factor ten of odds, and the two numbers by
+    which a margin counts less the larger the favourite's lead.
+    """
 
     start: float = 1500.0
     k: float = 20.0
     home_advantage: float = 65.0
     carry: float = 0.75
+    scale: float = 400.0
+    damping: float = 2.2
+    lead_weight: float = 0.001
+
+    def gain(self, lead: np.ndarray, margin: np.ndarray) -> np.ndarray:
+        """Points that move from away to home; a game without a score moves none."""
+        surprise = (margin > 0) - 1 / (1 + 10 ** (-lead / self.scale))
+        size = np.log1p(np.abs(margin)) * self.damping / (self.damping + lead * self.lead_weight)
+        return np.where(np.isnan(margin), 0.0, self.k * size * surprise)
+
+
+@dataclass
+class _Pool:
+    """Ratings of one pool's entities: a number and the last season each."""
+
+    rule: RatingRule
+    place: dict = field(default_factory=dict)
+    rating: np.ndarray = field(default_factory=lambda: np.empty(0))
+    season: np.ndarray = field(default_factory=lambda: np.empty(0))
+
+    def _places(self, entities: np.ndarray, season: np.ndarray) -> np.ndarray:
+        at = np.array([self.place.setdefault(e, len(self.place)) for e in entities.tolist()], dtype=np.int64)
+        new = len(self.place) - len(self.rating)
+        self.rating = np.append(self.rating, np.full(new, self.rule.start))
+        self.season = np.append(self.season, np.full(new, np.nan))
+        changed = np.unique(at[~np.isnan(self.season[at]) & (self.season[at] != season)])
+        self.rating[changed] = self.rule.start + self.rule.carry * (self.rating[changed] - self.rule.start)
+        self.season[at] = season
+        return at
+
+    def day(self, games: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Ratings of both sides before the day's games, which then all count at once."""
+        n = len(games)
+        at = self._places(np.concatenate([games["home"], games["away"]]), np.tile(games["season"].to_numpy(float), 2))
+        before = self.rating[at]
+        lead = before[:n] - before[n:] + self.rule.home_advantage
+        gain = self.rule.gain(lead, games["margin"].to_numpy(float))
+        np.add.at(self.rating, at, np.concatenate([gain, -gain]))
+        return before[:n], before[n:]
 
 
 def pair_ratings(games: DataFrame, rule: RatingRule = RatingRule(), pool: str = "pool_id") -> DataFrame:
     """Rating of both sides before each game, from (pool, game_id, game_date, season, home, away, score_home, score_away).
 
-    A pool's games are a chain, so one pool is processed in order by one task, but
-    never held there: rows stream through in Arrow batches and only one number per
-    entity is kept. Only the eight narrow columns are shuffled; pools run in parallel.
+    A pool's days are a chain, so one pool is processed in order by one task, but
+    never held there: rows stream through in Arrow batches and one number per entity
+    is kept. Games of one day count together, which for entities that play once a
+    day is the same as one after the other. A game without a score, such as one of a
+    coming slate, gets ratings and leaves them as they are.
     """
     narrow = games.select(pool, "game_id", "game_date", "season", "home", "away", (F.col("score_home") - F.col("score_away")).cast("double").alias("margin"))
     placed = narrow.repartition(pool).sortWithinPartitions(pool, "game_date", "game_id")
 
     def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ratings: dict = {}
-        seasons: dict = {}
-        current = None
+        current, state, open_day = object(), None, None
+
+        def days(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            nonlocal current, state
+            for (name, _), day in rows.groupby([pool, "game_date"], sort=False, dropna=False):
+                if name != current:
+                    current, state = name, _Pool(rule)
+                home, away = state.day(day)
+                yield pd.DataFrame({"game_id": day["game_id"], "elo_home": home, "elo_away": away})
+
         for batch in batches:
-            before_home = np.empty(len(batch))
-            before_away = np.empty(len(batch))
-            columns = zip(batch[pool], batch["season"], batch["home"], batch["away"], batch["margin"])
-            for i, (p, season, home, away, margin) in enumerate(columns):
-                if p != current:
-                    ratings, seasons, current = {}, {}, p
-                for team in (home, away):
-                    known = ratings.setdefault(team, rule.start)
-                    if seasons.get(team, season) != season:
-                        ratings[team] = rule.carry * known + (1 - rule.carry) * rule.start
-                    seasons[team] = season
-                before_home[i], before_away[i] = ratings[home], ratings[away]
-                gap = ratings[home] + rule.home_advantage - ratings[away]
-                expected = 1 / (1 + 10 ** (-gap / 400))
-                factor = np.log(abs(margin) + 1) * 2.2 / (gap * 0.001 + 2.2)
-                change = rule.k * factor * ((1.0 if margin > 0 else 0.0) - expected)
-                ratings[home] += change
-                ratings[away] -= change
-            yield pd.DataFrame({"game_id": batch["game_id"], "elo_home": before_home, "elo_away": before_away})
+            rows = batch if open_day is None else pd.concat([open_day, batch], ignore_index=True)
+            last = (rows[pool] == rows[pool].iloc[-1]) & (rows["game_date"] == rows["game_date"].iloc[-1]) if len(rows) else []
+            open_day = rows[last] if len(rows) else rows
+            yield from days(rows[~last] if len(rows) else rows)  # the last day may go on in the next batch
+        if open_day is not None:
+            yield from days(open_day)
 
     return placed.mapInPandas(rate, "game_id bigint, elo_home double, elo_away double")
 

@@ -19,6 +19,7 @@ from lagwise.operators.timeline import (
     by_day,
     cum_count,
     cum_max,
+    cum_min,
     cum_sum,
     framed,
     positions,
@@ -87,12 +88,14 @@ def prior_zscores(df: DataFrame, line: Timeline, values: dict[str, Column], min_
         aggs[f"__s_{name}"] = cum_sum(x.cast("double"))
         aggs[f"__q_{name}"] = cum_sum(x.cast("double") * x)
         aggs[f"__n_{name}"] = cum_count(x)
+        aggs[f"__lo_{name}"] = cum_min(x.cast("double"))
+        aggs[f"__hi_{name}"] = cum_max(x.cast("double"))
 
     def score(name: str, x: Column) -> Column:
         n, s, q = F.col(f"__n_{name}"), F.col(f"__s_{name}"), F.col(f"__q_{name}")
         spread = q - s * s / F.nullif(n, F.lit(0))
-        # a spread this small is rounding noise of a constant history
-        real = (n >= F.greatest(F.lit(min_count), F.lit(2))) & (spread > q * 1e-12)
+        # a history of one value has no spread, whatever its sums round to
+        real = (n >= F.greatest(F.lit(min_count), F.lit(2))) & (F.col(f"__lo_{name}") < F.col(f"__hi_{name}")) & (spread > 0)
         z = F.when(real, (x - s / F.nullif(n, F.lit(0))) / F.sqrt(spread / F.nullif(n - 1, F.lit(0))))
         return F.coalesce(z, F.lit(0.0))
 

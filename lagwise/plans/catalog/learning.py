@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lagwise.operators import audits, calibration, diagnostics, folds, models, ratings, styles
@@ -119,8 +121,7 @@ def probit_scale(s):
 @query("logistic_by_fold", "R-15")
 def logistic_by_fold(s):
     p = s.predictions.withColumn("win", (F.col("home_margin") > 0).cast("int"))
-    last = p.agg(F.max("fold")).first()[0]
-    return models.logistic_by_fold(p, "pred_m1", "win", [last - 1, last])
+    return models.logistic_by_fold(p, "pred_m1", "win")
 
 
 BINNED = MODEL_BETS + """,
@@ -143,8 +144,12 @@ def binned_calibration(s):
 
 @query("isotonic_calibration", "R-17")
 def isotonic_calibration(s):
-    b = s.model_bets.where("model = 'm1' AND covered <> 'PUSH'").withColumn("y", (F.col("covered") == "HOME").cast("int"))
-    return models.isotonic(b.where("fold < 6"), b.where("fold >= 6"), "win_prob", "y").select("game_id", "win_prob", "p_isotonic")
+    b = s.model_bets.where("covered <> 'PUSH'").withColumn("y", (F.col("covered") == "HOME").cast("int"))
+    parts = []
+    for m in sorted(r[0] for r in b.select("model").distinct().collect()):  # the models of a run are few
+        own = b.where(F.col("model") == m)
+        parts.append(models.isotonic(own.where("fold < 6"), own.where("fold >= 6"), "win_prob", "y").select("model", "game_id", "win_prob", "p_isotonic"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("play_styles", "R-18 J-14")

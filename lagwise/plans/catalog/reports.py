@@ -175,24 +175,37 @@ def kpi_report(s):
     ])
 
 
+#: Rules over one row of figures: source, area, finding, metric, figure, severity if the test holds, severity if not.
+#: Tests compare the figure with a bound; rules without one always have their first severity.
+FINDING_RULES = (
+    ("models", "model", "highest return of a model", "roi", "best_roi", None, "positive", None),
+    ("models", "portfolio", "lowest return of a model", "roi", "worst_roi", None, "high", None),
+    ("models", "portfolio", "mean share of bets won", "win_rate", "mean_win_rate", "< 0.5", "medium", "positive"),
+    ("tiers", "price tier", "highest mean result of a tier", "avg_pnl_per_bet", "best_tier", "> 0", "positive", "medium"),
+    ("tiers", "price tier", "lowest mean result of a tier", "avg_pnl_per_bet", "worst_tier", "< 0", "high", "medium"),
+)
+
+
 def rule_findings(s):
     m, t = model_summary(s), bets(s).groupBy("tier").agg(F.avg("pnl").alias("a"))
-    roi = m.agg(F.max("roi").alias("best"), F.min("roi").alias("worst"), F.avg("win_rate").alias("win"))
-    tier = t.agg(F.max("a").alias("best"), F.min("a").alias("worst"))
+    figures = {
+        "models": m.agg(F.max("roi").alias("best_roi"), F.min("roi").alias("worst_roi"), F.avg("win_rate").alias("mean_win_rate")),
+        "tiers": t.agg(F.max("a").alias("best_tier"), F.min("a").alias("worst_tier")),
+    }
     return diagnostics.findings([
-        (roi, "model_ranking", "Top model identified", "roi", F.col("best"), F.lit("positive")),
-        (roi, "portfolio_health", "Worst model underperformance", "roi", F.col("worst"), F.lit("high")),
-        (roi, "portfolio_health", "Portfolio average win rate", "win_rate", F.col("win"), F.when(F.col("win") < 0.5, "medium").otherwise("positive")),
-        (tier, "market_segmentation", "Best market bucket", "avg_pnl_per_bet", F.col("best"), F.when(F.col("best") > 0, "positive").otherwise("medium")),
-        (tier, "market_segmentation", "Worst market bucket", "avg_pnl_per_bet", F.col("worst"), F.when(F.col("worst") < 0, "high").otherwise("medium")),
+        (figures[source], area, finding, metric, F.col(figure), F.when(F.expr(f"{figure} {test}"), yes).otherwise(no) if test else F.lit(yes))
+        for source, area, finding, metric, figure, test, yes, no in FINDING_RULES
     ])
 
 
 FOUND = BETS + SUMMARY[len(MODEL_BETS):] + """,
-ro AS (SELECT max((ending - start) / start) AS best, min((ending - start) / start) AS worst, avg(win_rate) AS win FROM sm), tr AS (SELECT max(a) AS best, min(a) AS worst FROM (SELECT tier, avg(pnl) AS a FROM bt GROUP BY 1)),
-fd AS (SELECT 'model_ranking' AS area, 'Top model identified' AS finding, 'roi' AS metric, best AS value, 'positive' AS severity FROM ro UNION ALL SELECT 'portfolio_health', 'Worst model underperformance', 'roi', worst, 'high' FROM ro
-UNION ALL SELECT 'portfolio_health', 'Portfolio average win rate', 'win_rate', win, CASE WHEN win < 0.5 THEN 'medium' ELSE 'positive' END FROM ro UNION ALL SELECT 'market_segmentation', 'Best market bucket', 'avg_pnl_per_bet', best, CASE WHEN best > 0 THEN 'positive' ELSE 'medium' END FROM tr
-UNION ALL SELECT 'market_segmentation', 'Worst market bucket', 'avg_pnl_per_bet', worst, CASE WHEN worst < 0 THEN 'high' ELSE 'medium' END FROM tr)"""
+models AS (SELECT max((ending - start) / start) AS best_roi, min((ending - start) / start) AS worst_roi, avg(win_rate) AS mean_win_rate FROM sm),
+tiers AS (SELECT max(a) AS best_tier, min(a) AS worst_tier FROM (SELECT tier, avg(pnl) AS a FROM bt GROUP BY 1)),
+fd AS (""" + " UNION ALL ".join(
+    f"SELECT '{area}' AS area, '{finding}' AS finding, '{metric}' AS metric, {figure} AS value, "
+    + (f"CASE WHEN {figure} {test} THEN '{yes}' ELSE '{no}' END" if test else f"'{yes}'") + f" AS severity FROM {source}"
+    for source, area, finding, metric, figure, test, yes, no in FINDING_RULES
+) + ")"
 
 
 @query("rule_findings", "A-29", f"WITH {FOUND} SELECT area, finding, metric, round(value, 7) AS value, severity FROM fd")

@@ -14,8 +14,6 @@ from lagwise.operators.joins import with_parameters
 from lagwise.operators.ranking import attach, quantiles
 from lagwise.operators.timeline import Timeline
 
-TOP_LIMIT = 1000
-
 
 def strategy_selection(bets: DataFrame, strategies: Sequence[dict]) -> DataFrame:
     """Gate, scale, score and rank: the selected bets of each (strategy, model, day).
@@ -24,8 +22,6 @@ def strategy_selection(bets: DataFrame, strategies: Sequence[dict]) -> DataFrame
     penalised, weight, skip_default, tiers, max_daily_loss, min_edge.
     """
     largest = max(s["top_n"] for s in strategies)
-    if largest > TOP_LIMIT:
-        raise ValueError(f"top_n above {TOP_LIMIT} would need a full ranking")
     median = quantiles(bets, ["model"], F.abs("pred_ensemble"), {"__median": 0.5})
     base = attach(bets, median, ["model"])
     j = with_parameters(base, strategies)
@@ -46,6 +42,11 @@ def strategy_selection(bets: DataFrame, strategies: Sequence[dict]) -> DataFrame
     return ranked.where(F.col("rank") <= F.col("p.top_n")).drop("__median")
 
 
+def short_days(strategies: Sequence[dict]) -> bool:
+    """Whether top-n bounds a day's bets so far that plain windows over a day are fine."""
+    return max(s["top_n"] for s in strategies) <= ledger.SHORT_DAY
+
+
 def strategy_ledger(bets: DataFrame, strategies: Sequence[dict]) -> DataFrame:
     """Selected bets with exposure cap, settlement and daily stop-loss."""
     sel = strategy_selection(bets, strategies)
@@ -55,18 +56,18 @@ def strategy_ledger(bets: DataFrame, strategies: Sequence[dict]) -> DataFrame:
     if not any(s.get("max_daily_loss") is not None for s in strategies):
         return capped.withColumn("strategy_pnl", F.col("raw_pnl"))
     line = Timeline(("strategy_id", "model", "d"), "rank")
-    return ledger.stop_loss(capped, line, "raw_pnl", F.col("p.max_daily_loss"), "strategy_pnl", bounded=True)
+    return ledger.stop_loss(capped, line, "raw_pnl", F.col("p.max_daily_loss"), "strategy_pnl", bounded=short_days(strategies))
 
 
 def strategy_matrix(bets: DataFrame, strategies: Sequence[dict]) -> DataFrame:
     """One row per (strategy, model) with bets, win rate, P&L, ROI and drawdown.
 
-    Top-n per day bounds a ledger, so its windows are plain ones.
+    A small top-n per day bounds a ledger, so its windows are plain ones.
     """
     rows = strategy_ledger(bets, strategies).select(
         "strategy_id", "model", "d", "game_id", "bet_side", "covered", "stake", "strategy_pnl"
     )
-    money = ledger.compounded(rows, Timeline(("strategy_id", "model"), ("d", "game_id")), "strategy_pnl", floor=1e-12, bounded=True)
+    money = ledger.compounded(rows, Timeline(("strategy_id", "model"), ("d", "game_id")), "strategy_pnl", floor=1e-12, bounded=short_days(strategies))
     return money.groupBy("strategy_id", "model").agg(
         F.count(F.lit(1)).alias("bets_placed"),
         F.count(F.when(F.col("bet_side") == "HOME", 1)).alias("home_bets"),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -11,15 +10,14 @@ from pyspark.sql import functions as F
 
 from lagwise.operators.nested import envelope_schema
 from lagwise.operators.sets import latest
+from lagwise.session import shared_folder
 from lagwise.sources.documents import FLATTEN, flatten_envelopes
 from lagwise.sources.tables import table_exists
 
 
 def job_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder for a job's state and output in the shared folder of the cluster."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    base = shared or tempfile.mkdtemp(prefix="lagwise-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def flatten_new_documents(spark: SparkSession, raw: str, out: str, checkpoint: str, provider: str, per_file: bool = True) -> None:

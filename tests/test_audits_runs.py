@@ -124,3 +124,10 @@ def test_captured_run(spark, tmp_path):
     listed = {r["run_id"]: (r["status"], r["problems"]) for r in runs.list_runs(spark, root).collect()}
     assert listed["r1"][0] == "partial" and any("bets: row count" in p for p in listed["r1"][1])
     assert "late data" in listed["r3"][1] and "fold_metrics: test windows overlap or are out of order" in listed["r3"][1]
+
+
+def test_fingerprint_sees_values_moving_between_columns(spark):
+    a = spark.createDataFrame([("x", None), (None, None)], "a string, b string")
+    b = spark.createDataFrame([(None, "x"), (None, None)], "a string, b string")
+    assert audits.fingerprint(a).first() != audits.fingerprint(b).first()
+    assert audits.fingerprint(a).first() == audits.fingerprint(a.select("b", "a").repartition(3)).first()

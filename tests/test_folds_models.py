@@ -89,6 +89,27 @@ def test_pair_ratings_match_loop(spark):
         elo[a] += 20 * mult * ((1 - act) - (1 - exp))
 
 
+def test_game_without_score_leaves_ratings(spark):
+    kind = "pool_id int, game_id bigint, game_date date, season int, home int, away int, score_home int, score_away int"
+    games = [(0, i, DAY0 + dt.timedelta(days=i), 2024, 1 + i % 2, 2 - i % 2, 90 + i, 95) for i in range(8)]
+    gap = (0, 50, DAY0 + dt.timedelta(days=3, hours=0), 2024, 3, 4, None, 80)
+    stub = (0, 99, DAY0 + dt.timedelta(days=20), 2024, 1, 2, None, None)
+    whole = {r["game_id"]: (r["elo_home"], r["elo_away"]) for r in ratings.pair_ratings(spark.createDataFrame([*games, gap, stub], kind)).collect()}
+    plain = {r["game_id"]: (r["elo_home"], r["elo_away"]) for r in ratings.pair_ratings(spark.createDataFrame(games, kind)).collect()}
+    assert {i: whole[i] for i in plain} == plain
+    assert whole[50] == (1500.0, 1500.0) and not any(math.isnan(v) for v in whole[99]) and whole[99] != (1500.0, 1500.0)
+
+
+def test_logistic_keeps_every_row(spark):
+    rng = random.Random(3)
+    rows = [(i, i // 100, None if i % 50 == 7 else rng.gauss(0, 1), rng.randint(0, 1)) for i in range(500)]
+    out = models.logistic_by_fold(spark.createDataFrame(rows, "game_id bigint, fold int, x double, won int"), "x", "won", 250).collect()
+    assert len(out) == 500
+    for r in out:
+        want = "few rows" if r.fold <= 2 else "no feature" if r.game_id % 50 == 7 else None
+        assert r.reason == want and (r.p is None) == (want is not None)
+
+
 def calibration_rows():
     rng = np.random.default_rng(5)
     rows = []

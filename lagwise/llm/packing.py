@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from lagwise.llm.common import written
 from lagwise.llm.words import chunks
 
-#: Chunks of text between white space whose ids a worker remembers.
-REMEMBERED = 500_000
+#: Chunks of text between white space whose ids a worker remembers: about 300 MB at most.
+REMEMBERED = 1_500_000
 #: Pieces that one task ranks at most if all have the same length.
-RANKED = 100_000
+RANKED = 20_000
 
 
 class ChunkTokenizer:

@@ -15,7 +15,7 @@ from lagwise.llm.common import crc_of_id, written
 from lagwise.llm.words import CHUNK_BYTES, mixed, word_hashes
 
 #: Text that one task turns into one batch, and text per part of the hash range that one task counts.
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
 PART_BYTES = 16 << 20
 #: Weight of the failure arc: a state trusts its own counts as much as the root after this many uses.
 CONCENTRATION = 100.0

@@ -26,13 +26,20 @@ def select_daily(bets: DataFrame, keys: Sequence[str], day: str, score: Column,
     return top_n(bets, [*keys, day], [score.desc_nulls_last(), *tie], n, rank)
 
 
-def cap_exposure(bets: DataFrame, keys: Sequence[str], day: str, stake: str, cap: Column | float, name: str = "stake") -> DataFrame:
-    """Scale the day's stakes so that they do not exceed the cap together."""
+def cap_exposure(bets: DataFrame, keys: Sequence[str], day: str, stake: str, cap: Column | float, name: str = "stake", bounded: bool = False) -> DataFrame:
+    """Scale the day's stakes so that they do not exceed the cap together.
+
+    ``bounded``: a day holds only a fixed number of bets, so their sum is a plain
+    window, which keeps the partitioning that a top-n selection left.
+    """
     group = [*keys, day]
-    total = bets.groupBy(*group).agg(F.sum(stake).alias("__total"))
     limit = cap if isinstance(cap, Column) else F.lit(float(cap))
     scale = F.when(F.col("__total") > limit, limit / F.col("__total")).otherwise(F.lit(1.0))
-    return bets.join(total, group).withColumn(name, F.col(stake) * scale).drop("__total")
+    if bounded:
+        summed = bets.withColumn("__total", F.sum(stake).over(Window.partitionBy(*group)))
+    else:
+        summed = bets.join(bets.groupBy(*group).agg(F.sum(stake).alias("__total")), group)
+    return summed.withColumn(name, F.col(stake) * scale).drop("__total")
 
 
 def stop_loss(bets: DataFrame, line: Timeline, pnl: str, limit: Column, name: str = "pnl_kept", bounded: bool = False) -> DataFrame:

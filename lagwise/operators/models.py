@@ -62,10 +62,10 @@ def standardised(train: DataFrame, other: DataFrame, columns: Sequence[str]) ->
 
 
 def regression_pipeline(estimator, features: Sequence[str]) -> Pipeline:
-    """Median imputation fitted on the training rows, one vector, one estimator."""
+    """Exact median imputation fitted on the training rows, one vector, one estimator."""
     imputed = [f"{c}__imp" for c in features]
     return Pipeline(stages=[
-        Imputer(strategy="median", inputCols=list(features), outputCols=imputed),
+        Imputer(strategy="median", relativeError=0.0, inputCols=list(features), outputCols=imputed),
         VectorAssembler(inputCols=imputed, outputCol="features"),
         estimator,
     ])

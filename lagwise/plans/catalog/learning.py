@@ -188,15 +188,15 @@ def model_table(s):
 FEATURES = ["home_form", "away_form", "home_scoring", "away_scoring", "never"]
 
 
-def walk(s):
-    rows = cut_lineage(model_table(s))
+def walk(s, names=("linear", "elastic"), rows=None):
+    rows = cut_lineage(model_table(s)) if rows is None else rows
     n = rows.count()
-    return models.walk_forward(rows, "game_date", "game_id", FEATURES, ["linear", "elastic"], int(n * 0.4), int(n * 0.25))
+    return models.walk_forward(rows, "game_date", "game_id", FEATURES, list(names), int(n * 0.4), int(n * 0.25))
 
 
 @query("walk_forward_models", "R-09 R-06 R-07 R-10 R-11")
 def walk_forward_models(s):
-    return walk(s)[0]
+    return walk(s, tuple(models.REGRESSORS))[0]
 
 
 @query("walk_forward_ensemble", "R-12 R-09")
@@ -210,7 +210,8 @@ def slate_forecast(s):
     last = rows.agg(F.max("game_date")).first()[0]
     models.require_fresh(rows.where(F.col("game_date") < F.lit(last)), "game_date", last, 5)
     done, slate = rows.where(F.col("game_date") < F.lit(last)), rows.where(F.col("game_date") == F.lit(last))
-    return models.forecast(done, slate, "game_date", "game_id", FEATURES, ["linear", "elastic"], 4000, {"linear": 0.5, "elastic": 0.5})
+    weights = models.final_weights(walk(s, rows=done)[0])
+    return models.forecast(done, slate, "game_date", "game_id", FEATURES, list(weights), int(done.count() * 0.4), weights)
 
 
 def lagged_features(games):

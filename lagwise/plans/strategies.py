@@ -13,6 +13,7 @@ from lagwise.operators import ledger
 from lagwise.operators.joins import with_parameters
 from lagwise.operators.ranking import attach, quantiles
 from lagwise.operators.timeline import Timeline
+from lagwise.session import cut_lineage
 
 
 def strategy_selection(bets: DataFrame, strategies: Sequence[dict]) -> DataFrame:
@@ -22,6 +23,7 @@ def strategy_selection(bets: DataFrame, strategies: Sequence[dict]) -> DataFrame
     penalised, weight, skip_default, tiers, max_daily_loss, min_edge.
     """
     largest = max(s["top_n"] for s in strategies)
+    bets = cut_lineage(bets)  # read for the median, and once more for the sweep
     median = quantiles(bets, ["model"], F.abs("pred_ensemble"), {"__median": 0.5})
     base = attach(bets, median, ["model"])
     j = with_parameters(base, strategies)
@@ -50,7 +52,7 @@ def short_days(strategies: Sequence[dict]) -> bool:
 def strategy_ledger(bets: DataFrame, strategies: Sequence[dict]) -> DataFrame:
     """Selected bets with exposure cap, settlement and daily stop-loss."""
     sel = strategy_selection(bets, strategies)
-    capped = ledger.cap_exposure(sel, ["strategy_id", "model"], "d", "k", F.col("p.exposure"))
+    capped = ledger.cap_exposure(sel, ["strategy_id", "model"], "d", "k", F.col("p.exposure"), bounded=short_days(strategies))
     raw = settle(F.col("stake"), F.col("bet_side"), F.col("covered"), F.col("payout_home"), F.col("payout_away"))
     capped = capped.withColumn("raw_pnl", raw)
     if not any(s.get("max_daily_loss") is not None for s in strategies):

@@ -219,5 +219,7 @@ def test_styles_are_prior_only(spark):
     base = ids(rows)
     assert {m for m, _ in base} == {dt.date(2024, 2, 1)} and len(base) == 10
     assert all(base[dt.date(2024, 2, 1), t] == base[dt.date(2024, 2, 1), t % 4] for t in range(10))
+    few = styles.style_ids(styles.prior_profiles(spark.createDataFrame([r for r in rows if r[3] < 5], kind), ["pool_id"], "team", "game_date", cols), ["pool_id"], "team", cols).collect()
+    assert len(few) == 5 and {(r["style_id"], r["reason"]) for r in few} == {(None, "few teams")}
     later = [(*r[:4], r[4] * 9, r[5], r[6]) if r[2] >= dt.date(2024, 2, 1) and r[3] == 0 else r for r in rows]
     assert ids(later) == base

@@ -126,3 +126,17 @@ def test_merge_newer_and_model_rows(spark):
     wide = spark.createDataFrame([(1, 0.5, 0.7, "HOME")], "id int, pnl_a double, pnl_b double, side_a string")
     rows = sorted(tuple(r) for r in sets.model_rows(wide, ["id"], ["pnl", "side"]).select("model", "pnl", "side").collect())
     assert rows == [("a", 0.5, "HOME"), ("b", 0.7, None)]
+
+
+def test_selection_beyond_a_short_day(spark):
+    rows = [(i, i % 2, float(i * 37 % 1501) if i % 9 else None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "game_id int, d int, score double")
+    got = {r["game_id"]: r["rank"] for r in ledger.select_daily(df, [], "d", F.col("score"), ["game_id"], 1200).collect()}
+    want = {}
+    for day in (0, 1):
+        order = sorted((r for r in rows if r[1] == day), key=lambda r: (r[2] is None, -(r[2] or 0), r[0]))
+        want |= {r[0]: k + 1 for k, r in enumerate(order[:1200])}
+    assert got == want
+    stakes = df.select("game_id", "d", (F.col("game_id") % 7).cast("double").alias("k"))
+    plain, short = ({r["game_id"]: r["stake"] for r in ledger.cap_exposure(stakes, [], "d", "k", 5.0, bounded=b).collect()} for b in (False, True))
+    assert plain == pytest.approx(short)

@@ -18,6 +18,11 @@ def query(fn):
     return fn
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PLAIN = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_SPLIT = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+
 @query
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -29,12 +34,40 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+SQL["op8_benchmark_decontamination"] = f"""
+WITH d AS (SELECT doc_id, {_PLAIN} AS w FROM documents),
+     i AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_PLAIN} AS w FROM benchmark WHERE item_id IS NOT NULL),
+     iw AS (SELECT DISTINCT item_id, array_to_string(w[p:p + 9], ' ') AS win, least(10, len(w)) AS n
+            FROM (SELECT item_id, w, unnest(generate_series(1, greatest(1, len(w) - 9))) AS p FROM i WHERE len(w) > 0)),
+     lens AS (SELECT DISTINCT n FROM iw),
+     dw AS (SELECT doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS win
+            FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS p FROM d JOIN lens ON len(w) >= n)),
+     occ AS (SELECT doc_id, p, iw.n, item_id FROM dw JOIN iw ON dw.win = iw.win AND dw.n = iw.n),
+     hit AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(generate_series(p, p + n - 1)) AS at FROM occ) GROUP BY doc_id),
+     named AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM occ) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN named ON named.doc_id = d.doc_id
+"""
+
+
 @query
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.deduplicate(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+SQL["op2_substring_dedup"] = f"""
+WITH d AS (SELECT doc_id, {_SPLIT} AS w FROM documents),
+     win AS (SELECT doc_id, p, array_to_string(w[p:p + 49], ' ') AS win FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS p FROM d WHERE len(w) >= 50)),
+     least AS (SELECT win, min(doc_id) AS m FROM win GROUP BY win),
+     gone AS (SELECT DISTINCT doc_id, unnest(generate_series(p, p + 49)) AS at FROM win JOIN least ON least.win = win.win WHERE m < doc_id),
+     words AS (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS at FROM d WHERE len(w) > 0),
+     kept AS (SELECT words.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY words.at) AS said
+              FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.at = words.at WHERE gone.at IS NULL GROUP BY words.doc_id)
+SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(said, '')) AS kept_sha256 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
+
 @query
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lagwise.operators.timeline import Timeline, cum_count, running
+from lagwise.operators.timeline import RANGE, Timeline, cum_count, in_ranges, running
 
 
 def fold_calendar(df: DataFrame, day: str, train_rows: int, test_rows: int) -> DataFrame:
@@ -77,13 +77,13 @@ def training_rows(df: DataFrame, calendar: DataFrame, day: str) -> DataFrame:
 def fixed_row_folds(df: DataFrame, order: Sequence[str], train_rows: int, test_rows: int) -> DataFrame:
     """Fold number of each test row by position; the incomplete tail gets none.
 
-    Positions come from per-day counts, so there is no global sort.
+    Positions come from counts of sampled ranges, so a day with many rows is no single task.
     """
-    placed = running(df, Timeline((), order), {"__p": cum_count()}, overall={"__n": cum_count()})
+    placed = running(in_ranges(df, (), order), Timeline((), order, RANGE), {"__p": cum_count()}, overall={"__n": cum_count()})
     number = F.floor((F.col("__p") - train_rows) / test_rows) + 1
     complete = train_rows + number * test_rows <= F.col("__n")
     fold = F.when((F.col("__p") >= train_rows) & complete, number.cast("int"))
-    return placed.withColumn("fold", fold).drop("__p", "__n")
+    return placed.withColumn("fold", fold).drop("__p", "__n", RANGE)
 
 
 def season_split(df: DataFrame, season: str, held_out: Sequence[int]) -> tuple[DataFrame, DataFrame]:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagwise.operators.folds import causal_weights, ensemble, fold_calendar
-from lagwise.operators.timeline import Timeline, positions
+from lagwise.operators.timeline import RANGE, Timeline, in_ranges, positions
 from lagwise.session import cut_lineage
 
 # Model id -> estimator factory. All learn from a "features" vector and a "label".
@@ -93,6 +93,13 @@ def fit_one(rows: DataFrame, spec: FoldSpec, features: Sequence[str], model: str
     )
 
 
+def _placed(rows: DataFrame, day: str, key: str) -> DataFrame:
+    """Rows with their position in time and the label, the market's error."""
+    order = (day, key)
+    placed = positions(in_ranges(rows, (), order), Timeline((), order, RANGE), "__pos").drop(RANGE)
+    return placed.withColumn("label", (F.col("home_margin") + F.col("spread_signed")).cast("double"))
+
+
 def walk_forward(
     rows: DataFrame, day: str, key: str, features: Sequence[str], models: Sequence[str], train_rows: int, test_rows: int, workers: int = 4,
 ) -> tuple[DataFrame, DataFrame]:
@@ -107,8 +114,7 @@ def walk_forward(
     specs = fold_specs(calendar)
     if not specs:
         raise ValueError("not enough rows for one fold")
-    placed = positions(rows, Timeline((), (day, key)), "__pos").withColumn("label", (F.col("home_margin") + F.col("spread_signed")).cast("double"))
-    placed = cut_lineage(placed)
+    placed = cut_lineage(_placed(rows, day, key))
     jobs = [(s, m) for s in specs for m in models]
     with ThreadPoolExecutor(max_workers=workers) as pool:
         parts = list(pool.map(lambda j: fit_one(placed, j[0], features, j[1], key), jobs))
@@ -144,7 +150,7 @@ def forecast(
 
     The window is the last ``train_rows`` rows extended back to a date boundary.
     """
-    placed = positions(history, Timeline((), (day, key)), "__pos").withColumn("label", (F.col("home_margin") + F.col("spread_signed")).cast("double"))
+    placed = _placed(history, day, key)
     total = history.count()
     starts = history.groupBy(day).agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy(day).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

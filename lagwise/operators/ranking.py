@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lagwise.functions.numeric import value_bucket
-from lagwise.operators.timeline import Timeline, cum_count, cum_sum, running
+from lagwise.operators.timeline import RANGE, Timeline, cum_count, cum_sum, in_ranges, running
 
 _ONE = "__one"
 
@@ -30,13 +29,12 @@ def top_n(df: DataFrame, keys: Sequence[str], order: Sequence, n: int, rank: str
 
 
 def _ranked(df: DataFrame, keys: Sequence[str], metric: Column, tie: Sequence, name: str, descending: bool, size: str | None) -> DataFrame:
-    rows = df.withColumn("__m", metric.cast("double"))
     order = F.col("__m").desc_nulls_last() if descending else F.col("__m").asc_nulls_last()
-    bucket = value_bucket(-F.col("__m") if descending else F.col("__m"))
-    line = Timeline(keys, (order, *tie), F.when(F.col("__m").isNull(), F.lit(100_000)).otherwise(bucket))
+    rows = in_ranges(df.withColumn("__m", metric.cast("double")), keys, (order, *tie))
+    line = Timeline(keys, (order, *tie), RANGE)
     overall = {size: cum_count(F.col("__m"))} if size else None
     out = running(rows, line, {name: cum_count()}, overall=overall)
-    return out.withColumn(name, (F.col(name) + 1).cast("bigint")).drop("__m")
+    return out.withColumn(name, (F.col(name) + 1).cast("bigint")).drop("__m", RANGE)
 
 
 def group_rank(df: DataFrame, keys: Sequence[str], metric: Column, tie: Sequence, name: str, descending: bool = True) -> DataFrame:
@@ -61,11 +59,12 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: Column, probs: dict[str
     """Exact quantiles per group with linear interpolation.
 
     Values are counted first; the distinct values are then accumulated in order,
-    bucket by bucket, so no group is sorted or held in one task.
+    range by range, so no group is sorted or held in one task.
     """
     rows = df.select(*keys, value.cast("double").alias("__v")).where("__v IS NOT NULL")
     counts = rows.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n"))
-    line = Timeline(tuple(keys), "__v", value_bucket(F.col("__v")))
+    counts = in_ranges(counts, keys, ["__v"])
+    line = Timeline(tuple(keys), "__v", RANGE)
     size = cum_sum(F.col("__n"))
     j = running(counts, line, {"__b": size}, overall={"__t": size}).withColumn("__b", F.coalesce("__b", F.lit(0)))
 

@@ -28,8 +28,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lagwise.session import cut_lineage
+
 CHUNK_ROWS = 1_000_000
 _BUCKET = "__bucket"
+RANGE = "__range"
 
 
 class Timeline:
@@ -149,6 +152,16 @@ def running(
     )
 
 
+def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
+    """``df`` with ``__range``, a bucket for any order: the ranges of (keys, order) that Spark samples for a sort.
+
+    Ranges hold about equally many rows whatever the values are, since the whole
+    order decides, ties included. The frame is checkpointed, because the ranges of
+    another run would differ.
+    """
+    return cut_lineage(df.repartitionByRange(*keys, *order).withColumn(RANGE, F.spark_partition_id()))
+
+
 def positions(df: DataFrame, line: Timeline, name: str = "pos") -> DataFrame:
     """Zero-based row number inside the entity, exact for any group size."""
     return running(df, line, {name: cum_count()})

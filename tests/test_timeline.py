@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lagwise.operators import ranking
 from lagwise.operators import windows as W
-from lagwise.operators.timeline import Timeline, by_day, cum_count, cum_max, cum_min, cum_product, cum_sum, framed, positions, running
+from lagwise.operators.ranking import group_rank
+from lagwise.operators.timeline import RANGE, Timeline, by_day, cum_count, cum_max, cum_min, cum_product, cum_sum, framed, in_ranges, positions, running
 
 random.seed(3)
 # entity "a" holds most rows; days repeat; values have nulls
@@ -129,3 +130,22 @@ def test_exact_quantiles_rank_and_bins(df):
         for i, r in enumerate(up):
             assert bins[r[2]][0] == f"Q{max(1, -(-i * 4 // (n - 1)))}"
     assert all(bins[r[2]][0] is None for r in ROWS if r[3] is None)
+
+
+@pytest.mark.parametrize("metric", ["1.5", "1000 + id / 1e9", "if(id % 10 = 0, id, null)"])
+def test_no_range_holds_many_rows(spark, metric):
+    """A constant, a narrow and a mostly missing metric: ranks are right, and no task gets more than a few per cent."""
+    df = spark.range(20_000).selectExpr("id", f"cast({metric} as double) m")
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        order = (F.col("m").desc_nulls_last(), "id")
+        sizes = [r["count"] for r in in_ranges(df, (), order).groupBy(RANGE).count().collect()]
+        assert sum(sizes) == 20_000 and max(sizes) < 1_200
+        got = {r["id"]: r["r"] for r in group_rank(df, [], F.col("m"), ["id"], "r").collect()}
+        rows = sorted(df.collect(), key=lambda r: (r.m is None, -(r.m or 0), r.id))
+        assert got == {r.id: i + 1 for i, r in enumerate(rows)}
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)

@@ -33,11 +33,14 @@ def read_or_build(spark: SparkSession, path: str, build, read_on_hit: bool = Tru
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a table at the path; any other trouble with it is an error, not an absent table."""
     try:
         spark.read.parquet(path).schema
         return True
-    except AnalysisException:
-        return False
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # nothing there, or an empty folder
+            return False
+        raise
 
 
 def conform(df: DataFrame, schema: StructType) -> DataFrame:

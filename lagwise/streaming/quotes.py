@@ -38,17 +38,26 @@ def deduplicate(stream: DataFrame, keys: Sequence[str], time: str, delay: str =
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def append_once(path: str, keys: Sequence[str], order: Sequence[str] = ()) -> Callable[[DataFrame, int], None]:
+def append_once(path: str, keys: Sequence[str], order: Sequence[str] = (), partition: str | None = None) -> Callable[[DataFrame, int], None]:
     """foreachBatch sink that appends only rows whose key is not stored yet.
 
-    A replayed batch adds nothing, so the sink is idempotent.
+    A replayed batch adds nothing, so the sink is idempotent. With ``partition``, a
+    key column such as the date, the table is stored by it and only the partitions
+    that the batch touches are read again.
     """
+    if partition and partition not in keys:
+        raise ValueError("the partition must be one of the keys")
+
     def write(batch: DataFrame, _batch_id: int) -> None:
         spark = batch.sparkSession
         fresh = latest(batch, keys, list(order) or list(keys), keep="first")
         if table_exists(spark, path):
-            fresh = fresh.join(spark.read.parquet(path).select(*keys), list(keys), "left_anti")
-        fresh.write.mode("append").parquet(path)
+            stored = spark.read.parquet(path).select(*keys)
+            if partition:
+                touched = [r[0] for r in fresh.select(partition).distinct().collect()]  # a batch's few dates
+                stored = stored.where(F.col(partition).isin(touched))
+            fresh = fresh.join(stored, list(keys), "left_anti")
+        fresh.write.mode("append").partitionBy(*([partition] if partition else [])).parquet(path)
 
     return write
 

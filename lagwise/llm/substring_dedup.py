@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagwise.llm.common import documents, written
-from lagwise.llm.words import Chunk, chunks, mixed, shingle_hashes, word_hashes
+from lagwise.llm.words import Chunk, chunks, mixed, shingle_hashes, slices, word_hashes
 
 _BASES = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25))
 _INVERSES = tuple(np.uint64(pow(int(b), -1, 1 << 64)) for b in _BASES)
@@ -110,7 +110,7 @@ def _read_sources(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
     def of(batches):
-        for b in batches:
+        for b in slices(batches):
             for doc, text, asked in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), b.column(2)):
                 words = (text.as_py() or b"").split()
                 digests = _Digests(word_hashes(words))
@@ -229,7 +229,7 @@ def deduplicate(docs: DataFrame, size: int = 50) -> DataFrame:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def of(batches):
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for doc, text, cut in zip(b.column(0), b.column(1).cast(pa.binary()), b.column(2)):
                 text, cut = text.as_py(), cut.as_py()

@@ -7,11 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 from lagwise.llm.common import PLAIN_WORDS
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -19,7 +20,7 @@ class _Hashes(dict):
     """Hash of each word; emptied when it grows large, so a worker's memory stays bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 250_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -76,22 +77,26 @@ class Chunk:
         return of[:n] == of[size - 1 : size - 1 + n]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], split=bytes.split, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
-    """Arrow batches of ``doc_id, text, ...`` cut into runs of whole documents of about ``limit`` bytes."""
+def slices(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut into runs of whole rows with about ``limit`` bytes of text."""
     for b in batches:
-        texts = b.column(1).cast(pa.binary()).to_pylist()
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
-        while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end] or b"") <= limit):
-                size += len(texts[end] or b"")
-                end += 1
-            words: list[bytes] = []
-            first = [0]
-            for t in texts[at:end]:
-                if t:
-                    words += split(t)
-                first.append(len(words))
-            rest = [b.column(i).slice(at, end - at) for i in range(2, b.num_columns)]
-            yield Chunk(b.column(0).slice(at, end - at), texts[at:end], words, np.array(first), rest)
+        while at < b.num_rows:
+            before = ends[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
+            yield b.slice(at, end - at)
             at = end
+
+
+def chunks(batches: Iterator[pa.RecordBatch], split=bytes.split, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
+    """Arrow batches of ``doc_id, text, ...`` cut into runs of whole documents of about ``limit`` bytes."""
+    for b in slices(batches, 1, limit):
+        texts = b.column(1).cast(pa.binary()).to_pylist()
+        words: list[bytes] = []
+        first = [0]
+        for t in texts:
+            if t:
+                words += split(t)
+            first.append(len(words))
+        yield Chunk(b.column(0), texts, words, np.array(first), [b.column(i) for i in range(2, b.num_columns)])

@@ -68,3 +68,17 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], KIND)
     assert near_dedup.near_duplicates(df).collect() == []
     assert near_dedup.keep_one_per_group(df).collect() == []
+
+
+def test_chunks_cut_batches_into_whole_rows():
+    import pyarrow as pa
+
+    from lagwise.llm.words import chunks
+
+    texts = ["a b", None, "", "c " * 50, "d", "e f g", "h" * 300, "i"]
+    b = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts), pa.array(list("pqrstuvw"))], ["doc_id", "text", "k"])
+    for limit in (1, 5, 120, 10_000):
+        parts = list(chunks([b.slice(0, 3), b.slice(3)], limit=limit))
+        assert [i for c in parts for i in c.ids.to_pylist()] == list(range(8))
+        assert [k for c in parts for k in c.rest[0].to_pylist()] == list("pqrstuvw")
+        assert [c.words[x:y] for c in parts for x, y in zip(c.first, c.first[1:])] == [(t or "").encode().split() for t in texts]

@@ -121,7 +121,7 @@ def team_ratings(s):
 
 
 @query(
-    "exact_quantiles", "A-18 R-07",
+    "exact_quantiles", "A-18",
     """SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 4) AS median, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90 FROM lineitem GROUP BY 1""",
 )
 def exact_quantiles(s):

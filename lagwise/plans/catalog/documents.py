@@ -73,7 +73,7 @@ def flatten_quotes_b(s):
 
 
 @query(
-    "flatten_candles", "N-05 N-06 S-08",
+    "flatten_candles", "N-05 N-06",
     """SELECT 'L' || l_orderkey || '-' || l_partkey || '-' || l_suppkey AS ticker, CAST(epoch(l_shipdate) - 3 * 3600 AS BIGINT) AS tip_ts, k.end_ts AS end_period_ts,
   CASE WHEN k.end_ts IS NOT NULL THEN l_quantity END AS bid, CASE WHEN k.end_ts IS NOT NULL THEN l_quantity + 1 END AS ask, CASE WHEN k.end_ts = 2 THEN l_tax END AS price
 FROM lineitem, (VALUES (0, 0, NULL::BIGINT), (1, 3, 1::BIGINT), (1, 3, 2::BIGINT), (4, 7, 1::BIGINT)) k(lo, hi, end_ts) WHERE l_linenumber BETWEEN lo AND hi OR l_linenumber NOT BETWEEN 1 AND 7 AND k.end_ts IS NULL""",

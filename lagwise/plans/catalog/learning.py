@@ -67,7 +67,7 @@ def season_holdout(s):
 
 
 @query(
-    "causal_ensemble", "R-12 R-10",
+    "causal_ensemble", "R-12",
     f"""WITH {PREDICTIONS}, u AS (SELECT game_id, fold, home_margin, 'm1' AS model, pred_m1 AS pred FROM predictions UNION ALL SELECT game_id, fold, home_margin, 'm2', pred_m2 FROM predictions),
 r AS (SELECT fold, model, sqrt(avg(pow(home_margin - pred, 2))) AS rmse FROM u GROUP BY 1, 2),
 w AS (SELECT fold, model, coalesce(1.0 / avg(rmse) OVER (PARTITION BY model ORDER BY fold ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1.0) AS raw FROM r),
@@ -82,7 +82,7 @@ def causal_ensemble(s):
 
 
 @query(
-    "train_standardisation", "R-08 R-06",
+    "train_standardisation", "R-08",
     f"""WITH {GAMES}, st AS (SELECT avg(score_home) AS m, stddev_samp(score_home) AS sd FROM games WHERE season < 1999)
 SELECT game_id, round((score_home - m) / CASE WHEN sd = 0 THEN 1 ELSE sd END, 6) AS score_scaled FROM games, st WHERE season >= 1999""",
 )
@@ -234,7 +234,7 @@ AUDIT_DAY = dt.date(1998, 6, 15)
 
 
 @query(
-    "point_in_time_audit", "Q-01 Q-02",
+    "point_in_time_audit", "Q-01",
     f"""WITH {GAMES}, n AS (SELECT count(*) AS n FROM games WHERE game_date = DATE '1998-06-15')
 SELECT 'home_form' AS "column", n AS rows, 0 AS missing_keys, 0 AS differing FROM n UNION ALL SELECT 'away_form', n, 0, 0 FROM n UNION ALL SELECT 'leak', n, 0, n FROM n""",
 )

@@ -24,7 +24,7 @@ def feature_table(s):
 
 
 @query(
-    "feature_table", "S-02 J-01 C-32 C-33 M-07 W-01 W-02 W-03 W-04 W-06 W-08 W-09 W-10 W-11 W-12 W-13 R-01 R-02",
+    "feature_table", "S-02 J-01 C-32 W-01 W-02 W-03 W-04 W-08 W-09 W-10",
     f"""WITH {TEAM_GAMES}, f AS (SELECT *, CASE WHEN count(margin) OVER w = 5 THEN avg(margin) OVER w END AS m5, d - lag(d) OVER (PARTITION BY team ORDER BY d, game_id) AS rest FROM tg
   WINDOW w AS (PARTITION BY team ORDER BY d, game_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)),
 sv AS (SELECT game_id, max(rest) FILTER (is_home = 1) AS hr, max(rest) FILTER (is_home = 0) AS ar, max(m5) FILTER (is_home = 1) AS hm, max(m5) FILTER (is_home = 0) AS am FROM f GROUP BY 1 HAVING count(m5) = 2),
@@ -40,7 +40,7 @@ def feature_table_query(s):
     return t.select("game_id", r6("margin_last5_diff").alias("margin_last5_diff"), "rest_diff", "win_streak", "games_last_7_days", r6("margin_std_last_10").alias("margin_std_last_10"), r6("rolling_margin_diff_10").alias("rolling_margin_diff_10"))
 
 
-@query("feature_table_wide", "C-24 C-25 C-34 M-01 R-01 R-02 W-07")
+@query("feature_table_wide", "M-01 R-01 R-02")
 def feature_table_wide(s):
     return feature_table(s)
 

@@ -248,7 +248,7 @@ def model_statistics(s):
 
 
 @query(
-    "slot_intervals", "J-19 ST-04 ST-06",
+    "slot_intervals", "J-19 ST-06",
     """WITH g AS (SELECT CAST(o_orderdate AS DATE) AS day, o_orderkey, o_orderdate + to_minutes(CAST(18 * 60 + (o_orderkey % 4) * 30 AS BIGINT)) AS tip FROM orders), t AS (SELECT DISTINCT day, tip FROM g),
 a AS (SELECT o_orderkey, day, count(*) FILTER (outcome = 'bad') AS fails, count(*) FILTER (outcome = 'ok') AS oks FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, CASE WHEN l_returnflag = 'R' THEN 'bad' WHEN l_returnflag = 'A' AND l_quantity > 40 THEN 'ok' ELSE 'other' END AS outcome FROM orders JOIN lineitem ON l_orderkey = o_orderkey) GROUP BY 1, 2),
 l AS (SELECT t.day, t.tip, sum(fails) AS fails, sum(oks) AS oks FROM t JOIN g ON g.day = t.day AND g.tip = t.tip LEFT JOIN a ON a.o_orderkey = g.o_orderkey GROUP BY 1, 2)

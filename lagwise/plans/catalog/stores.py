@@ -54,7 +54,7 @@ def stream_documents(s):
 
 
 @query(
-    "experiment_log", "S-04 S-15 S-03",
+    "experiment_log", "S-04",
     """SELECT CAST(o_orderkey AS VARCHAR) AS run, o_totalprice AS score, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_custkey AS INTEGER) END AS train_size, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 'a, b' END AS models FROM orders""",
 )
 def experiment_log(s):

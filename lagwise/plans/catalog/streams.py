@@ -39,7 +39,7 @@ def stream_usage(s):
 
 
 @query(
-    "incremental_children", "ST-03 S-03 J-09",
+    "incremental_children", "ST-03 J-09",
     """SELECT o_orderkey, CAST(o_custkey AS BIGINT) AS o_custkey FROM orders""",
 )
 def incremental_children(s):

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lagwise.llm import decontaminate, near_dedup, packing, quality_rules, substring_dedup
-from lagwise.llm.common import table, written
+from lagwise.llm.common import by_row, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,18 +15,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least doc_id stays."""
-    return near_dedup.keep_one_per_group(docs)
+    """Of each group of near copies the row with the least doc_id stays (``by_row``: rows without one come last)."""
+    return by_row(docs, near_dedup.keep_one_per_group)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words or more that an earlier document has are cut out."""
-    return substring_dedup.cut_repeats(docs)
+    """Passages of 50 words or more that an earlier row (``by_row``) has are cut out."""
+    return by_row(docs, substring_dedup.cut_repeats)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
-    return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    """Rows that hold a passage of the benchmark go."""
+    return by_row(docs, lambda rows: decontaminate.without_contaminated(rows, table(spark, sf_dir, "benchmark")))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +52,20 @@ def documents(df: DataFrame) -> DataFrame:
     return docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("text").alias("text"))
 
 
+def by_row(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``stage`` on ``docs``, whose operators join by doc_id, with every row as a document of its own.
+
+    Where a doc_id repeats or is missing, rows get keys in a written table, which the stage sees as doc_id: in order of
+    doc_id (null last), then of a digest of the text, then of place in the input. Other tables cost one count of the ids.
+    """
+    if docs.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").isEmpty():
+        return stage(docs)
+    order = [F.col("doc_id").asc_nulls_last(), F.sha2(F.col("text").cast("binary"), 256).asc_nulls_last(), "__at"]
+    ordered = docs.withColumn("__at", F.monotonically_increasing_id()).orderBy(*order).drop("__at")
+    keyed = written(ordered.withColumnRenamed("doc_id", "__doc_id").withColumn("doc_id", F.monotonically_increasing_id()), "rows")
+    return stage(keyed).drop("doc_id").withColumnRenamed("__doc_id", "doc_id").select(*docs.columns)
+
+
 def crc_of_id() -> Column:
     """crc32 of the doc_id's decimal text; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))

@@ -74,3 +74,26 @@ def test_stages_take_awkward_and_empty_tables(spark, tmp_path):
             got = out.collect()
             assert name == "best_fit_packing" or out.columns == df.columns
             assert len(got) <= len(rows) and bool(got) == bool(source.count())
+
+
+def test_every_row_of_a_repeated_or_missing_id_counts(spark, tmp_path):
+    rng, folder = random.Random(8), str(tmp_path)
+    a, b, c, d, copy, item = (prose(rng, 80) for _ in range(6))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+    def left(stage, *rows):
+        df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], KIND).repartition(3)
+        out = dict(corpus_pipeline.STAGES)[stage](spark, df, folder)
+        assert out.dtypes == df.dtypes
+        return sorted(((r.doc_id, r.text.strip()) for r in out.collect()), key=str)
+
+    def rows(*want):
+        return sorted(want, key=str)
+
+    for x, y in ((a, b), (b, a)):  # either may have the lesser text or digest
+        assert left("benchmark_decontamination", (1, x), (1, f"{y} {item}"), (None, f"{c} {item}"), (None, d)) == rows((1, x), (None, d))
+        assert left("simhash_near_dedup", (0, copy), (1, x), (1, copy), (1, y), (None, copy), (None, d)) == rows((0, copy), (1, x), (1, y), (None, d))
+        assert left("substring_dedup", (0, copy), (1, f"{x} {copy}"), (1, f"{y} {copy}"), (None, f"{c} {copy}"), (None, copy), (None, d)) == rows(
+            (0, copy), (1, x), (1, y), (None, c), (None, d)
+        )
+    assert left("simhash_near_dedup", (1, a), (1, a), (None, b), (None, b)) == rows((1, a), (None, b))

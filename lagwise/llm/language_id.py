@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from lagwise.llm.common import crc_of_id
 from lagwise.llm.words import chunks
 
-#: Longest piece used, in characters with the mark for a word's start.
-LONGEST = 8
+#: Longest piece of the public vocabulary, in characters with the mark for a word's start; no piece is cut off by it.
+LONGEST = 16
 #: Languages that a model may have: its table is this times the vocabulary.
 MOST_LANGUAGES = 500
 #: Words whose probabilities a worker remembers.
@@ -26,14 +26,15 @@ _SLOTS = 20
 
 
 class Pieces:
-    """The pieces of a sentencepiece vocabulary up to ``LONGEST`` characters, found by the hash of their characters."""
+    """All pieces of a sentencepiece vocabulary, found by the hash of their characters; ``longest`` is their most characters."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         usable = (model.id_to_piece(i) for i in range(model.vocab_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)))
-        self.pieces = sorted({p for p in usable if len(p) <= LONGEST})
+        self.pieces = sorted(set(usable))
+        self.longest = max(map(len, self.pieces), default=1)
         self.hashes = np.zeros(len(self.pieces), np.uint64)
         for i, p in enumerate(self.pieces):
             h = 0
@@ -73,7 +74,7 @@ class Pieces:
                 text = "".join(words[i].ljust(size, "\0") for i in part.tolist())
                 codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(part), size).astype(np.uint64) + np.uint64(1)
                 h, found = np.zeros_like(codes), []
-                for n in range(1, min(LONGEST, size) + 1):
+                for n in range(1, min(self.longest, size) + 1):
                     h = h[:, : size - n + 1] * _BASE + codes[:, n - 1 :]
                     found.append(self.find(h))
                 yield part, lengths[part], found
@@ -87,15 +88,16 @@ def _pieces(path: str) -> Pieces:
 def _forward(found, probabilities: np.ndarray):
     """Scaled sums over the segmentations of each prefix, and the logarithm of the scale, per place and language."""
     n, size = found[0].shape
+    none = len(probabilities) - 1
     sums = [np.ones((n, probabilities.shape[1]))]
     logs = [np.zeros((n, 1))]
     for end in range(1, size + 1):
-        total = np.zeros_like(sums[0])
-        for k in range(1, min(len(found), end) + 1):
-            p = probabilities[found[k - 1][:, end - k]]
-            if k == 1:
-                p = np.maximum(p, UNKNOWN)
-            total += sums[end - k] * p * np.exp(logs[end - k] - logs[end - 1])
+        total = sums[end - 1] * np.maximum(probabilities[found[0][:, end - 1]], UNKNOWN)
+        for k in range(2, min(len(found), end) + 1):
+            piece = found[k - 1][:, end - k]
+            at = np.flatnonzero(piece < none)  # few places have a long piece
+            if len(at):
+                total[at] += sums[end - k][at] * probabilities[piece[at]] * np.exp(logs[end - k][at] - logs[end - 1][at])
         scale = np.maximum(total.max(axis=1, keepdims=True), 1e-300)
         sums.append(total / scale)
         logs.append(logs[end - 1] + np.log(scale))
@@ -127,15 +129,17 @@ def expected_counts(pieces: Pieces, words: list[str], weights: np.ndarray, prior
             after = behind_log[min(at + 1, size)]
             total = np.zeros(n)
             for k in range(1, min(len(use), size - at) + 1):
-                total += behind[at + k] * use[k - 1][:, at] * np.exp(behind_log[at + k] - after)
+                i = np.flatnonzero(use[k - 1][:, at])
+                total[i] += behind[at + k][i] * use[k - 1][i, at] * np.exp(behind_log[at + k][i] - after[i])
             total = np.where(lengths == at, 1.0, total)
             scale = np.where((lengths > at) & (total > 0), total, 1.0)
             behind[at], behind_log[at] = total / scale, np.where(lengths > at, after + np.log(scale), 0.0)
         whole = behind_log[0] + np.log(np.maximum(behind[0], 1e-300))
         for k, f in enumerate(found):
-            shares = ahead[: size - k] * use[k].T * behind[k + 1 :]
-            j, i = np.nonzero(shares)
-            weight = shares[j, i] * np.exp(ahead_log[j, i] + behind_log[j + k + 1, i] - whole[i])
+            j, i = np.nonzero((f.T < len(pieces.pieces)) | (k == 0))
+            shares = ahead[j, i] * use[k][i, j] * behind[j + k + 1, i]
+            j, i, shares = (x[shares > 0] for x in (j, i, shares))
+            weight = shares * np.exp(ahead_log[j, i] + behind_log[j + k + 1, i] - whole[i])
             for lang in range(weights.shape[1]):
                 out[:, lang] += np.bincount(f[i, j], weight * weights[part[i], lang], len(out))
     return out

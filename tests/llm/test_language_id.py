@@ -63,6 +63,38 @@ def test_expected_uses(pieces):
     assert np.allclose(language_id.expected_counts(pieces, WORDS, weights, prior), want, rtol=1e-6, atol=1e-12)
 
 
+def test_no_piece_of_the_vocabulary_is_left_out(pieces):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=VOCABULARY)
+    left_out = (model.is_control, model.is_unknown, model.is_byte, model.is_unused)
+    whole = {model.id_to_piece(i) for i in range(model.vocab_size()) if not any(f(i) for f in left_out)}
+    assert set(pieces.pieces) == whole and {"▁government", "▁different", "▁University"} <= whole
+    rng = np.random.default_rng(3)
+    p = np.append(rng.random(len(whole)), 0)
+    p /= p.sum()
+    chance = dict(zip(pieces.pieces, p))
+    words = ["▁government", "▁differently", "▁functions", max(whole, key=len) + "s"]
+
+    def sums(word):
+        out = [1.0]
+        for end in range(1, len(word) + 1):
+            out.append(sum(out[at] * max(chance.get(word[at:end], 0), language_id.UNKNOWN * (end - at == 1)) for at in range(end)))
+        return out
+
+    got = language_id.word_scores(pieces, words, p[:, None])[:, 0]
+    uses = language_id.expected_counts(pieces, words, np.eye(len(words)), p)
+    for k, w in enumerate(words):
+        ahead, behind = sums(w), [1.0] * (len(w) + 1)
+        for at in range(len(w) - 1, -1, -1):
+            behind[at] = sum(max(chance.get(w[at:end], 0), language_id.UNKNOWN * (end - at == 1)) * behind[end] for end in range(at + 1, len(w) + 1))
+        assert math.isclose(got[k], math.log(ahead[-1]), rel_tol=1e-9)
+        spans = [(w[at:end], ahead[at] * chance[w[at:end]] * behind[end] / ahead[-1]) for at in range(len(w)) for end in range(at + 1, len(w) + 1) if w[at:end] in chance]
+        for piece in {x for x, _ in spans}:
+            assert math.isclose(uses[pieces.pieces.index(piece), k], sum(v for x, v in spans if x == piece), rel_tol=1e-6, abs_tol=1e-12)
+        assert any(len(x) > 8 for x, _ in spans)
+
+
 def test_very_long_word(pieces):
     p = np.full((len(pieces.pieces) + 1, 1), 1 / len(pieces.pieces))
     p[-1] = 0

@@ -72,23 +72,60 @@ def votes(docs: DataFrame, table: DataFrame) -> DataFrame:
     return met.filter(same).select("doc_id", "template", "label", "exact", (F.size("t_words") - 1).alias("pairs"), (F.col("pos") - F.col("t_pos")).alias("diagonal"), "pos", "t_pos")
 
 
-def places(cast_votes: DataFrame, near: int = NEAR, least: float = LEAST) -> DataFrame:
-    """``doc_id, template, label, exact, first, last, share``: verified places of templates.
+def _chain(votes: Column, near: int, pairs: Column) -> Column:
+    """``n, first, last`` of the longest run of votes whose places rise in text and template alike.
+
+    ``votes``: structs ``pos, t_pos``, sorted. From one vote to the next the diagonal moves by ``near`` at most, so a run
+    has each of the template's pairs once, in order, and only votes within a template's length behind are remembered.
+    """
+    vote = "struct<pos:int,t_pos:int,n:int,first:int>"
+    start = F.struct(F.array().cast(f"array<{vote}>").alias("open"), F.struct(F.lit(0).alias("n"), F.lit(0).alias("first"), F.lit(0).alias("last")).alias("best"))
+
+    def extended(state, v):
+        fits = lambda x: (x.pos < v.pos) & (x.t_pos < v.t_pos) & (F.abs((v.pos - v.t_pos) - (x.pos - x.t_pos)) <= near)
+        before = F.array_max(F.transform(F.filter(state.open, fits), lambda x: F.struct(x.n.alias("n"), x.first.alias("first"))))
+        run = lambda b: F.struct(v.pos.alias("pos"), v.t_pos.alias("t_pos"), (F.coalesce(b.n, F.lit(0)) + 1).alias("n"), F.coalesce(b.first, v.pos).alias("first"))
+        recent = F.filter(state.open, lambda x: x.pos >= v.pos - pairs - near)
+
+        def step(r):
+            best = F.when(r.n > state.best.n, F.struct(r.n.alias("n"), r.first.alias("first"), r.pos.alias("last"))).otherwise(state.best)
+            return F.struct(F.concat(recent, F.array(r)).alias("open"), best.alias("best"))
+
+        return F.get(F.transform(F.transform(F.array(before), run), step), F.lit(0))
+
+    return F.aggregate(votes, start, extended, lambda state: state.best)
+
+
+def places(cast_votes: DataFrame, near: int = NEAR, least: float = LEAST, longest: int = 64) -> DataFrame:
+    """``doc_id, template, label, exact, first, last, share``: verified places of templates of up to ``longest`` pairs.
 
     Votes are counted by diagonal, the template's place in the text. A phrase stands where one diagonal has all its
-    pairs. For a notice, diagonals up to ``near`` apart are one place, which must hold ``least`` of its pairs.
+    pairs. For a notice, diagonals up to ``near`` apart are one place. If it has ``least`` of the notice's pairs, each
+    counted once, its words are compared with the notice's in order: ``share`` is that of the pairs in ``_chain``.
     """
+    masks = [f"m{i}" for i in range(-(-longest // 64))]  # a diagonal's places in the template, one bit each
     by_diagonal = cast_votes.groupBy("doc_id", "template", "label", "exact", "pairs", "diagonal").agg(
-        F.count("*").alias("n"), F.min("pos").alias("first"), (F.max("pos") + 1).alias("last")
-    )
+        F.count("*").alias("n"), *[F.expr(f"bit_or(if(t_pos div 64 = {i}, shiftleft(1L, t_pos % 64), 0L))").alias(m) for i, m in enumerate(masks)]
+    ).filter("NOT exact OR n = pairs")
     along = Window.partitionBy("doc_id", "template").orderBy("diagonal")  # places of one template in one text
     gap = F.col("diagonal") - F.lag("diagonal").over(along)
     start = F.when(F.col("exact") | gap.isNull() | (gap > near), 1).otherwise(0)
-    merged = by_diagonal.withColumn("place", F.sum(start).over(along)) if near else by_diagonal.withColumn("place", F.col("diagonal"))
-    found = merged.groupBy("doc_id", "template", "label", "exact", "pairs", "place").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
-    share = F.least(F.lit(1.0), F.col("n") / F.col("pairs"))
-    return found.withColumn("share", share).filter(F.when(F.col("exact"), F.col("n") == F.col("pairs")).otherwise(share >= least)).select(
-        "doc_id", "template", "label", "exact", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), "share"
+    merged = by_diagonal.withColumn("place", F.sum(start).over(along))
+    inside = Window.partitionBy("doc_id", "template", "place")
+    distinct = sum((F.bit_count(F.bit_or(m).over(inside)) for m in masks[1:]), F.bit_count(F.bit_or(masks[0]).over(inside)))
+    enough = merged.withColumn("distinct", distinct).filter(F.col("exact") | (F.col("distinct") >= least * F.col("pairs")))
+    found = enough.groupBy("doc_id", "template", "label", "exact", "pairs", "place").agg(F.collect_list(F.struct("diagonal", *masks)).alias("held"))
+
+    def set_in(d, t):
+        bit = lambda m: F.call_function("shiftrightunsigned", d[m], t % 64).bitwiseAND(F.lit(1)) == 1
+        return F.coalesce(*[F.when(F.floor(t / 64) == i, bit(m)) for i, m in enumerate(masks)])
+
+    steps = F.sequence(F.lit(0), (F.col("pairs") - 1).cast("int"))
+    of_diagonal = lambda d: F.transform(F.filter(steps, lambda t: set_in(d, t)), lambda t: F.struct((d.diagonal + t).cast("int").alias("pos"), t.cast("int").alias("t_pos")))
+    votes_there = F.array_sort(F.flatten(F.transform("held", of_diagonal)))
+    chained = found.withColumn("run", _chain(votes_there, near, F.col("pairs"))).withColumn("share", F.col("run.n") / F.col("pairs"))
+    return chained.filter(F.col("share") >= F.when(F.col("exact"), 1.0).otherwise(least)).select(
+        "doc_id", "template", "label", "exact", F.col("run.first").cast("long").alias("first"), (F.col("run.last") + 1).cast("long").alias("last"), "share"
     )
 
 
@@ -97,12 +134,13 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str,
 
     Base: places where a phrase's words stand consecutively, with the least and greatest first word (null without one)
     and its labels; ``labels`` adds those of notices. ``score`` is the largest share of a template found at one place,
-    0 without one. Labels are distinct, sorted and joined by commas. A null text is empty, and such documents have
+    0 without one. A place of a notice has its pairs in order, each once (``places``). Labels are distinct, sorted and joined by commas. A null text is empty, and such documents have
     zeros and empty labels. A repeated doc_id is one document and a row without one is left out (``documents``); an
     empty table gives an empty result; other columns are ignored.
     """
     docs = documents(docs)
-    found = places(votes(docs, templates(docs.sparkSession, phrases, notices)), near, least)
+    longest = max((len(t.split()) - 1 for t in (*phrases, *notices)), default=1)
+    found = places(votes(docs, templates(docs.sparkSession, phrases, notices)), near, least, longest)
     base = F.when(F.col("exact"), F.col("first"))
     per_doc = found.groupBy("doc_id").agg(
         F.count(base).alias("n_base"), F.min(base).alias("first_word"), F.max(base).alias("last_word"),

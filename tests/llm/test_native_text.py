@@ -44,6 +44,21 @@ def test_notice_with_changed_words(spark):
     assert (got[5].labels, got[5].score, got[5].first_word) == ("", 0, None)
 
 
+def test_repeated_and_disordered_pairs_are_no_notice(spark):
+    apache = next(n for n, label in licenses.NOTICES.items() if label == "apache")
+    bsd = next(n for n, label in licenses.NOTICES.items() if label == "bsd").split()
+    backwards = " ".join(" ".join(bsd[i : i + 2]) for i in range(len(bsd) - 2, -1, -1))
+    grown = " ".join(bsd[:5] + ["a", "b", "c"] + bsd[5:11] + ["d", "e", "f"] + bsd[11:16] + ["g", "h"] + bsd[16:])
+    junk = "the license " * 7
+    texts = [junk, "free of charge " * 6, backwards, f"{junk}{apache} {junk}", grown, apache, "all rights reserved " * 3]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i].labels for i in range(7)] == ["", "", "", "apache", "bsd", "apache", "all-rights-reserved"]
+    assert [got[i].score for i in (0, 1, 2, 3, 5, 6)] == [0, 0, 0, 1, 1, 1] and math.isclose(got[4].score, 1 - 3 / (len(bsd) - 1))
+    long = " ".join(f"t{i}" for i in range(150))
+    found = licenses.scan(spark.createDataFrame([(1, f"x {long} y"), (2, "t1 t2 " * 150)], "doc_id long, text string"), {}, {long: "long"})
+    assert {r.doc_id: (r.labels, r.score) for r in found.collect()} == {1: ("long", 1.0), 2: ("", 0.0)}
+
+
 def test_license_awkward_rows(spark):
     df = spark.createDataFrame([(1, "mit license", "a", 1), (1, "mit license", "b", 2), (None, "mit license", "c", 3)], "doc_id long, text string, label string, pair int")
     assert [(r.doc_id, r.n_base) for r in licenses.scan(df).collect()] == [(1, 1)]

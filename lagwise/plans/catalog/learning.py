@@ -188,7 +188,7 @@ def model_table(s):
 FEATURES = ["home_form", "away_form", "home_scoring", "away_scoring", "never"]
 
 
-def walk(s, names=("linear", "elastic"), rows=None):
+def walk(s, names=tuple(models.REGRESSORS), rows=None):
     rows = cut_lineage(model_table(s)) if rows is None else rows
     n = rows.count()
     return models.walk_forward(rows, "game_date", "game_id", FEATURES, list(names), int(n * 0.4), int(n * 0.25))
@@ -196,7 +196,7 @@ def walk(s, names=("linear", "elastic"), rows=None):
 
 @query("walk_forward_models", "R-09 R-06 R-07 R-10 R-11")
 def walk_forward_models(s):
-    return walk(s, tuple(models.REGRESSORS))[0]
+    return walk(s)[0]
 
 
 @query("walk_forward_ensemble", "R-12 R-09")

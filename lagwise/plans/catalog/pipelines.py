@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lagwise.functions.market import blended_line, repaired_prices, valid_payout
+from lagwise.operators import models
 from lagwise.plans.adapters import TEAM_GAMES
 from lagwise.plans.catalog.common import r6
 from lagwise.plans.catalog.learning import FEATURES, model_table
@@ -58,4 +59,4 @@ def experiment_score(s):
     })
     j = cut_lineage(j)
     n = j.count()
-    return run_experiment(j, FEATURES, ["linear"], int(n * 0.4), int(n * 0.2), StakeRule(cap=0.01))["score"]
+    return run_experiment(j, FEATURES, list(models.REGRESSORS), int(n * 0.4), int(n * 0.2), StakeRule(cap=0.01))["score"]

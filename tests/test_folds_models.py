@@ -223,3 +223,23 @@ def test_styles_are_prior_only(spark):
     assert len(few) == 5 and {(r["style_id"], r["reason"]) for r in few} == {(None, "few teams")}
     later = [(*r[:4], r[4] * 9, r[5], r[6]) if r[2] >= dt.date(2024, 2, 1) and r[3] == 0 else r for r in rows]
     assert ids(later) == base
+
+
+def test_queries_fit_all_regressors(monkeypatch):
+    from types import SimpleNamespace
+    from unittest.mock import MagicMock
+
+    from lagwise.plans.catalog import learning, pipelines
+
+    asked = []
+    monkeypatch.setattr(learning, "cut_lineage", lambda df: df)
+    monkeypatch.setattr(learning, "model_table", MagicMock())
+    monkeypatch.setattr(learning.models, "walk_forward", lambda *a, **k: asked.append(list(a[4])) or (None, None))
+    rows = SimpleNamespace(count=lambda: 100)
+    learning.walk(None, rows=rows)
+    for name in ("model_table", "cut_lineage", "repaired_prices", "blended_line", "valid_payout", "F"):
+        monkeypatch.setattr(pipelines, name, MagicMock(return_value=(MagicMock(), MagicMock())) if name == "repaired_prices" else MagicMock())
+    pipelines.cut_lineage.return_value.count.return_value = 100
+    monkeypatch.setattr(pipelines, "run_experiment", lambda *a: asked.append(list(a[2])) or {"score": None})
+    pipelines.experiment_score(MagicMock())
+    assert asked == [list(models.REGRESSORS)] * 2 and len(models.REGRESSORS) == 4

@@ -27,6 +27,10 @@ class Rule:
     cutoffs: tuple[float, ...]
     above: bool = True
 
+    def measured(self) -> Column:
+        """The value; null for a text without words, whose ratios Spark might compute before the base rules decide."""
+        return F.when(F.col("n_words") > 0, F.expr(self.value))
+
 
 RULES = (
     Rule("symbols", "n_symbols / n_words", (0.05, 0.1, 0.2, 0.3, 0.5, 1.0, 2.0)),
@@ -107,7 +111,7 @@ def cutoffs(holdout: DataFrame, stratum: str, rules: tuple[Rule, ...] = RULES, m
     """
     share = most / len(rules)
     each = [(i, j, r, c) for i, r in enumerate(rules) for j, c in enumerate(r.cutoffs)]
-    hit = lambda r, c: F.expr(r.value) > c if r.above else F.expr(r.value) < c
+    hit = lambda r, c: r.measured() > c if r.above else r.measured() < c
     sums = holdout.groupBy(stratum).agg(
         F.count("*").alias("n"), *[F.sum(F.when(hit(r, c), 1).otherwise(0)).cast("long").alias(f"x{i}_{j}") for i, j, r, c in each]
     )
@@ -138,7 +142,7 @@ def judged(counted: DataFrame, table: DataFrame, stratum: str, rules: tuple[Rule
     df = counted.join(F.broadcast(known) if small else known, F.col(stratum).eqNullSafe(F.col("__stratum")), "left")
     broken = F.lit(False)
     for r in rules:
-        value, cut = F.expr(r.value), F.col(f"cut_{r.name}")
+        value, cut = r.measured(), F.col(f"cut_{r.name}")
         broken = broken | F.coalesce(value > cut if r.above else value < cut, F.lit(False))
     df = df.withColumn("base_failed", base_failed())
     return df.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(broken, F.lit(False))).drop("__stratum", *[f"cut_{r.name}" for r in rules])
@@ -151,8 +155,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def quality(docs: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES, most: float = 0.05, doubt: float = 0.05) -> DataFrame:
     """``doc_id``, the counts, ``base_failed`` and ``kept`` for every row of ``docs(doc_id, text, lang)``.
 
-    Strata are the languages; null is one. A null or empty text has no words and fails the base rules, so ratios never
-    divide by zero. Every row is judged for itself, also rows that repeat a doc_id or have none (these never have a
+    Strata are the languages; null is one. A null or empty text has no words, null ratios, and fails the base rules. Every row is judged for itself, also rows that repeat a doc_id or have none (these never have a
     label). Labels that are null or name no document do nothing; without labels only the base rules reject. An empty
     table gives an empty result; other columns are ignored.
     """

@@ -51,6 +51,12 @@ def _pairs(words: Column) -> Column:
     )
 
 
+def _placed_pairs(words: Column) -> Column:
+    """Structs ``pos, pair, word, next`` of all pairs of neighbouring words."""
+    each = lambda w, i: F.struct(i.alias("pos"), F.xxhash64(w, F.get(words, i + 1)).alias("pair"), w.alias("word"), F.get(words, i + 1).alias("next"))
+    return F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), each)
+
+
 def templates(spark, phrases: dict[str, str], notices: dict[str, str]) -> DataFrame:
     """``template, label, exact, t_words, t_pos, pair`` for each word pair of each template: a table of fixed size."""
     rows = [(label, exact, text.split()) for group, exact in ((phrases, True), (notices, False)) for text, label in group.items()]
@@ -63,12 +69,13 @@ def templates(spark, phrases: dict[str, str], notices: dict[str, str]) -> DataFr
 def votes(docs: DataFrame, table: DataFrame) -> DataFrame:
     """``doc_id, template, label, exact, pairs, diagonal, pos, t_pos``: every place of a word pair of a template.
 
-    All pairs of all texts are joined with the templates by hash, and both words compared.
+    All pairs of all texts are joined with the templates by hash, and both words compared. A pair carries its own two
+    words only, so the work grows with the length of a text, not with its square.
     """
     words = docs.select("doc_id", F.regexp_extract_all(plain_text(F.col("text")), F.lit(WORD), F.lit(0)).alias("words"))
-    placed = words.select("doc_id", "words", F.posexplode(_pairs(F.col("words"))).alias("pos", "pair"))
+    placed = words.select("doc_id", F.inline(_placed_pairs(F.col("words"))))
     met = placed.join(F.broadcast(table), "pair")
-    same = (F.get("words", F.col("pos")) == F.get("t_words", F.col("t_pos"))) & (F.get("words", F.col("pos") + 1) == F.get("t_words", F.col("t_pos") + 1))
+    same = (F.col("word") == F.get("t_words", F.col("t_pos"))) & (F.col("next") == F.get("t_words", F.col("t_pos") + 1))
     return met.filter(same).select("doc_id", "template", "label", "exact", (F.size("t_words") - 1).alias("pairs"), (F.col("pos") - F.col("t_pos")).alias("diagonal"), "pos", "t_pos")
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagwise.llm import chat, decontaminate, language_id, licenses, lm_scoring, near_dedup, packing, quality_classifier, quality_rules, substring_dedup
+from lagwise.llm import chat, decontaminate, language_id, licenses, lm_scoring, near_dedup, packing, periodic_runs, quality_classifier, quality_rules, substring_dedup
 from lagwise.llm.common import table
 
 QUERIES = {}
@@ -117,3 +117,8 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), periodic_runs.planted)

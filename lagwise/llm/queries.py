@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagwise.llm import chat, decontaminate, language_id, licenses, lm_scoring, near_dedup, packing, periodic_runs, quality_classifier, quality_rules, substring_dedup
+from lagwise.llm import chat, decontaminate, language_id, lexical_search, licenses, lm_scoring, near_dedup, packing, periodic_runs, quality_classifier, quality_rules, substring_dedup
 from lagwise.llm.common import table
 
 QUERIES = {}
@@ -122,3 +122,24 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), periodic_runs.planted)
+
+
+@query
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+SQL["op12_ranked_search"] = f"""
+WITH d AS (SELECT doc_id, {_PLAIN} AS w FROM documents WHERE doc_id IS NOT NULL),
+     n AS (SELECT doc_id, len(w) AS n FROM d WHERE len(w) > 0),
+     tot AS (SELECT CAST(count(*) AS BIGINT) AS nd, CAST(sum(n) AS BIGINT) AS nl FROM n),
+     q AS (SELECT DISTINCT item_id, unnest({_PLAIN}) AS term FROM benchmark WHERE item_id IS NOT NULL),
+     t AS (SELECT doc_id, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term),
+     df AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+     wt AS (SELECT term, CAST(floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS wt FROM df, tot),
+     dm AS (SELECT doc_id, 100 - 90 + (90 * n * nd) // nl AS m FROM n, tot),
+     s AS (SELECT item_id, t.doc_id, CAST(sum(wt * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+           FROM q JOIN t ON t.term = q.term JOIN wt ON wt.term = t.term JOIN dm ON dm.doc_id = t.doc_id GROUP BY item_id, t.doc_id),
+     r AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 10
+"""

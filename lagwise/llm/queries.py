@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagwise.llm import chat, decontaminate, language_id, lexical_search, licenses, lm_scoring, near_dedup, packing, periodic_runs, quality_classifier, quality_rules, substring_dedup
+from lagwise.llm import chat, decontaminate, language_id, lexical_search, licenses, line_dedup, lm_scoring, near_dedup, packing, periodic_runs, quality_classifier, quality_rules, substring_dedup
 from lagwise.llm.common import table
 
 QUERIES = {}
@@ -143,3 +143,21 @@ WITH d AS (SELECT doc_id, {_PLAIN} AS w FROM documents WHERE doc_id IS NOT NULL)
      r AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 10
 """
+
+
+@query
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.deduplicate_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+SQL["op11_line_dedup"] = """
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10))))) AS p
+           FROM documents WHERE doc_id IS NOT NULL),
+     k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+     f AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+     m AS (SELECT k.*, f.keeper IS NULL OR f.keeper = k.doc_id AS stays FROM k LEFT JOIN f ON f.key = k.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE NOT stays) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (WHERE stays), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""

@@ -91,19 +91,27 @@ def linear_leak_screen(df: DataFrame, target: Column, base: Column, features: Se
         return both - yb * yb
 
     cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.nanvl(gain(c), F.lit(None)).alias("d_r2")) for c in features])
-    one = one.select(F.filter(cells, lambda e: e["d_r2"].isNotNull()).alias("cells"))
+    rows = one.select(F.explode(cells).alias("e")).select("e.*").where("d_r2 IS NOT NULL")
+    return flag_outliers(rows, "d_r2", factor)
+
+
+def flag_outliers(rows: DataFrame, value: str, factor: float = 4.0) -> DataFrame:
+    """``rows``, one per feature, with ``median, mad, cutoff, flagged``: is the value above median + factor x 1.4826 x MAD?
+
+    A missing value is never flagged. The table of features is small: it goes through one row.
+    """
+    one = rows.agg(F.collect_list(F.struct(*[F.col(c) for c in rows.columns])).alias("cells"))
 
     def median(values: Column) -> Column:
-        ordered = F.array_sort(values)
+        ordered = F.array_sort(F.filter(values, lambda v: v.isNotNull()))
         n = F.size(ordered)
         return (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2
 
-    # one entry per feature, so median and MAD are array expressions on a single row
-    one = one.withColumn("median", median(F.transform("cells", lambda e: e["d_r2"])))
-    one = one.withColumn("mad", median(F.transform("cells", lambda e: F.abs(e["d_r2"] - F.col("median")))))
+    one = one.withColumn("median", median(F.transform("cells", lambda e: e[value])))
+    one = one.withColumn("mad", median(F.transform("cells", lambda e: F.abs(e[value] - F.col("median")))))
     one = one.withColumn("cutoff", F.col("median") + factor * 1.4826 * F.col("mad"))
-    rows = one.select(F.explode("cells").alias("e"), "median", "mad", "cutoff").select("e.*", "median", "mad", "cutoff")
-    return rows.withColumn("flagged", F.col("d_r2") > F.col("cutoff"))
+    out = one.select(F.explode("cells").alias("e"), "median", "mad", "cutoff").select("e.*", "median", "mad", "cutoff")
+    return out.withColumn("flagged", F.coalesce(F.col(value) > F.col("cutoff"), F.lit(False)))
 
 
 def with_slate_stubs(games: DataFrame, slate: DataFrame, outcomes: Sequence[str]) -> DataFrame:

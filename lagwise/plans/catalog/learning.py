@@ -246,8 +246,8 @@ def point_in_time_audit(s):
     return out.select("column", "rows", "missing_keys", "differing")
 
 
-@query("leak_screen", "Q-03 A-18 T-07")
-def leak_screen(s):
+@query("linear_leak_screen", "A-18 T-07")
+def linear_leak_screen(s):
     rows = model_table(s).withColumn("planted", F.abs("home_margin") + F.col("d") % 9)
     noise = [((F.col("game_id") * k) % 101).cast("double").alias(f"noise_{k}") for k in (3, 7, 11, 13, 17, 19)]
     rows = cut_lineage(rows.select("*", *noise))

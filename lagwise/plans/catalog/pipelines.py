@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lagwise.functions.market import blended_line, repaired_prices, valid_payout
-from lagwise.operators import models
+from lagwise.operators import audits, models, screen
 from lagwise.plans.adapters import TEAM_GAMES
 from lagwise.plans.catalog.common import r6
-from lagwise.plans.catalog.learning import FEATURES, model_table
+from lagwise.plans.catalog.learning import AUDIT_DAY, FEATURES, model_table
 from lagwise.plans.catalog.windows import VENUE_LAT, VENUE_LON
 from lagwise.plans.experiment import StakeRule, run_experiment
 from lagwise.plans.features import build_feature_table
@@ -17,16 +17,18 @@ from lagwise.session import cut_lineage
 from lagwise.streaming.quotes import job_folder
 
 
-def feature_table(s):
-    venues = s.games.select("home").distinct().select(
+def venues_of(games):
+    return games.select("home").distinct().select(
         F.col("home").alias("team"), F.expr(VENUE_LAT).cast("double").alias("lat"), F.expr(VENUE_LON).cast("double").alias("lon")
     )
-    return build_feature_table(s.games, venues, store=job_folder(s.spark, "features"))
 
 
-@query(
-    "feature_table", "S-02 J-01 C-32 W-01 W-02 W-03 W-04 W-08 W-09 W-10",
-    f"""WITH {TEAM_GAMES}, f AS (SELECT *, CASE WHEN count(margin) OVER w = 5 THEN avg(margin) OVER w END AS m5, d - lag(d) OVER (PARTITION BY team ORDER BY d, game_id) AS rest FROM tg
+def feature_table(s):
+    return build_feature_table(s.games, venues_of(s.games), store=job_folder(s.spark, "features"))
+
+
+SHOWN = ("margin_last5_diff", "rest_diff", "win_streak", "games_last_7_days", "margin_std_last_10", "rolling_margin_diff_10")
+FEATURE_SQL = f"""WITH {TEAM_GAMES}, f AS (SELECT *, CASE WHEN count(margin) OVER w = 5 THEN avg(margin) OVER w END AS m5, d - lag(d) OVER (PARTITION BY team ORDER BY d, game_id) AS rest FROM tg
   WINDOW w AS (PARTITION BY team ORDER BY d, game_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)),
 sv AS (SELECT game_id, max(rest) FILTER (is_home = 1) AS hr, max(rest) FILTER (is_home = 0) AS ar, max(m5) FILTER (is_home = 1) AS hm, max(m5) FILTER (is_home = 0) AS am FROM f GROUP BY 1 HAVING count(m5) = 2),
 lo AS (SELECT tg.*, row_number() OVER (PARTITION BY team ORDER BY d, tg.game_id) AS n FROM tg JOIN sv ON sv.game_id = tg.game_id),
@@ -34,11 +36,50 @@ t AS (SELECT game_id, team, is_home, CASE WHEN count(margin) OVER x >= 3 THEN st
   n - 1 - coalesce(max(CASE WHEN margin <= 0 THEN n END) OVER y, 0) AS ws, CASE WHEN count(margin) OVER z >= 5 THEN least(greatest(avg(margin) OVER z, -20), 20) END AS r10
   FROM lo WINDOW x AS (PARTITION BY team ORDER BY n ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), y AS (PARTITION BY team ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), z AS (PARTITION BY team ORDER BY n ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING))
 SELECT sv.game_id, round(hm - am, 6) AS margin_last5_diff, hr - ar AS rest_diff, h.ws - a.ws AS win_streak, h.g7 - a.g7 AS games_last_7_days, round(h.sd10 - a.sd10, 6) AS margin_std_last_10,
-  round(CASE WHEN h.r10 - a.r10 IS NOT NULL THEN least(greatest(h.r10 - a.r10, -15), 15) END, 6) AS rolling_margin_diff_10 FROM sv JOIN t h ON h.game_id = sv.game_id AND h.is_home = 1 JOIN t a ON a.game_id = sv.game_id AND a.is_home = 0""",
-)
+  round(CASE WHEN h.r10 - a.r10 IS NOT NULL THEN least(greatest(h.r10 - a.r10, -15), 15) END, 6) AS rolling_margin_diff_10 FROM sv JOIN t h ON h.game_id = sv.game_id AND h.is_home = 1 JOIN t a ON a.game_id = sv.game_id AND a.is_home = 0"""
+
+
+def shown(t):
+    return t.select("game_id", r6("margin_last5_diff").alias("margin_last5_diff"), "rest_diff", "win_streak", "games_last_7_days", r6("margin_std_last_10").alias("margin_std_last_10"), r6("rolling_margin_diff_10").alias("rolling_margin_diff_10"))
+
+
+@query("feature_table", "S-02 J-01 C-32 W-01 W-02 W-03 W-04 W-08 W-09 W-10", FEATURE_SQL)
 def feature_table_query(s):
+    return shown(feature_table(s))
+
+
+OUTCOMES = ("score_home", "score_away")
+NOT_FEATURES = ("game_id", "season", "d", "pool_id", "home", "away", "home_handicap", *OUTCOMES)
+
+
+@query("feature_table_slate", "Q-04 U-02", f"{FEATURE_SQL} JOIN games g ON g.game_id = sv.game_id WHERE g.game_date = DATE '1998-06-15'")
+def feature_table_slate(s):
+    """The whole feature build for a coming day, from history and rows without scores."""
+    past, slate = s.games.where(F.col("game_date") < F.lit(AUDIT_DAY)), s.games.where(F.col("game_date") == F.lit(AUDIT_DAY))
+    build = lambda g: build_feature_table(g, venues_of(s.games))
+    known = build(past.unionByName(slate)).where(F.col("game_date") == F.lit(AUDIT_DAY)).select("game_id")
+    return shown(audits.slate_features(past, slate.join(known, "game_id", "left_semi"), build, "game_date", "game_id", OUTCOMES))
+
+
+@query("feature_table_audit", "Q-01")
+def feature_table_audit(s):
+    """Every column of the feature build, and a planted leak, rebuilt with the day's outcomes shuffled."""
+    def build(g):
+        today = g.groupBy("game_date").agg(F.avg(F.col("score_home") - F.col("score_away")).alias("planted"))
+        return build_feature_table(g, venues_of(s.games)).join(today, "game_date")
+
+    out = audits.point_in_time_audit(s.games, build, "game_date", AUDIT_DAY, OUTCOMES, "game_id", ["game_id"], skip=NOT_FEATURES)
+    return out.select("column", "rows", "missing_keys", "differing")
+
+
+@query("leak_screen", "Q-03")
+def leak_screen(s):
+    """All columns of the feature build, and a planted leak that no linear screen sees: the margin with a random sign."""
     t = feature_table(s)
-    return t.select("game_id", r6("margin_last5_diff").alias("margin_last5_diff"), "rest_diff", "win_streak", "games_last_7_days", r6("margin_std_last_10").alias("margin_std_last_10"), r6("rolling_margin_diff_10").alias("rolling_margin_diff_10"))
+    margin = F.abs(F.col("score_home") - F.col("score_away"))
+    t = t.withColumn("planted", margin * F.when(F.xxhash64("game_id") % 2 == 0, 1.0).otherwise(-1.0))
+    features = audits.numeric_columns(t, NOT_FEATURES)
+    return screen.tree_leak_screen(t, margin, F.abs("home_handicap"), features, "game_date")
 
 
 @query("feature_table_wide", "M-01 R-01 R-02")

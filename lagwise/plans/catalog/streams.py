@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lagwise.plans.registry import query
-from lagwise.streaming import quotes
+from lagwise.sources import snapshots
+from lagwise.streaming import quotes, slots
 
 
 def event_stream(s):
@@ -19,10 +20,28 @@ def event_stream(s):
 )
 def stream_deduplicate(s):
     folder = quotes.job_folder(s.spark, "dedupe")
-    e = event_stream(s).select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), F.date_format("ts", "yyyy-MM-dd").alias("day"))
-    once = quotes.deduplicate(e, ["user_id", "event_type", "day"], "ts").drop("ts")
-    quotes.run_available(once, f"{folder}/state", quotes.append_once(f"{folder}/out", ["user_id", "event_type", "day"]))
-    return s.spark.read.parquet(f"{folder}/out")
+    e = event_stream(s).select("user_id", "event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    quotes.run_available(e, f"{folder}/state", quotes.merge_days(f"{folder}/out", ["user_id", "event_type", "day"], "day", span_days=0))
+    return snapshots.read(s.spark, f"{folder}/out")
+
+
+@query(
+    "stream_moved_rows", "ST-02",
+    """WITH u AS (SELECT event_id AS game_id, ts AS seen, strftime(ts, '%Y-%m-%d') AS day, 1 AS n FROM events
+UNION ALL SELECT event_id, ts, strftime(ts + INTERVAL 3 DAY, '%Y-%m-%d'), 2 FROM events WHERE event_id % 10 = 0)
+SELECT game_id, day FROM (SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY n DESC) AS r FROM u) WHERE r = 1""",
+)
+def stream_moved_rows(s):
+    """Games in two runs of one stream: the newest half first, then the older half and those moved by three days."""
+    folder = quotes.job_folder(s.spark, "moved")
+    e = s.table("events").select(F.col("event_id").alias("game_id"), F.date_format("ts", "yyyy-MM-dd").alias("day"), F.lit(1).alias("n"))
+    moved = e.where("game_id % 10 = 0").withColumn("day", F.date_format(F.date_add("day", 3), "yyyy-MM-dd")).withColumn("n", F.lit(2))
+    late = F.col("day") < "2024-01-16"
+    for part in (e.where(~late), e.where(late).unionByName(moved)):
+        part.write.mode("append").parquet(f"{folder}/in")
+        stream = s.spark.readStream.schema(e.schema).parquet(f"{folder}/in")
+        quotes.run_available(stream, f"{folder}/state", quotes.merge_days(f"{folder}/out", ["game_id"], "day", ["n"]))
+    return snapshots.read(s.spark, f"{folder}/out").select("game_id", "day")
 
 
 @query(
@@ -35,7 +54,7 @@ def stream_usage(s):
         F.col("event_type").alias("provider"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("attempted_at_utc"), F.floor("value").cast("string").alias("objects")
     )
     quotes.run_available(quotes.usage_stream(log), f"{folder}/state", quotes.replace_table(f"{folder}/out"), "complete")
-    return s.spark.read.parquet(f"{folder}/out")
+    return snapshots.read(s.spark, f"{folder}/out")
 
 
 @query(
@@ -48,3 +67,25 @@ def incremental_children(s):
     quotes.refill_children(o.where("o_orderkey % 3 = 0"), f"{folder}/out", ["o_orderkey"], lambda p: p)
     quotes.refill_children(o, f"{folder}/out", ["o_orderkey"], lambda p: p)
     return s.spark.read.parquet(f"{folder}/out")
+
+
+@query(
+    "slot_watch", "ST-06 ST-04",
+    """WITH s AS (SELECT user_id, date_trunc('day', ts) + INTERVAL 12 HOUR AS closes, min(CASE WHEN event_type = 'purchase' THEN ts END) AS ok FROM events GROUP BY 1, 2)
+SELECT CAST(user_id AS VARCHAR) AS slot, strftime(closes, '%Y-%m-%d') AS slate_date, CASE WHEN ok < closes THEN 'done' ELSE 'missed' END AS state
+FROM s WHERE closes < (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
+)
+def slot_watch(s):
+    """Each user's daily slot closes at noon and is done by a purchase; two runs of one stream, each verdict once."""
+    folder = quotes.job_folder(s.spark, "watch")
+    e = s.table("events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    half = F.col("ts") < F.lit("2024-01-16").cast("timestamp")
+    for part in (e.where(half), e.where(~half)):
+        part.write.mode("append").parquet(f"{folder}/in")
+        rows = s.spark.readStream.schema(e.schema).parquet(f"{folder}/in")
+        key = [F.lit("p").alias("provider"), F.date_format("ts", "yyyy-MM-dd").alias("slate_date"), F.col("user_id").cast("string").alias("slot"), F.col("ts").alias("at")]
+        noon = F.date_trunc("day", "ts") + F.expr("INTERVAL 12 HOURS")
+        outcome = F.when(F.col("event_type") == "purchase", "ok").otherwise("error")
+        verdicts = slots.watch_slots(rows.select(*key, noon.alias("closes"), outcome.alias("outcome")))
+        verdicts.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return s.spark.read.parquet(f"{folder}/out").select("slot", "slate_date", "state")

@@ -19,17 +19,19 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str, columns:
 
 
 def read_or_build(spark: SparkSession, path: str, build, read_on_hit: bool = True, write_outputs: bool = True, enabled: bool = True) -> DataFrame:
-    """Stored table if there is one, else build it, store it and read it back.
+    """Stored table if there is one, else build it, store it as a snapshot and read it back.
 
-    Reading back cuts the lineage, so later steps do not repeat this one.
+    Reading back cuts the lineage, so later steps do not repeat this one. A reader never sees a table half written.
     """
-    if enabled and read_on_hit and table_exists(spark, path):
-        return spark.read.parquet(path)
+    from lagwise.sources import snapshots
+
+    if enabled and read_on_hit and snapshots.exists(spark, path):
+        return snapshots.read(spark, path)
     df = build()
     if not (enabled and write_outputs):
         return df
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    snapshots.replace(df, path)
+    return snapshots.read(spark, path)
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:

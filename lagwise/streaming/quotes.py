@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lagwise.operators.nested import envelope_schema
 from lagwise.operators.sets import latest
 from lagwise.session import shared_folder
+from lagwise.sources import snapshots
 from lagwise.sources.documents import FLATTEN, flatten_envelopes
 from lagwise.sources.tables import table_exists
 
@@ -87,10 +88,23 @@ def usage_stream(log: DataFrame) -> DataFrame:
 
 
 def replace_table(path: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch sink for a complete-mode aggregate: each batch replaces the table."""
+    """foreachBatch sink for a complete-mode aggregate: each batch is the next snapshot of the table."""
 
     def write(batch: DataFrame, _batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        snapshots.replace(batch, path)
+
+    return write
+
+
+def merge_days(path: str, keys: Sequence[str], day: str, order: Sequence[str] = (), span_days: int = 7) -> Callable[[DataFrame, int], None]:
+    """foreachBatch sink that upserts by key into a table stored by day, however late a row comes.
+
+    The days within ``span_days`` of a batch's rows are read again, so a row that moved to another day (a postponed
+    game) replaces its old one; no watermark drops anything, and a replayed batch changes nothing.
+    """
+
+    def write(batch: DataFrame, _batch_id: int) -> None:
+        snapshots.merge(batch, path, keys, day, order, span_days)
 
     return write
 

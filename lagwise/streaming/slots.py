@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lagwise.functions.dates import close_label, local_day, local_time_utc
 from lagwise.operators.ranking import largest_groups
@@ -108,3 +109,67 @@ def slot_states(slots: DataFrame, log: DataFrame, now: Column) -> DataFrame:
         .otherwise("due")
     )
     return j.withColumn("state", state).drop("__done", "__failed")
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+VERDICT = "provider string, slate_date string, slot string, state string, closes timestamp"
+KEEP_DAYS = 2
+
+
+class _Watch(StatefulProcessor):
+    """State of one slot: when it closes, when it was first done, whether its verdict is out. Times are milliseconds."""
+
+    def __init__(self, keep_ms: int):
+        self._keep = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._state = handle.getValueState("slot", "closes long, done_at long, judged boolean")
+
+    def handleInputRows(self, key, rows, timerValues):
+        closes, done_at, judged = self._state.get() if self._state.exists() else (None, None, False)
+        for r in rows:
+            if r.done_ms is not None:
+                done_at = r.done_ms if done_at is None else min(done_at, r.done_ms)
+            if r.closes_ms is not None and closes is None and r.at_ms < r.closes_ms + self._keep:
+                closes = r.closes_ms
+                self._handle.registerTimer(closes)
+                self._handle.registerTimer(closes + self._keep)
+        if closes is None and timerValues.getCurrentWatermarkInMs() > 0:
+            self._handle.registerTimer(timerValues.getCurrentWatermarkInMs() + self._keep)  # an outcome without a slot does not stay for ever
+        self._state.update((closes, done_at, judged))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if not self._state.exists():
+            return
+        closes, done_at, judged = self._state.get()
+        if closes is not None and not judged:
+            state = "done" if done_at is not None and done_at < closes else "missed"
+            yield Row(provider=key[0], slate_date=key[1], slot=key[2], state=state, closes_ms=closes)
+            self._state.update((closes, done_at, True))
+        if closes is None or expiredTimerInfo.getExpiryTimeInMs() >= closes + self._keep:
+            self._state.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def watch_slots(rows: DataFrame, delay: str = "10 minutes", keep_days: int = KEEP_DAYS) -> DataFrame:
+    """Stream of verdicts ``VERDICT``: each slot is reported once, when its window has closed, as done or missed.
+
+    ``rows`` is a stream of ``provider, slate_date, slot, at, closes, outcome``: announcements of slots (``closes`` set;
+    repeats do no harm) and entries of the request log (``outcome`` set), or both in one row. A timer at ``closes`` asks
+    the slot's state, so a slot that nobody asked for is reported as well, and a restart repeats nothing. A slot is done
+    if an entry before ``closes`` says so, as ``slot_states`` finds at that time. Entries may come ``delay`` late. State
+    is one row per slot and goes ``keep_days`` after ``closes``; an announcement that comes later is ignored.
+    """
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)  # timers need this store
+    done = F.when(F.col("outcome").isin("ok"), F.unix_millis("at"))
+    narrow = rows.withWatermark("at", delay).select(
+        "provider", F.col("slate_date").cast("string").alias("slate_date"), "slot", "at", F.unix_millis("at").alias("at_ms"),
+        F.unix_millis("closes").alias("closes_ms"), done.alias("done_ms"),
+    )
+    kind = VERDICT.replace("closes timestamp", "closes_ms long")
+    out = narrow.groupBy("provider", "slate_date", "slot").transformWithState(_Watch(keep_days * 86_400_000), kind, "Append", "EventTime")
+    return out.select("provider", "slate_date", "slot", "state", F.timestamp_millis("closes_ms").alias("closes"))

@@ -139,13 +139,20 @@ def require_parity(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> No
         raise ValueError(f"builds disagree: unmatched keys={bool(only)}, columns={[r['column'] for r in bad]}")
 
 
-def fingerprint(df: DataFrame) -> DataFrame:
-    """Row count and an order-free content fingerprint, in one aggregate.
-
-    A hash skips nulls, so each column goes in with a mark for null: a value that moves to another column shows.
-    """
-    marked = [part for c in sorted(df.columns) for part in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.xxhash64(*marked).cast("decimal(38,0)")).cast("string").alias("fingerprint"))
+def content_hash(columns: Sequence[str]) -> Column:
+    """Hash of a row by column name and value. A column that is null, or absent, adds nothing, so it does not matter
+    whether other files of a table have more columns; a value that moves to another column or row shows."""
+    cells = [F.when(F.col(f"`{c}`").isNotNull(), F.xxhash64(F.lit(c), F.col(f"`{c}`"))).otherwise(F.lit(0).cast("long")) for c in sorted(columns)]
+    mixed = cells[0] if cells else F.lit(0).cast("long")
+    for cell in cells[1:]:
+        mixed = mixed.bitwiseXOR(cell)
+    return F.xxhash64(mixed)
+
+
+def fingerprint(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Row count and an order-free content fingerprint, in one aggregate, for the whole table or for each ``keys``."""
+    own = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.sum(content_hash(own).cast("decimal(38,0)")).cast("string").alias("fingerprint"))
 
 
 def require_children(parents: DataFrame, children: DataFrame, keys: Sequence[str]) -> None:

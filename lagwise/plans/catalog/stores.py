@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lagwise.plans.adapters import MODEL_BETS
 from lagwise.plans.catalog.common import text_date
 from lagwise.plans.catalog.documents import envelopes_a
 from lagwise.plans.registry import query
@@ -66,12 +67,34 @@ def experiment_log(s):
 
 @query(
     "captured_runs", "S-12 S-13 Q-06",
-    """SELECT 'r1' AS run_id, 'partial' AS status, 2 AS tables UNION ALL SELECT 'r2', 'partial', 1""",
+    f"""WITH {MODEL_BETS}, b AS (SELECT fold, count(*) AS n FROM mb WHERE model = 'm1' AND bet_side <> 'NONE' GROUP BY 1), p AS (SELECT fold, count(*) AS n FROM predictions GROUP BY 1), o AS (SELECT count(*) AS n FROM prices),
+t AS (SELECT 'whole' AS run_id, 'complete' AS status, 5 AS tables, (SELECT sum(n) FROM p) + (SELECT sum(n) FROM b) + (SELECT count(*) FROM p) + n + 1 AS rows, 0 AS problems FROM o
+UNION ALL SELECT 'short', 'partial', 4, (SELECT sum(n) FROM p WHERE fold = 1) + (SELECT coalesce(sum(n), 0) FROM b WHERE fold = 1) + 1 + n, 1 FROM o
+UNION ALL SELECT 'changed', 'partial', 2, (SELECT sum(n) FROM p WHERE fold = 2) + 1, 4 FROM o
+UNION ALL SELECT 'overlap', 'partial', 1, (SELECT count(*) FROM p), 5 FROM o
+UNION ALL SELECT 'stopped', 'failed', 0, (SELECT sum(n) FROM p WHERE fold = 3), 1 FROM o)
+SELECT run_id, status, tables, CAST(rows AS BIGINT) AS rows, problems FROM t""",
 )
 def captured_runs(s):
+    """Runs of every kind: whole, without metrics, changed after capture, with overlapping folds, stopped before the manifest."""
     root = job_folder(s.spark, "runs")
+    predictions = s.predictions.select("game_id", "game_date", "fold", F.lit(0.5).alias("p_home"), (F.col("home_margin") > 0).cast("int").alias("home_win"))
+    bets = s.model_bets.where("model = 'm1' AND bet_side <> 'NONE'").select(
+        "game_id", "game_date", "fold", "bet_side", F.col("tier").alias("odds_tier"), F.col("win_prob").alias("prob"), "edge",
+        F.col("kelly").alias("kelly_fraction"), (F.col("covered") == F.col("bet_side")).cast("int").alias("win"), "pnl", F.lit(1.0).alias("bankroll"),
+    )
+    error = F.col("home_margin") - F.col("pred_m1")
+    folds = s.predictions.groupBy("fold").agg(
+        F.min("game_date").alias("test_start"), F.max("game_date").alias("test_end"), F.count(F.lit(1)).alias("rows"),
+        F.sqrt(F.avg(error * error)).alias("rmse"), F.avg(F.abs(error)).alias("mae"),
+    )
     audit = s.prices.select("game_id", "game_date", F.lit("matched").alias("odds_tier"))
     metrics = s.games.agg(F.avg("score_home").alias("score"))
-    runs.capture_run({"odds_audit": audit, "metrics": metrics}, "r1", root)
-    runs.capture_run({"odds_audit": audit}, "r2", root)
-    return runs.list_runs(s.spark, root).select("run_id", "status", F.col("tables").cast("int").alias("tables"))
+    runs.capture_run({"predictions": predictions, "bets": bets, "fold_metrics": folds, "odds_audit": audit, "metrics": metrics}, "whole", root)
+    first = {"predictions": predictions.where("fold = 1"), "bets": bets.where("fold = 1"), "fold_metrics": folds.where("fold = 1"), "odds_audit": audit}
+    runs.capture_run(first, "short", root)
+    runs.capture_run({"predictions": predictions.where("fold = 2"), "metrics": metrics}, "changed", root)
+    predictions.where("fold = 2").withColumn("p_home", F.lit(0.6)).write.mode("overwrite").parquet(f"{root}/predictions/run_id=changed")
+    runs.capture_run({"fold_metrics": folds.withColumn("test_end", F.date_add("test_end", 9))}, "overlap", root)
+    predictions.where("fold = 3").write.parquet(f"{root}/predictions/run_id=stopped")
+    return runs.catalogue(s.spark, root).select("run_id", "status", F.col("tables").cast("int").alias("tables"), "rows", F.size("problems").alias("problems"))

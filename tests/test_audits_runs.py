@@ -126,6 +126,27 @@ def test_captured_run(spark, tmp_path):
     assert "late data" in listed["r3"][1] and "fold_metrics: test windows overlap or are out of order" in listed["r3"][1]
 
 
+def test_run_status_of_every_kind(spark, tmp_path):
+    root = str(tmp_path / "runs")
+    t = run_tables(spark)
+    assert runs.catalogue(spark, root).collect() == []
+    runs.capture_run(t, "whole", root)
+    runs.capture_run({**t, "bets": t["bets"].limit(0)}, "quiet", root)  # a table without rows is not a missing table
+    runs.capture_run({**t, "bets": t["bets"].drop("pnl"), "predictions": t["predictions"].withColumn("extra", F.lit(1))}, "lacking", root)
+    t["predictions"].write.parquet(f"{root}/predictions/run_id=stopped")
+    spark.read.parquet(f"{root}/manifest").where("run_id = 'whole'").withColumns({"run_id": F.lit("old"), "schema_version": F.lit(0)}).write.mode("append").parquet(f"{root}/manifest")
+    got = {r["run_id"]: (r["status"], r["rows"], r["problems"]) for r in runs.catalogue(spark, root).collect()}
+    assert got == {
+        "whole": ("complete", 19, []), "quiet": ("complete", 15, []), "lacking": ("partial", 19, ["bets: missing columns pnl"]),
+        "stopped": ("failed", 6, ["manifest missing"]), "old": ("failed", 0, ["unsupported schema_version 0"]),
+    }
+    assert runs.read_run_table(spark, root, "bets", "whole").count() == 4
+    for bad in ("lacking", "stopped", "old", "never"):
+        with pytest.raises(ValueError):
+            runs.read_run_table(spark, root, "bets", bad)
+    assert runs.check_run(spark, root, "lacking") == ["bets: missing columns pnl"] and runs.check_run(spark, root, "never") == ["not found"]
+
+
 def test_fingerprint_sees_values_moving_between_columns(spark):
     a = spark.createDataFrame([("x", None), (None, None)], "a string, b string")
     b = spark.createDataFrame([(None, "x"), (None, None)], "a string, b string")

@@ -6,7 +6,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,8 +47,8 @@ class _Pool:
     rating: np.ndarray = field(default_factory=lambda: np.empty(0))
     season: np.ndarray = field(default_factory=lambda: np.empty(0))
 
-    def _places(self, entities: np.ndarray, season: np.ndarray) -> np.ndarray:
-        at = np.array([self.place.setdefault(e, len(self.place)) for e in entities.tolist()], dtype=np.int64)
+    def _places(self, entities: list, season: np.ndarray) -> np.ndarray:
+        at = np.array([self.place.setdefault(e, len(self.place)) for e in entities], dtype=np.int64)
         new = len(self.place) - len(self.rating)
         self.rating = np.append(self.rating, np.full(new, self.rule.start))
         self.season = np.append(self.season, np.full(new, np.nan))
@@ -56,17 +57,53 @@ class _Pool:
         self.season[at] = season
         return at
 
-    def day(self, games: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    def day(self, home: list, away: list, season: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ratings of both sides before the day's games, which then all count at once."""
-        n = len(games)
-        at = self._places(np.concatenate([games["home"], games["away"]]), np.tile(games["season"].to_numpy(float), 2))
+        n = len(home)
+        at = self._places(home + away, np.concatenate([season, season]))
         before = self.rating[at]
-        lead = before[:n] - before[n:] + self.rule.home_advantage
-        gain = self.rule.gain(lead, games["margin"].to_numpy(float))
+        gain = self.rule.gain(before[:n] - before[n:] + self.rule.home_advantage, margin)
         np.add.at(self.rating, at, np.concatenate([gain, -gain]))
         return before[:n], before[n:]
 
 
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    """A number per distinct value, null included."""
+    return pc.fill_null(column.combine_chunks().dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+
+
+def _rated(batches: Iterator[pa.RecordBatch], rule: RatingRule) -> Iterator[pa.RecordBatch]:
+    """Ratings for rows sorted by pool and day; a day that may go on in the next batch waits for it."""
+    current, state, waiting = None, _Pool(rule), None
+
+    def days(t: pa.Table) -> pa.RecordBatch:
+        nonlocal current, state
+        pool, day = _codes(t.column(0)), _codes(t.column(2))
+        season, margin = (t.column(c).to_numpy().astype(float) for c in (3, 6))
+        home, away = t.column(4).to_pylist(), t.column(5).to_pylist()
+        cuts = [0, *(np.flatnonzero((np.diff(pool) != 0) | (np.diff(day) != 0)) + 1).tolist(), len(t)]
+        out = np.empty((2, len(t)))
+        for lo, hi in zip(cuts, cuts[1:]):
+            if lo == 0 or pool[lo] != pool[lo - 1]:
+                name = (t.column(0)[lo].as_py(),)
+                if name != current:
+                    current, state = name, _Pool(rule)
+            out[:, lo:hi] = state.day(home[lo:hi], away[lo:hi], season[lo:hi], margin[lo:hi])
+        return pa.RecordBatch.from_arrays([t.column(1).combine_chunks(), pa.array(out[0]), pa.array(out[1])], ["game_id", "elo_home", "elo_away"])
+
+    for batch in batches:
+        t = pa.Table.from_batches([batch] if waiting is None else [*waiting.to_batches(), batch])
+        if not len(t):
+            continue
+        pool, day = _codes(t.column(0)), _codes(t.column(2))
+        open_from = int(np.flatnonzero((pool != pool[-1]) | (day != day[-1]))[-1]) + 1 if ((pool != pool[-1]) | (day != day[-1])).any() else 0
+        waiting = t.slice(open_from)
+        if open_from:
+            yield days(t.slice(0, open_from))
+    if waiting is not None:
+        yield days(waiting)
+
+
 def pair_ratings(games: DataFrame, rule: RatingRule = RatingRule(), pool: str = "pool_id") -> DataFrame:
     """Rating of both sides before each game, from (pool, game_id, game_date, season, home, away, score_home, score_away).
 
@@ -76,29 +113,10 @@ def pair_ratings(games: DataFrame, rule: RatingRule = RatingRule(), pool: str =
     day is the same as one after the other. A game without a score, such as one of a
     coming slate, gets ratings and leaves them as they are.
     """
-    narrow = games.select(pool, "game_id", "game_date", "season", "home", "away", (F.col("score_home") - F.col("score_away")).cast("double").alias("margin"))
+    margin = (F.col("score_home") - F.col("score_away")).cast("double")
+    narrow = games.select(pool, F.col("game_id").cast("long").alias("game_id"), "game_date", F.col("season").cast("double").alias("season"), "home", "away", margin.alias("margin"))
     placed = narrow.repartition(pool).sortWithinPartitions(pool, "game_date", "game_id")
-
-    def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state, open_day = object(), None, None
-
-        def days(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            nonlocal current, state
-            for (name, _), day in rows.groupby([pool, "game_date"], sort=False, dropna=False):
-                if name != current:
-                    current, state = name, _Pool(rule)
-                home, away = state.day(day)
-                yield pd.DataFrame({"game_id": day["game_id"], "elo_home": home, "elo_away": away})
-
-        for batch in batches:
-            rows = batch if open_day is None else pd.concat([open_day, batch], ignore_index=True)
-            last = (rows[pool] == rows[pool].iloc[-1]) & (rows["game_date"] == rows["game_date"].iloc[-1]) if len(rows) else []
-            open_day = rows[last] if len(rows) else rows
-            yield from days(rows[~last] if len(rows) else rows)  # the last day may go on in the next batch
-        if open_day is not None:
-            yield from days(open_day)
-
-    return placed.mapInPandas(rate, "game_id bigint, elo_home double, elo_away double")
+    return placed.mapInArrow(lambda batches: _rated(batches, rule), "game_id bigint, elo_home double, elo_away double")
 
 
 def rating_windows(team_rows: DataFrame, line: Timeline, rating: str = "elo", n: int = 164, min_count: int = 20, name: str = "elo_roll") -> DataFrame:

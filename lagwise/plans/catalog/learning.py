@@ -92,16 +92,43 @@ def train_standardisation(s):
     return models.standardised(train, test, cols)[1].select("game_id", r6("score_home").alias("score_scaled"))
 
 
-@query("pair_ratings", "R-01")
+# Day by day: the state of all teams after a day is the rows of one step, and the next step applies the next day's games.
+RATINGS = GAMES + """,
+gd AS MATERIALIZED (SELECT *, dense_rank() OVER (PARTITION BY pool_id ORDER BY d) AS k FROM games),
+sides AS MATERIALIZED (SELECT pool_id, k, game_id, season, home AS team, away AS opp, 1 AS s, score_home - score_away AS margin FROM gd UNION ALL SELECT pool_id, k, game_id, season, away, home, -1, score_home - score_away FROM gd),
+firsts AS MATERIALIZED (SELECT pool_id, team, min(k) AS k0, arg_min(season, k) AS s0 FROM sides GROUP BY 1, 2),
+st AS (SELECT pool_id, team, CAST(0 AS BIGINT) AS k, CAST(1500.0 AS DOUBLE) AS r, s0 AS season, CAST(NULL AS BIGINT) AS game_id, CAST(NULL AS DOUBLE) AS before FROM firsts
+  UNION ALL
+  SELECT c.pool_id, c.team, c.k + 1, CASE WHEN g.game_id IS NULL THEN c.r ELSE
+      own + g.s * 20.0 * ln(abs(g.margin) + 1.0) * 2.2 / (2.2 + lead * 0.001) * (CASE WHEN g.margin > 0 THEN 1.0 ELSE 0.0 END - 1.0 / (1.0 + pow(10.0, -lead / 400.0))) END,
+    coalesce(g.season, c.season), g.game_id, CASE WHEN g.game_id IS NOT NULL THEN own END
+  FROM (SELECT c0.*, (SELECT max(k) FROM gd WHERE gd.pool_id = c0.pool_id) AS last_k FROM st c0) c
+  LEFT JOIN sides g ON g.pool_id = c.pool_id AND g.k = c.k + 1 AND g.team = c.team
+  LEFT JOIN st o ON o.pool_id = g.pool_id AND o.team = g.opp,
+  LATERAL (SELECT CASE WHEN g.season <> c.season THEN 1500.0 + 0.75 * (c.r - 1500.0) ELSE c.r END AS own) x,
+  LATERAL (SELECT CASE WHEN g.season <> o.season THEN 1500.0 + 0.75 * (o.r - 1500.0) ELSE o.r END AS other) y,
+  LATERAL (SELECT CASE WHEN g.s = 1 THEN own - other ELSE other - own END + 65.0 AS lead) z
+  WHERE c.k < c.last_k),
+elo AS MATERIALIZED (SELECT st.game_id, st.team, st.before, sides.s FROM st JOIN sides ON sides.game_id = st.game_id AND sides.team = st.team)"""
+
+
+@query(
+    "pair_ratings", "R-01",
+    f"WITH RECURSIVE {RATINGS} SELECT game_id, round(max(before) FILTER (s = 1), 6) AS elo_home, round(max(before) FILTER (s = -1), 6) AS elo_away FROM elo GROUP BY game_id",
+)
 def pair_ratings(s):
-    return ratings.pair_ratings(s.games)
+    return ratings.pair_ratings(s.games).select("game_id", r6("elo_home").alias("elo_home"), r6("elo_away").alias("elo_away"))
 
 
-@query("rating_windows", "R-02")
+@query(
+    "rating_windows", "R-02",
+    f"""WITH RECURSIVE {RATINGS} SELECT e.game_id, e.team, round(before, 6) AS elo, round(CASE WHEN count(before) OVER w >= 20 THEN avg(before) OVER w END, 6) AS elo_roll
+FROM elo e JOIN games g ON g.game_id = e.game_id WINDOW w AS (PARTITION BY e.team ORDER BY d, e.game_id ROWS BETWEEN 164 PRECEDING AND 1 PRECEDING)""",
+)
 def rating_windows(s):
     elo = ratings.pair_ratings(s.games)
     team = s.team_games.join(elo, "game_id").withColumn("elo", F.when(F.col("is_home") == 1, F.col("elo_home")).otherwise(F.col("elo_away")))
-    return ratings.rating_windows(team, TEAM_LINE, n=164, min_count=20).select("game_id", "team", "elo", "elo_roll")
+    return ratings.rating_windows(team, TEAM_LINE, n=164, min_count=20).select("game_id", "team", r6("elo").alias("elo"), r6("elo_roll").alias("elo_roll"))
 
 
 @query("sigma_calibration", "R-13")

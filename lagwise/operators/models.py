@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import Imputer, VectorAssembler
@@ -13,9 +17,10 @@ from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegres
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lagwise.operators.calibration import probit_probability
 from lagwise.operators.folds import causal_weights, ensemble, fold_calendar
 from lagwise.operators.timeline import RANGE, Timeline, in_ranges, positions
-from lagwise.session import cut_lineage
+from lagwise.session import cut_lineage, shared_folder
 
 # Model id -> estimator factory. All learn from a "features" vector and a "label".
 REGRESSORS: dict[str, Callable] = {
@@ -26,6 +31,10 @@ REGRESSORS: dict[str, Callable] = {
 }
 
 
+#: Rows of a training window for one task of a fit; the many short jobs of a fit cost more than they gain on fewer.
+FIT_ROWS = 50_000
+
+
 @dataclass(frozen=True)
 class FoldSpec:
     """Positions [train_from, test_from) train, [test_from, test_to) test."""
@@ -71,28 +80,6 @@ def regression_pipeline(estimator, features: Sequence[str]) -> Pipeline:
     ])
 
 
-def fit_one(rows: DataFrame, spec: FoldSpec, features: Sequence[str], model: str, key: str) -> DataFrame:
-    """Predictions of one model on one fold, with the out-of-sample sigma of the last fifth of training.
-
-    The model learns the market's error (label), so a prediction of the margin is
-    the predicted error minus the line.
-    """
-    train = rows.where((F.col("__pos") >= spec.train_from) & (F.col("__pos") < spec.test_from)).where("label IS NOT NULL")
-    test = rows.where((F.col("__pos") >= spec.test_from) & (F.col("__pos") < spec.test_to))
-    cut = spec.train_from + int((spec.test_from - spec.train_from) * 0.8)
-    cols = usable_features(train, features)
-    pipe = regression_pipeline(REGRESSORS[model](), cols)
-    early = train.where(F.col("__pos") < cut)
-    check = regression_pipeline(REGRESSORS[model](), usable_features(early, cols)).fit(early)
-    residual = check.transform(train.where(F.col("__pos") >= cut)).agg(F.stddev_pop(F.col("label") - F.col("prediction")).alias("s")).first()
-    sigma = residual["s"] or 1.0
-    out = pipe.fit(train).transform(test)
-    return out.select(
-        key, F.lit(spec.fold).alias("fold"), F.lit(model).alias("model"),
-        (F.col("prediction") - F.col("spread_signed")).alias("pred"), F.lit(float(sigma)).alias("sigma"), "home_margin",
-    )
-
-
 def _placed(rows: DataFrame, day: str, key: str) -> DataFrame:
     """Rows with their position in time and the label, the market's error."""
     order = (day, key)
@@ -100,28 +87,134 @@ def _placed(rows: DataFrame, day: str, key: str) -> DataFrame:
     return placed.withColumn("label", (F.col("home_margin") + F.col("spread_signed")).cast("double"))
 
 
+def last_window(history: DataFrame, day: str, train_rows: int) -> tuple[int, int]:
+    """First position of the newest training window, ``train_rows`` rows extended back to a date boundary, and all rows."""
+    days = history.groupBy(day).agg(F.count(F.lit(1)).alias("n"))
+    ordered = Window.orderBy(day).rowsBetween(Window.unboundedPreceding, 0)  # one row per calendar day
+    ends = days.withColumn("t", F.sum("n").over(ordered)).withColumn("b", F.col("t") - F.col("n"))
+    total = ends.agg(F.max("t")).first()[0] or 0
+    first = ends.where(F.col("b") <= max(total - train_rows, 0)).agg(F.max("b")).first()[0]
+    return first or 0, total
+
+
+def by_position(placed: DataFrame, block: int) -> DataFrame:
+    """``placed`` as a table stored by blocks of positions, so that a fold reads the blocks of its rows only."""
+    path = f"{shared_folder(placed.sparkSession)}/positions-{uuid.uuid4().hex}"
+    kept = placed.withColumn("__block", F.floor(F.col("__pos") / block).cast("int"))
+    kept.repartition("__block").write.partitionBy("__block").parquet(path)
+    return placed.sparkSession.read.schema(kept.schema).parquet(path)
+
+
+def between(table: DataFrame, first: int, end: int, block: int) -> DataFrame:
+    blocks = F.col("__block").between(first // block, max(end - 1, first) // block)
+    return table.where(blocks & (F.col("__pos") >= first) & (F.col("__pos") < end))
+
+
+def window_medians(table: DataFrame, windows: Sequence[tuple[int, str, int, int]], features: Sequence[str]) -> dict[tuple[int, str], dict[str, float]]:
+    """Per (fold, part) the median of each feature that has a value there, for all windows from one aggregate.
+
+    ``windows``: (fold, part, first position, end). Medians are elements of the data, by sketches of 1e-6 accuracy.
+    """
+    marks = F.array(*[F.struct(F.lit(f).alias("f"), F.lit(p).alias("p"), F.lit(a).alias("a"), F.lit(z).alias("z")) for f, p, a, z in windows])
+    inside = F.filter(marks, lambda w: (F.col("__pos") >= w["a"]) & (F.col("__pos") < w["z"]))
+    rows = table.where("label IS NOT NULL").select(F.explode(inside).alias("w"), *features)
+    found = rows.groupBy("w.f", "w.p").agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, 1_000_000).alias(c) for c in features]).collect()
+    return {(r["f"], r["p"]): {c: float(r[c]) for c in features if r[c] is not None} for r in found}
+
+
+def imputed_vector(df: DataFrame, medians: dict[str, float], name: str) -> DataFrame:
+    """``df`` with a vector of the features in ``medians``; a missing value takes the median."""
+    filled = [F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(m)).alias(f"__i_{i}") for i, (c, m) in enumerate(medians.items())]
+    wide = df.select("*", *filled)
+    names = [f"__i_{i}" for i in range(len(filled))]
+    return VectorAssembler(inputCols=names, outputCol=name).transform(wide).drop(*names)
+
+
+def fit_fold(table: DataFrame, spec: FoldSpec, medians: dict, block: int, models: Sequence[str], key: str, pool: ThreadPoolExecutor) -> list[DataFrame]:
+    """Predictions of all models on one fold, with the out-of-sample sigma of the last fifth of training.
+
+    The models share one imputed vector; their fits are submitted together. They learn the market's error (label), so a prediction of the margin is the
+    predicted error minus the line.
+    """
+    cut = early_end(spec)
+    train = imputed_vector(between(table, spec.train_from, spec.test_from, block).where("label IS NOT NULL"), medians[spec.fold, "all"], "features")
+    train = imputed_vector(train, medians[spec.fold, "early"], "__early").select("__pos", "label", "features", "__early")
+    train = train.coalesce(1 + (spec.test_from - spec.train_from) // FIT_ROWS).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        test = imputed_vector(between(table, spec.test_from, spec.test_to, block), medians[spec.fold, "all"], "features")
+        early = train.where(F.col("__pos") < cut).select("label", F.col("__early").alias("features"))
+        late = train.where(F.col("__pos") >= cut).select("label", F.col("__early").alias("features"))
+        residual = F.stddev_pop(F.col("label") - F.col("prediction")).alias("s")
+        checks = [pool.submit(lambda m=m: REGRESSORS[m]().fit(early).transform(late).agg(residual).first()["s"]) for m in models]
+        fits = [pool.submit(lambda m=m: REGRESSORS[m]().fit(train.select("label", "features"))) for m in models]
+        parts = [
+            fit.result().transform(test).select(
+                key, F.lit(spec.fold).alias("fold"), F.lit(m).alias("model"), (F.col("prediction") - F.col("spread_signed")).alias("pred"),
+                F.lit(float(check.result() or 1.0)).alias("sigma"), "home_margin",
+            )
+            for m, fit, check in zip(models, fits, checks)
+        ]
+        return parts
+    finally:
+        train.unpersist()
+
+
+def early_end(spec: FoldSpec) -> int:
+    return spec.train_from + int((spec.test_from - spec.train_from) * 0.8)
+
+
 def walk_forward(
     rows: DataFrame, day: str, key: str, features: Sequence[str], models: Sequence[str], train_rows: int, test_rows: int, workers: int = 4,
+    slate: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Out-of-sample predictions per (fold, model, row) and the fold calendar.
 
-    ``rows`` needs home_margin and spread_signed. Folds are independent; their
-    jobs are submitted from a few driver threads so that the cluster overlaps them.
-    The table is written to the checkpoint folder once instead of being rebuilt by
-    every fold.
+    ``rows`` needs home_margin and spread_signed. A ``slate`` of coming rows, all later than ``rows``, is one more fold,
+    trained on the newest window, so that weights and calibrations of earlier folds reach it like any other. Rows are
+    stored by position once; counts and medians of all windows come from one pass. Folds are independent: their jobs
+    are submitted from a few driver threads so that the cluster overlaps them. Predictions are materialised.
     """
     calendar = fold_calendar(rows, day, train_rows, test_rows)
     specs = fold_specs(calendar)
     if not specs:
         raise ValueError("not enough rows for one fold")
-    placed = cut_lineage(_placed(rows, day, key))
-    jobs = [(s, m) for s in specs for m in models]
-    with ThreadPoolExecutor(max_workers=workers) as pool:
-        parts = list(pool.map(lambda j: fit_one(placed, j[0], features, j[1], key), jobs))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out, calendar
+    if slate is not None:
+        first, total = last_window(rows, day, train_rows)
+        if slate.agg(F.min(day)).first()[0] <= rows.agg(F.max(day)).first()[0]:
+            raise ValueError("the slate must be later than the history")
+        specs.append(FoldSpec(specs[-1].fold + 1, first, total, total + slate.count()))
+        unknown = slate.withColumn("home_margin", F.lit(None).cast(dict(rows.dtypes)["home_margin"]))
+        rows = rows.unionByName(unknown.select(rows.columns))
+    block = max(1, test_rows // 4)
+    table = by_position(_placed(rows, day, key), block)
+    windows = [w for s in specs for w in ((s.fold, "all", s.train_from, s.test_from), (s.fold, "early", s.train_from, early_end(s)))]
+    medians = window_medians(table, windows, features)
+    with ThreadPoolExecutor(max_workers=workers) as pool, ThreadPoolExecutor(max_workers=2 * workers * len(models)) as fits:
+        parts = [p for ps in pool.map(lambda s: fit_fold(table, s, medians, block, models, key, fits), specs) for p in ps]
+    return cut_lineage(reduce(DataFrame.unionByName, parts)), calendar
+
+
+def forecast_slate(
+    history: DataFrame, slate: DataFrame, day: str, key: str, features: Sequence[str], models: Sequence[str], train_rows: int, test_rows: int,
+) -> DataFrame:
+    """``day, home, away, key, pred_margin, p_home_win, sigma, data_through, model_version`` for a coming slate, from one walk.
+
+    The slate is the last fold: its weights come from all folds before it, ``sigma`` is the deviation of their
+    out-of-sample ensemble errors, and ``p_home_win`` a probit of the margin whose scale fits their results (null with
+    too few rows). ``model_version`` names features, models and window sizes.
+    """
+    predictions, _ = walk_forward(history, day, key, features, models, train_rows, test_rows, slate=slate)
+    margins = predictions.select(key, "home_margin").distinct()
+    both = cut_lineage(ensembled(predictions, key).join(margins, key))
+    last = both.agg(F.max("fold")).first()[0]
+    error = both.agg(F.stddev_samp(F.col("home_margin") - F.col("pred_ensemble")).alias("s")).first()["s"]
+    judged = probit_probability(both.withColumn("__won", F.when(F.col("home_margin").isNotNull(), (F.col("home_margin") > 0).cast("int"))), "pred_ensemble", "__won")
+    version = hashlib.sha256(repr((sorted(features), sorted(models), train_rows, test_rows)).encode()).hexdigest()[:12]
+    through = history.agg(F.max(day)).first()[0]
+    return slate.select(day, "home", "away", key).join(judged.where(F.col("fold") == last), key).select(
+        day, "home", "away", key, F.col("pred_ensemble").alias("pred_margin"), F.col("p_model").alias("p_home_win"),
+        F.lit(error).cast("double").alias("sigma"), F.lit(through).alias("data_through"), F.lit(version).alias("model_version"),
+    )
 
 
 def fold_rmse(predictions: DataFrame) -> DataFrame:

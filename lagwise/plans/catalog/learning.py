@@ -237,8 +237,8 @@ def slate_forecast(s):
     last = rows.agg(F.max("game_date")).first()[0]
     models.require_fresh(rows.where(F.col("game_date") < F.lit(last)), "game_date", last, 5)
     done, slate = rows.where(F.col("game_date") < F.lit(last)), rows.where(F.col("game_date") == F.lit(last))
-    weights = models.final_weights(walk(s, rows=done)[0])
-    return models.forecast(done, slate, "game_date", "game_id", FEATURES, list(weights), int(done.count() * 0.4), weights)
+    n = done.count()
+    return models.forecast_slate(done, slate, "game_date", "game_id", FEATURES, list(models.REGRESSORS), int(n * 0.4), int(n * 0.25))
 
 
 def lagged_features(games):

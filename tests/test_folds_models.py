@@ -197,6 +197,36 @@ def test_walk_forward_and_forecast(spark):
     assert out.count() == 6 and err < 5
 
 
+def test_slate_is_a_fold_of_the_walk(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(900):
+        x = float(rng.normal())
+        line = float(rng.integers(-10, 10))
+        rows.append((i, DAY0 + dt.timedelta(days=i // 6), f"h{i}", f"a{i}", x if i % 11 else None, None, 4 * x - line + float(rng.normal()), line))
+    df = spark.createDataFrame(rows, "game_id bigint, game_date date, home string, away string, x double, empty double, home_margin double, spread_signed double")
+    done, slate = df.where("game_id < 894"), df.where("game_id >= 894")
+    args = ("game_date", "game_id", ["x", "empty"], ["linear", "elastic"], 300, 100)
+    out = {r.game_id: r for r in models.forecast_slate(done, slate, *args).collect()}
+    assert set(out) == set(range(894, 900)) and {r.data_through for r in out.values()} == {DAY0 + dt.timedelta(days=148)}
+    assert {(r.home, r.away) for r in out.values()} == {(f"h{i}", f"a{i}") for i in range(894, 900)}
+    # the slate's outcomes are not read, and the folds before it are those of a walk without it
+    again = {r.game_id: tuple(r) for r in models.forecast_slate(done, slate.withColumn("home_margin", F.lit(99.0)), *args).collect()}
+    assert again == {i: tuple(r) for i, r in out.items()}
+    oos, _ = models.walk_forward(done, *args)
+    blend = models.ensembled(oos, "game_id").join(done, "game_id")
+    sigma = blend.agg(F.stddev_samp(F.col("home_margin") - F.col("pred_ensemble"))).first()[0]
+    assert {round(r.sigma, 9) for r in out.values()} == {round(sigma, 9)}
+    scale = calibration.fit_probit_scale(blend.select("fold", F.col("pred_ensemble").alias("x"), (F.col("home_margin") > 0).cast("int").alias("y")), "fold", [99], 3.0, 60.0, 1e-12)[99]
+    weights = models.final_weights(oos)
+    plain = {r.game_id: r.pred_margin for r in models.forecast(done, slate, "game_date", "game_id", ["x", "empty"], ["linear", "elastic"], 300, weights).collect()}
+    for i, r in out.items():
+        assert r.pred_margin == pytest.approx(plain[i], abs=1e-6)
+        assert r.p_home_win == pytest.approx(0.5 * math.erfc(-r.pred_margin / scale / math.sqrt(2)), abs=1e-9)
+    with pytest.raises(ValueError):
+        models.forecast_slate(df, slate, *args)
+
+
 def test_staleness_gate(spark):
     df = spark.createDataFrame([(DAY0,)], "d date")
     models.require_fresh(df, "d", DAY0 + dt.timedelta(days=2))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagwise.operators import audits, calibration, diagnostics, folds, models, ratings, styles
+from lagwise.operators import audits, calibration, diagnostics, folds, models, ratings, styles, sweep
 from lagwise.operators import windows as W
 from lagwise.plans.adapters import GAMES, MODEL_BETS, PREDICTIONS, TEAM_GAMES
 from lagwise.plans.catalog.common import TEAM_LINE, r6, text_date
@@ -231,6 +231,15 @@ def walk_forward_ensemble(s):
     return models.ensembled(walk(s)[0], "game_id")
 
 
+@query("parameter_sweep", "R-20")
+def parameter_sweep(s):
+    """Eight penalties of the linear model on every fold, from one pass."""
+    rows = cut_lineage(model_table(s))
+    n = rows.count()
+    settings = [sweep.Setting(reg, mix) for reg in (0.0, 0.1, 1.0, 10.0) for mix in (0.0, 0.5)]
+    return sweep.sweep(rows, "game_date", "game_id", FEATURES, settings, int(n * 0.4), int(n * 0.1))
+
+
 @query("slate_forecast", "R-19 Q-09")
 def slate_forecast(s):
     rows = cut_lineage(model_table(s))

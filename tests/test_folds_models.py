@@ -227,6 +227,45 @@ def test_slate_is_a_fold_of_the_walk(spark):
         models.forecast_slate(df, slate, *args)
 
 
+def test_sweep_equals_separate_fits(spark):
+    from lagwise.operators import sweep
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(900):
+        x, z = rng.normal(), rng.normal()
+        line = float(rng.integers(-10, 10))
+        rows.append((i, DAY0 + dt.timedelta(days=i // 6), float(x), float(5 + z) if i % 7 else None, None, 1.0, float(3 * x - z - line + rng.normal()) if i % 13 else None, line))
+    df = spark.createDataFrame(rows, "game_id bigint, game_date date, x double, z double, empty double, same double, home_margin double, spread_signed double").repartition(5)
+    features = ["x", "z", "empty", "same"]
+    settings = [sweep.Setting(), sweep.Setting(0.3), sweep.Setting(0.2, 1.0), sweep.Setting(5.0, 1.0)]
+    got = {(r.setting, r.fold): r for r in sweep.sweep(df, "game_date", "game_id", features, settings, 400, 150).collect()}
+    cal = folds.fold_calendar(df, "game_date", 400, 150).collect()
+    assert set(got) == {(i, c.fold) for i in range(4) for c in cal} and len(cal) > 2
+    known = [(r[2], r[3], r[6] + r[7] if r[6] is not None else None) for r in rows]
+    for c in cal:
+        learn = [k for k in known[c.train_from : c.test_from] if k[2] is not None]
+        test = [k for k in known[c.test_from : c.test_to] if k[2] is not None]
+        ordered = sorted(k[1] for k in learn if k[1] is not None)
+        median = ordered[(len(ordered) + 1) // 2 - 1]
+        a, b = (np.array([[k[0], median if k[1] is None else k[1]] for k in part]) for part in (learn, test))
+        ya, yb = np.array([k[2] for k in learn]), np.array([k[2] for k in test])
+        m, sd = a.mean(axis=0), a.std(axis=0)
+        u, v = (a - m) / sd, (b - m) / sd
+        for i, reg in ((0, 0.0), (1, 0.3)):  # ridge has a closed form
+            w = np.linalg.solve(u.T @ u / len(u) + reg * np.eye(2), u.T @ (ya - ya.mean()) / len(u))
+            want = math.sqrt(np.mean((yb - ya.mean() - v @ w) ** 2))
+            assert got[i, c.fold].rmse == pytest.approx(want, rel=1e-7) and got[i, c.fold].test_rows == len(yb)
+        assert got[3, c.fold].coefficients == 0 and got[3, c.fold].rmse == pytest.approx(math.sqrt(np.mean((yb - ya.mean()) ** 2)), rel=1e-7)
+        # lasso: the conditions of the minimum hold for the coefficients
+        z = np.column_stack([np.ones(len(a)), a, np.ones(len(a)), ya])
+        _, w = sweep.fit_from_sums(z.T @ z, settings[2])
+        slope = u.T @ (ya - ya.mean() - u @ (w[:2] * sd)) / len(u)
+        assert all(abs(g - 0.2 * np.sign(q)) < 1e-8 if q else abs(g) <= 0.2 for g, q in zip(slope, w[:2])) and w[2] == 0
+    best = sweep.best_settings(sweep.sweep(df, "game_date", "game_id", features, settings, 400, 150)).collect()
+    assert [r.rank for r in best] == [1, 2, 3, 4] and best[-1].setting == 3
+
+
 def test_staleness_gate(spark):
     df = spark.createDataFrame([(DAY0,)], "d date")
     models.require_fresh(df, "d", DAY0 + dt.timedelta(days=2))

@@ -223,6 +223,51 @@ def findings(rules: Sequence[tuple[DataFrame, str, str, str, Column, Column]]) -
     return long_report(rows).orderBy(severity_rank(F.col("severity")), "area", "finding")
 
 
+METRICS = "category string, metric string, value double, label string"
+
+
+def measured(df: DataFrame, category: str, metrics: dict[str, Column | tuple[Column, Column]]) -> DataFrame:
+    """Aggregates of ``df`` as rows ``category, metric, value, label``; a pair is a figure and the name it belongs to."""
+    pairs = {n: c if isinstance(c, tuple) else (c, F.max(F.lit(None))) for n, c in metrics.items()}
+    one = df.agg(*[x for n, (v, name) in pairs.items() for x in (v.cast("double").alias(f"v_{n}"), name.cast("string").alias(f"l_{n}"))])
+    rows = F.array(*[F.struct(F.lit(category).alias("category"), F.lit(n).alias("metric"), F.col(f"v_{n}").alias("value"), F.col(f"l_{n}").alias("label")) for n in pairs])
+    return one.select(F.explode(rows).alias("r")).select("r.*")
+
+
+# Which figure each rule reads, its test, the severity if the test holds and if not. No test: always the first.
+RULES = (
+    # area, finding, metric, test, bound, severity, otherwise
+    ("models", "highest return of a model", "best_model_roi", None, None, "positive", None),
+    ("models", "lowest return of a model", "worst_model_roi", None, None, "high", None),
+    ("models", "mean share of bets won", "avg_model_win_rate", "<", 0.5, "medium", "positive"),
+    ("price tiers", "highest mean result of a tier", "best_market_pnl", ">", 0.0, "positive", "medium"),
+    ("price tiers", "lowest mean result of a tier", "worst_market_pnl", "<", 0.0, "high", "medium"),
+    ("time", "share of losing months", "negative_month_share", ">", 0.6, "high", "medium"),
+    ("regimes", "volatile less calm days", "vol_high_minus_low", ">", 0.0, "positive", "medium"),
+    ("calibration", "highest return of an edge decile", "best_decile_roi", ">", 0.0, "positive", "medium"),
+    ("calibration", "lowest return of an edge decile", "worst_decile_roi", "<", 0.0, "high", "medium"),
+    ("data quality", "required columns that are missing", "missing_hard_required_columns", ">", 0.0, "high", "positive"),
+    ("data quality", "share of rows with features", "feature_match_rate", ">=", 0.99, "positive", "medium"),
+)
+RULE_KIND = "area string, finding string, metric string, test string, bound double, severity string, otherwise string"
+
+
+def rule_findings(metrics: DataFrame, rules: Sequence[tuple] = RULES) -> DataFrame:
+    """``area, finding, metric, value, label, severity``: rules are rows, joined to the long metric table by name.
+
+    A rule whose metric is absent or null gives no finding; a new rule needs a row and no code. Most severe first.
+    """
+    table = metrics.sparkSession.createDataFrame(list(rules), RULE_KIND)
+    j = table.join(metrics.where("value IS NOT NULL").select("metric", "value", "label"), "metric")
+    v, b = F.col("value"), F.col("bound")
+    holds = (
+        F.when(F.col("test").isNull(), True).when(F.col("test") == "<", v < b).when(F.col("test") == "<=", v <= b)
+        .when(F.col("test") == ">", v > b).when(F.col("test") == ">=", v >= b)
+    )
+    found = j.select("area", "finding", "metric", "value", "label", F.when(holds, F.col("severity")).otherwise(F.col("otherwise")).alias("severity"))
+    return found.orderBy(severity_rank(F.col("severity")), "area", "finding")
+
+
 def iteration_score(found: DataFrame, roi: DataFrame) -> DataFrame:
     """100 x mean ROI - 10 x high - 3 x medium."""
     counts = found.agg(

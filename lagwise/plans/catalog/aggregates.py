@@ -311,3 +311,48 @@ def entry_comparison(s):
         F.count(F.lit(1)).alias("n"), r6(F.avg("clv")).alias("mean_clv"), r6(F.stddev_samp("clv") / F.sqrt(F.count(F.lit(1)))).alias("clv_se"),
         r6(F.avg("ret")).alias("roi"), r6(F.stddev_samp("ret") / F.sqrt(F.count(F.lit(1)))).alias("roi_se"),
     )
+
+
+ENTRY_HOURS = {"open": 20.0, "timed": 9.0, "close": 0.0}
+# Quotes of a game: six in the day before it, each a little off the last; the newest at or before each entry counts.
+ENTRIES = PREDICTIONS + """,
+qt AS (SELECT game_id, h, 1.6 + (game_id * 7 + h * 3) % 11 / 20.0 AS dh, 1.0 / (1.04 - 1.0 / (1.6 + (game_id * 7 + h * 3) % 11 / 20.0)) AS da FROM predictions, (VALUES (21), (15), (10), (6), (3), (1)) v(h) WHERE (game_id + h) % 17 <> 0),
+en AS (SELECT p.game_id, e.entry, p.game_date, p.home_margin, arg_min(dh, h) AS dh, arg_min(da, h) AS da FROM predictions p, (VALUES ('open', 20), ('timed', 9), ('close', 0)) e(entry, h0) JOIN qt ON qt.game_id = p.game_id AND qt.h >= e.h0 GROUP BY ALL),
+fu AS (SELECT game_id, max(CASE WHEN entry = 'close' THEN (1 / dh) / (1 / dh + 1 / da) END) AS pc FROM en GROUP BY 1 HAVING count(*) = 3),
+er AS (SELECT en.*, pc, (1 / dh) / (1 / dh + 1 / da) AS pe, least(greatest(1 / (1 + exp(-pred_m1 / 9.0)), 0.01), 0.99) AS p, CASE WHEN en.home_margin > 0 THEN 1.0 ELSE 0.0 END AS win FROM en JOIN fu ON fu.game_id = en.game_id JOIN predictions q ON q.game_id = en.game_id),
+ev AS (SELECT *, p * dh - 1 AS eh, (1 - p) * da - 1 AS ea FROM er),
+eb AS (SELECT *, eh > 0.03 AND eh >= ea AS oh, (eh > 0.03 AND eh >= ea) OR ea > 0.03 AS bet FROM ev),
+ec AS (SELECT *, CASE WHEN bet THEN CASE WHEN oh THEN pc * dh ELSE (1 - pc) * da END - 1 END AS clv, CASE WHEN bet THEN CASE WHEN (oh AND win = 1) OR (NOT oh AND win = 0) THEN CASE WHEN oh THEN dh ELSE da END - 1 ELSE -1 END END AS ret FROM eb)"""
+
+
+@query(
+    "entry_report", "R-24 J-10",
+    f"""WITH {ENTRIES} SELECT entry, count(*) AS n, round(CASE WHEN entry <> 'close' THEN regr_slope(ln(pc / (1 - pc)) - ln(pe / (1 - pe)), ln(p / (1 - p)) - ln(pe / (1 - pe))) END, 7) AS clv_slope,
+  count(clv) AS bets, round(avg(clv), 7) AS mean_clv, round(avg(ret), 7) AS roi, round((SELECT regr_slope(win - pc, p - pc) FROM ec WHERE entry = 'close'), 7) AS close_slope FROM ec GROUP BY entry""",
+)
+def entry_report(s):
+    """A forecast against the prices at open, nine hours before and at the close."""
+    from lagwise.operators import entries
+
+    p = s.predictions.select("game_id", "game_date", F.col("game_date").cast("timestamp").alias("start"), (F.col("home_margin") > 0).cast("double").alias("win"), (1 / (1 + F.exp(-F.col("pred_m1") / 9.0))).alias("p_m1"))
+    h = F.explode(F.array(*[F.lit(x) for x in (21, 15, 10, 6, 3, 1)])).alias("h")
+    q = p.select("game_id", "start", h).where((F.col("game_id") + F.col("h")) % 17 != 0)
+    home = 1.6 + (F.col("game_id") * 7 + F.col("h") * 3) % 11 / 20.0
+    q = q.select("game_id", F.timestamp_micros(F.unix_micros("start") - F.col("h") * F.lit(3_600_000_000)).alias("at"), home.alias("decimal_home"), (1.0 / (1.04 - 1.0 / home)).alias("decimal_away"))
+    rows = entries.entry_prices(p, q, "game_id", "start", "at", ENTRY_HOURS)
+    out = entries.entry_report(rows, {"m1": "p_m1"}, "win", "game_date")
+    return out.select("entry", "n", F.round("clv_slope", 7).alias("clv_slope"), "bets", *[F.round(c, 7).alias(c) for c in ("mean_clv", "roi", "close_slope")])
+
+
+@query(
+    "spread_report", "R-24 T-05",
+    f"""WITH {PREDICTIONS}, u AS (SELECT 'pred_m1' AS forecast, home_margin + spread_signed AS error, pred_m1 + spread_signed AS edge FROM predictions WHERE spread_signed IS NOT NULL
+  UNION ALL SELECT 'pred_m2', home_margin + spread_signed, pred_m2 + spread_signed FROM predictions WHERE spread_signed IS NOT NULL),
+c AS (SELECT forecast, quantile_cont(abs(edge), 0.8) AS cut FROM u GROUP BY 1), v AS (SELECT u.*, 'all' AS slice FROM u UNION ALL SELECT u.*, 'top' FROM u JOIN c ON c.forecast = u.forecast AND abs(edge) >= cut)
+SELECT forecast, slice, count(*) AS n, round(sqrt(avg(error * error)), 7) AS line_rmse, round(sqrt(avg((error - edge) * (error - edge))), 7) AS model_rmse, round(regr_slope(error, edge), 7) AS slope FROM v GROUP BY 1, 2""",
+)
+def spread_report(s):
+    from lagwise.operators import entries
+
+    out = entries.spread_report(s.predictions, "home_margin", "spread_signed", ["pred_m1", "pred_m2"], "game_date")
+    return out.select("forecast", "slice", "n", *[F.round(c, 7).alias(c) for c in ("line_rmse", "model_rmse", "slope")])

@@ -19,7 +19,8 @@ from lagwise.streaming.quotes import job_folder
 
 def venues_of(games):
     return games.select("home").distinct().select(
-        F.col("home").alias("team"), F.expr(VENUE_LAT).cast("double").alias("lat"), F.expr(VENUE_LON).cast("double").alias("lon")
+        F.col("home").alias("team"), F.expr(VENUE_LAT).cast("double").alias("lat"), F.expr(VENUE_LON).cast("double").alias("lon"),
+        (F.col("home") * 37 % 8 * 400.0).alias("altitude"),
     )
 
 
@@ -61,6 +62,36 @@ def feature_table_slate(s):
     return shown(audits.slate_features(past, slate.join(known, "game_id", "left_semi"), build, "game_date", "game_id", OUTCOMES))
 
 
+@query(
+    "altitude_penalty", "M-07",
+    FEATURE_SQL[: FEATURE_SQL.index("\nSELECT sv.game_id")] + """
+SELECT sv.game_id, g.home * 37 % 8 * 400.0 AS away_altitude, g.home * 37 % 8 * 400.0 > 1000 AS high, TRUE AS as_ruled FROM sv JOIN games g ON g.game_id = sv.game_id""",
+)
+def altitude_penalty(s):
+    """Visitors' travel counts at high venues and nowhere else."""
+    t = feature_table(s)
+    high = F.col("away_altitude") > 1000
+    ruled = F.col("altitude_travel_penalty") == F.when(high, F.col("away_travel_3d")).otherwise(0.0)
+    return t.select("game_id", "away_altitude", high.alias("high"), ruled.alias("as_ruled"))
+
+
+@query(
+    "outcome_flip", "Q-02",
+    f"""{FEATURE_SQL.split("lo AS (SELECT tg.*")[0].rstrip().rstrip(",")}
+SELECT 'own day' AS part, count(*) AS games, FALSE AS moved FROM sv JOIN games g ON g.game_id = sv.game_id WHERE g.game_date = DATE '1998-06-15'
+UNION ALL SELECT 'later', count(*), TRUE FROM sv JOIN games g ON g.game_id = sv.game_id WHERE g.game_date > DATE '1998-06-15'""",
+)
+def outcome_flip(s):
+    """The whole feature build with one day's scores swapped: that day's features stay, later ones move."""
+    base = feature_table(s)
+    flipped = build_feature_table(audits.outcome_flip(s.games, "game_date", AUDIT_DAY, *OUTCOMES), venues_of(s.games))
+    parts = []
+    for name, rows in (("own day", F.col("game_date") == F.lit(AUDIT_DAY)), ("later", F.col("game_date") > F.lit(AUDIT_DAY))):
+        c = audits.compare_builds(base.where(rows), flipped.where(rows), ["game_id"], [x for x in NOT_FEATURES if x != "game_id"])
+        parts.append(c.agg(F.max("rows").alias("games"), (F.sum("differing") > 0).alias("moved")).select(F.lit(name).alias("part"), "games", "moved"))
+    return parts[0].unionByName(parts[1])
+
+
 @query("feature_table_audit", "Q-01")
 def feature_table_audit(s):
     """Every column of the feature build, and a planted leak, rebuilt with the day's outcomes shuffled."""

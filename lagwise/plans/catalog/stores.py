@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lagwise.operators import audits, schema
 from lagwise.plans.adapters import MODEL_BETS
 from lagwise.plans.catalog.common import text_date
 from lagwise.plans.catalog.documents import envelopes_a
 from lagwise.plans.registry import query
 from lagwise.sources import documents, runs, tables
-from lagwise.streaming.quotes import flatten_new_documents, job_folder
+from lagwise.streaming.quotes import flatten_new_documents, job_folder, refill_children
 
 STORED_QUOTES = """WITH e AS (SELECT event_id, event_type, value, strftime(ts, '%Y-%m-%d') AS date FROM events), b AS (SELECT *, unnest([('b1'), (event_type)]) AS bookmaker_id FROM e)
 SELECT 'r' || event_id AS request_id, date, bookmaker_id, CASE WHEN event_id % 3 = 0 THEN 112.5 ELSE value END AS line FROM b"""
@@ -98,3 +99,47 @@ def captured_runs(s):
     runs.capture_run({"fold_metrics": folds.withColumn("test_end", F.date_add("test_end", 9))}, "overlap", root)
     predictions.where("fold = 3").write.parquet(f"{root}/predictions/run_id=stopped")
     return runs.catalogue(s.spark, root).select("run_id", "status", F.col("tables").cast("int").alias("tables"), "rows", F.size("problems").alias("problems"))
+
+
+@query("json_lines", "S-08", "SELECT event_id AS market_id, event_type AS series, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS price FROM events")
+def json_lines(s):
+    """A market list in JSON lines, some without a price."""
+    path = f"{job_folder(s.spark, 'markets')}/list"
+    e = s.table("events").select(F.col("event_id").alias("market_id"), F.col("event_type").alias("series"), F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("price"))
+    e.write.json(path)
+    return documents.read_json_lines(s.spark, path, "market_id bigint, series string, price double")
+
+
+@query(
+    "append_log", "S-03 S-15",
+    """SELECT event_id AS request_id, event_type AS provider, CASE WHEN event_id % 2 = 0 THEN value END AS objects FROM events""",
+)
+def append_log(s):
+    """A log that is empty at first and then takes rows with a missing column, and rows with one too many in another order."""
+    path = f"{job_folder(s.spark, 'log')}/requests"
+    e = s.table("events").select(F.col("event_id").alias("request_id"), F.col("event_type").alias("provider"), F.col("value").alias("objects"), "props")
+    kind = e.drop("props").schema
+    rows = tables.read_log(s.spark, path, kind)
+    for part in (e.where("request_id % 2 = 1").select("request_id", "provider"), e.where("request_id % 2 = 0").select("props", "objects", "provider", "request_id")):
+        tables.append_rows(part, path, kind)
+    return rows.unionByName(tables.read_log(s.spark, path, kind))
+
+
+@query("complete_children", "Q-08 ST-03", "SELECT o_orderkey, count(l_orderkey) AS lines FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+def complete_children(s):
+    """Line counts of orders: those with lines are stored, the others refilled, and the gate lets the table through."""
+    path = f"{job_folder(s.spark, 'children')}/counts"
+    orders, lines = s.table("orders"), s.table("lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    lines.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("lines")).write.parquet(path)
+    refill_children(orders, path, ["o_orderkey"], lambda todo: todo.select("o_orderkey", F.lit(0).cast("long").alias("lines")))
+    children = s.spark.read.parquet(path)
+    audits.require_children(orders, children, ["o_orderkey"])
+    return children
+
+
+@query(
+    "schema_report", "C-27",
+    """SELECT * FROM (VALUES ('game_id', TRUE, TRUE, 'error'), ('home_margin', TRUE, TRUE, 'error'), ('stake', TRUE, FALSE, 'error'), ('pred_*', FALSE, TRUE, 'warning'), ('odds_*', FALSE, FALSE, 'warning')) t("column", is_hard_required, present, severity)""",
+)
+def schema_report(s):
+    return schema.schema_report(s.predictions, ["game_id", "home_margin", "stake"], ["pred_*", "odds_*"])

@@ -116,7 +116,11 @@ def team_families(survivors: DataFrame, venues: DataFrame, cfg: FeatureSettings)
 
 
 def build_feature_table(games: DataFrame, venues: DataFrame, cfg: FeatureSettings = FeatureSettings(), store: str | None = None) -> DataFrame:
-    """The model table: one row per surviving game, home-minus-away features."""
+    """The model table: one row per surviving game, home-minus-away features.
+
+    ``venues`` has team, lat, lon and may have altitude (feet; a team without one plays at sea level): then visitors'
+    recent travel counts as a penalty at venues above ``altitude_feet``.
+    """
     spark: SparkSession = games.sparkSession
 
     def kept(name: str, build) -> DataFrame:
@@ -150,5 +154,9 @@ def build_feature_table(games: DataFrame, venues: DataFrame, cfg: FeatureSetting
         "abs_elo_diff": F.abs("elo_diff"), "elo_diff_squared": F.pow("elo_diff", F.lit(2)), "sigmoid_elo_diff": logistic(F.col("elo_diff") / 100),
         "rest_advantage_sq": signed_square(F.col("rest_advantage").cast("double")), "rest_diff_elo_diff": F.col("rest_diff") * F.col("elo_diff"),
     })
+    if "altitude" in venues.columns:
+        high = venues.select(F.col("team").alias("home"), F.col("altitude").cast("double").alias("away_altitude"))
+        out = out.join(high, "home", "left").withColumn("away_altitude", F.coalesce("away_altitude", F.lit(0.0)))
+        out = out.withColumn("altitude_travel_penalty", F.col("away_travel_3d") * (F.col("away_altitude") > cfg.altitude_feet).cast("int"))
     z = {f"travel_{k}d_z": F.col(f"home_travel_{k}d") for k in cfg.travel_days}
     return W.prior_zscores(out, Timeline(("home", "season"), ("d", "game_id")), z)

@@ -13,7 +13,7 @@ from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import Imputer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -290,14 +290,6 @@ def logistic_by_fold(rows: DataFrame, x: str, won: str, min_rows: int = 250, key
     return j.select(key, "fold", p.alias("p"), F.coalesce("reason", F.when(F.col("__x").isNull(), F.lit("no feature"))).alias("reason"))
 
 
-def isotonic(train: DataFrame, test: DataFrame, p: str, y: str, name: str = "p_isotonic") -> DataFrame:
-    """Isotonic calibration of a probability; training rows become one weighted point per value, which changes nothing."""
-    known = train.where(F.col(p).isNotNull() & F.col(y).isNotNull())
-    points = known.groupBy(p).agg(F.avg(y).alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
-    fitted = IsotonicRegression(featuresCol=p, labelCol="label", weightCol="weight", predictionCol=name).fit(points)
-    return fitted.transform(test)
-
-
 def require_fresh(df: DataFrame, date: str, today, max_gap_days: int = 3) -> None:
     """Stop when the newest row is too old, or lies in the future."""
     newest = df.agg(F.max(date).alias("d")).first()["d"]

@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
-from functools import reduce
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagwise.operators import audits, calibration, diagnostics, folds, models, ratings, styles, sweep
+from lagwise.operators import audits, calibration, diagnostics, folds, isotonic, models, ratings, styles, sweep
 from lagwise.operators import windows as W
 from lagwise.plans.adapters import GAMES, MODEL_BETS, PREDICTIONS, TEAM_GAMES
 from lagwise.plans.catalog.common import TEAM_LINE, r6, text_date
@@ -169,14 +167,29 @@ def binned_calibration(s):
     return out.select("model", "game_id", r6("p_calibrated").alias("p_calibrated"))
 
 
-@query("isotonic_calibration", "R-17")
+# The fit is the slope of the greatest convex minorant of (rows, wins) in order of win_prob: from one corner, the next is the point of least slope.
+ISOTONIC = MODEL_BETS + """,
+kb AS MATERIALIZED (SELECT model, game_id, fold, win_prob AS p, CASE WHEN covered = 'HOME' THEN 1 ELSE 0 END AS y FROM mb WHERE covered <> 'PUSH'),
+pt AS (SELECT model, p, sum(y) AS s, count(*) AS n FROM kb WHERE fold < 6 GROUP BY 1, 2),
+cu AS MATERIALIZED (SELECT model, p, row_number() OVER w AS k, CAST(sum(s) OVER w AS DOUBLE) AS s, CAST(sum(n) OVER w AS DOUBLE) AS n FROM pt WINDOW w AS (PARTITION BY model ORDER BY p)),
+hull AS (SELECT DISTINCT model, CAST(0 AS BIGINT) AS k0, CAST(0 AS BIGINT) AS k, CAST(0 AS DOUBLE) AS s, CAST(0 AS DOUBLE) AS n, CAST(NULL AS DOUBLE) AS fit FROM cu
+  UNION ALL
+  SELECT c.model, x.k0, c.k, c.s, c.n, x.m.fit FROM (SELECT h.model, h.k AS k0, min({'fit': (c.s - h.s) / (c.n - h.n), 'k': -c.k}) AS m FROM hull h JOIN cu c ON c.model = h.model AND c.k > h.k GROUP BY 1, 2) x
+  JOIN cu c ON c.model = x.model AND c.k = -x.m.k),
+bl AS (SELECT h.model, h.fit, CASE WHEN h.k0 = 0 THEN CAST('-infinity' AS DOUBLE) ELSE a.p END AS since, b.p AS hi, lead(a.p) OVER w AS next_lo, lead(h.fit) OVER w AS next_fit
+  FROM hull h JOIN cu a ON a.model = h.model AND a.k = h.k0 + 1 JOIN cu b ON b.model = h.model AND b.k = h.k WHERE h.k > 0 WINDOW w AS (PARTITION BY h.model ORDER BY h.k))"""
+
+
+@query(
+    "isotonic_calibration", "R-17",
+    f"""WITH RECURSIVE {ISOTONIC} SELECT kb.model, kb.game_id, round(kb.p, 6) AS win_prob,
+  round(CASE WHEN kb.p <= hi OR next_lo IS NULL THEN fit ELSE fit + (kb.p - hi) * (next_fit - fit) / (next_lo - hi) END, 6) AS p_isotonic
+FROM kb ASOF LEFT JOIN bl ON bl.model = kb.model AND kb.p >= bl.since WHERE kb.fold >= 6""",
+)
 def isotonic_calibration(s):
     b = s.model_bets.where("covered <> 'PUSH'").withColumn("y", (F.col("covered") == "HOME").cast("int"))
-    parts = []
-    for m in sorted(r[0] for r in b.select("model").distinct().collect()):  # the models of a run are few
-        own = b.where(F.col("model") == m)
-        parts.append(models.isotonic(own.where("fold < 6"), own.where("fold >= 6"), "win_prob", "y").select("model", "game_id", "win_prob", "p_isotonic"))
-    return reduce(DataFrame.unionByName, parts)
+    out = isotonic.isotonic(b.where("fold < 6"), b.where("fold >= 6"), "win_prob", "y", ["model"])
+    return out.select("model", "game_id", r6("win_prob").alias("win_prob"), r6("p_isotonic").alias("p_isotonic"))
 
 
 @query("play_styles", "R-18 J-14")

@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from lagwise.functions.numeric import normal_cdf_sql
 from lagwise.operators import audits, calibration, diagnostics, folds, isotonic, models, ratings, styles, sweep
 from lagwise.operators import windows as W
 from lagwise.plans.adapters import GAMES, MODEL_BETS, PREDICTIONS, TEAM_GAMES
@@ -129,18 +130,56 @@ def rating_windows(s):
     return ratings.rating_windows(team, TEAM_LINE, n=164, min_count=20).select("game_id", "team", r6("elo").alias("elo"), r6("elo_roll").alias("elo_roll"))
 
 
-@query("sigma_calibration", "R-13")
+def scale_sql(low: float, high: float, floor: float) -> str:
+    """``scale(fold, c)``: the best probit scale over earlier folds of ``signed(fold, t0)``, bisected inside the cell of a grid that holds the minimum."""
+    n = calibration.POINTS
+    p = f"least(greatest({normal_cdf_sql('t')}, {floor!r}), {1 - floor!r})"
+    slope = f"(CASE WHEN p > {floor!r} AND p < {1 - floor!r} THEN t * exp(-t * t / 2) / (sqrt(2 * pi()) * p) ELSE 0 END)"
+    return f"""
+grid AS (SELECT CAST(i AS INTEGER) AS i, {low} * pow({high / low!r}, i / {n - 1}.0) AS c FROM range({n}) r(i)),
+ce AS (SELECT fold, i, count(*) AS n, sum(-ln(p)) AS loss, sum({slope}) AS slope FROM (SELECT fold, i, t, {p} AS p FROM (SELECT fold, i, t0 / c AS t FROM signed, grid)) GROUP BY 1, 2),
+pre AS (SELECT f.fold, i, sum(n) AS n, sum(loss) AS loss, sum(slope) AS slope FROM (SELECT DISTINCT fold FROM predictions) f JOIN ce ON ce.fold < f.fold GROUP BY 1, 2),
+best AS (SELECT fold, arg_min(i, loss) AS i, arg_min(slope, loss) AS slope FROM pre WHERE n >= {calibration.MIN_ROWS} GROUP BY 1),
+st AS (SELECT fold, 0 AS k, ln(c) AS a, CASE WHEN (b.i = 0 AND slope > 0) OR (b.i = {n - 1} AND slope <= 0) THEN ln(c) ELSE ln(c) + ln({high / low!r}) / {n - 1} END AS z
+  FROM best b JOIN grid ON grid.i = b.i - CASE WHEN slope > 0 AND b.i > 0 THEN 1 ELSE 0 END
+  UNION ALL
+  SELECT fold, k + 1, CASE WHEN g > 0 THEN a ELSE mid END, CASE WHEN g > 0 THEN mid ELSE z END FROM (
+    SELECT fold, k, a, z, mid, sum({slope}) AS g FROM (SELECT fold, k, a, z, mid, t, {p} AS p FROM (
+      SELECT st.fold, k, a, z, (a + z) / 2 AS mid, t0 / exp((a + z) / 2) AS t FROM st JOIN signed ON signed.fold < st.fold WHERE k < 30)) GROUP BY 1, 2, 3, 4, 5)),
+scale AS (SELECT fold, exp(a) AS c FROM st WHERE k = 30)"""
+
+
+SIGMA = PREDICTIONS + """,
+rs AS (SELECT game_id, fold, (pred_m1 + spread_signed) / 8.0 AS x, home_margin AS m, -spread_signed AS line FROM predictions WHERE spread_signed IS NOT NULL),
+signed AS MATERIALIZED (SELECT fold, CASE WHEN m > line THEN x ELSE -x END AS t0 FROM rs WHERE m <> line),""" + scale_sql(1.0, 50.0, 1e-6)
+
+
+@query(
+    "sigma_calibration", "R-13",
+    f"""WITH RECURSIVE {SIGMA} SELECT game_id, rs.fold, round(8.0 * coalesce(c, 100.0), 4) AS sigma_ensemble, round(coalesce(c, 100.0), 5) AS sigma_multiplier, c IS NOT NULL AS bettable
+FROM rs LEFT JOIN scale ON scale.fold = rs.fold""",
+)
 def sigma_calibration(s):
     rows = s.predictions.where("spread_signed IS NOT NULL").select(
         "game_id", "fold", F.col("pred_m1").alias("pred_ensemble"), "spread_signed", F.col("spread_signed").alias("settle_signed"), "home_margin", F.lit(8.0).alias("sigma_ensemble")
     )
-    return calibration.calibrate_sigma(rows).select("game_id", "fold", "sigma_ensemble", "sigma_multiplier", "bettable")
+    out = calibration.calibrate_sigma(rows)
+    return out.select("game_id", "fold", F.round("sigma_ensemble", 4).alias("sigma_ensemble"), F.round("sigma_multiplier", 5).alias("sigma_multiplier"), "bettable")
+
+
+PROBIT = PREDICTIONS + """,
+signed AS MATERIALIZED (SELECT fold, CASE WHEN home_margin > 0 THEN pred_m1 ELSE -pred_m1 END AS t0 FROM predictions),""" + scale_sql(3.0, 60.0, 1e-12)
 
 
-@query("probit_scale", "R-14")
+@query(
+    "probit_scale", "R-14",
+    f"""WITH RECURSIVE {PROBIT} SELECT game_id, fold, round(c, 5) AS probit_scale, round({normal_cdf_sql('z')}, 6) AS p_model
+FROM (SELECT game_id, p.fold, c, pred_m1 / c AS z FROM predictions p LEFT JOIN scale ON scale.fold = p.fold)""",
+)
 def probit_scale(s):
     p = s.predictions.withColumn("win", (F.col("home_margin") > 0).cast("int"))
-    return calibration.probit_probability(p, "pred_m1", "win").select("game_id", "fold", "probit_scale", "p_model")
+    out = calibration.probit_probability(p, "pred_m1", "win")
+    return out.select("game_id", "fold", F.round("probit_scale", 5).alias("probit_scale"), r6("p_model").alias("p_model"))
 
 
 @query("logistic_by_fold", "R-15")

@@ -147,6 +147,34 @@ def test_sigma_calibration_uses_earlier_folds_only(spark):
     assert {r["fold"] for r in out.where("bettable").collect()} == {2, 3, 4}
 
 
+def test_probit_scale_is_the_exact_minimum_of_earlier_folds(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(0, 15, 6000)
+    won = rng.random(6000) < np.array([0.5 * math.erfc(-v / 12 / math.sqrt(2)) for v in x])
+    rows = [(i // 300, float(v), int(w)) for i, (v, w) in enumerate(zip(x, won))]
+    df = spark.createDataFrame(rows, "fold int, x double, y int")
+    got = calibration.fit_probit_scale(df, "fold", list(range(22)), 3.0, 60.0, 1e-12)
+    assert got[0] is None and got[20] == got[21]
+    signed = np.array([v if w else -v for _, v, w in rows])
+
+    def slope(c, upto):
+        t = signed[:upto] / c
+        tail = np.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in t])
+        return float(np.sum(t * np.exp(-t * t / 2) / math.sqrt(2 * math.pi) / tail))
+
+    for f in (1, 2, 7, 20):
+        a, z = 3.0, 60.0
+        for _ in range(40):
+            mid = (a + z) / 2
+            a, z = (a, mid) if slope(mid, 300 * f) > 0 else (mid, z)
+        assert got[f] == pytest.approx(a, rel=1e-6)
+    # outcomes that x decides, and outcomes against x, end at the edges
+    sure = df.withColumn("y", (F.col("x") > 0).cast("int"))
+    assert calibration.fit_probit_scale(sure, "fold", [9], 3.0, 60.0, 1e-12)[9] == 3.0
+    assert calibration.fit_probit_scale(sure.withColumn("y", 1 - F.col("y")), "fold", [9], 3.0, 60.0, 1e-12)[9] == 60.0
+    assert calibration.fit_probit_scale(df.limit(0), "fold", [9], 3.0, 60.0, 1e-12) == {9: None}
+
+
 def test_shrunken_bins_identity_when_few(spark):
     df = spark.createDataFrame([(i, i / 100, i % 2) for i in range(50)], "id int, p double, y int")
     out = calibration.shrunken_bins(df, F.col("p"), F.col("y"))

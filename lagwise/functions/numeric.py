@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -106,6 +108,12 @@ def signed_square(x: Column) -> Column:
     return F.signum(x) * x * x
 
 
+def weighted_difference(factors: Sequence[tuple[float, Column, Column]]) -> Column:
+    """Sum of weight x (home - away) over the factors; null where any side of any factor is unknown."""
+    first, *rest = [weight * (home - away) for weight, home, away in factors]
+    return reduce(lambda total, part: total + part, rest, first)
+
+
 def pythagorean(scored: Column, allowed: Column, exponent: float) -> Column:
     o = F.pow(clip(scored, low=1.0), F.lit(exponent))
     d = F.pow(clip(allowed, low=1.0), F.lit(exponent))

@@ -23,6 +23,16 @@ def mean_of_copies(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -
     return df.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in columns])
 
 
+def mixed(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], first: dict[str, str] | None = None, largest: dict[str, str] | None = None,
+    total: dict[str, str] | None = None, any_of: dict[str, Column] | None = None,
+) -> DataFrame:
+    """First value in ``order`` (a null is a value), maximum, sum and "any" side by side, from one map-side aggregate; result names are the keys."""
+    parts = [F.min_by(c, F.struct(*order)).alias(n) for n, c in (first or {}).items()]
+    parts += [F.max(c).alias(n) for n, c in (largest or {}).items()] + [F.sum(c).alias(n) for n, c in (total or {}).items()]
+    return df.groupBy(*keys).agg(*parts, *[F.bool_or(c).alias(n) for n, c in (any_of or {}).items()])
+
+
 def usage(df: DataFrame) -> Column:
     return F.col("fga") + 0.44 * F.col("fta") + F.col("turnovers")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -176,6 +177,31 @@ def side_ledger_summary(ledger: DataFrame, start: float) -> DataFrame:
     ).withColumn("roi", (F.col("ending_bankroll") - start) / start)
 
 
+def strategy_summary(matrix: DataFrame) -> DataFrame:
+    """Per strategy: mean and median ROI over its models, mean drawdown, all bets, and the best model (ties: the greatest name)."""
+    best = F.struct("roi", "model")
+    return matrix.groupBy("strategy_id").agg(
+        F.avg("roi").alias("avg_roi"), F.percentile("roi", F.lit(0.5)).alias("median_roi"), F.avg("max_drawdown").alias("avg_max_drawdown"),
+        F.sum("bets_placed").alias("total_bets"), F.max_by("model", best).alias("best_model"), F.max("roi").alias("best_roi"),
+    )
+
+
+def model_statistics(summary: DataFrame, bets: DataFrame, predictions: DataFrame, regimes: DataFrame) -> DataFrame:
+    """Figures of each model of ``summary`` side by side: gaps of mean P&L between sides and between price tiers, RMSE, and
+    mean daily P&L of volatile minus calm days. A figure is null where the model has no row of one kind."""
+
+    def gap(kind: str, high: str, low: str, value: str) -> Column:
+        return F.avg(F.when(F.col(kind) == high, F.col(value))) - F.avg(F.when(F.col(kind) == low, F.col(value)))
+
+    error = F.col("home_margin") - F.col("pred_ensemble")
+    parts = [
+        bets.groupBy("model").agg(gap("bet_side", "HOME", "AWAY", "pnl").alias("home_away_pnl_gap"), gap("tier", "mirrored", "default", "pnl").alias("tier_gap")),
+        predictions.groupBy("model").agg(F.sqrt(F.avg(error * error)).alias("rmse_mean")),
+        regimes.groupBy("model").agg(gap("vol_bucket", "high_vol", "low_vol", "daily_pnl").alias("vol_high_minus_low")),
+    ]
+    return reduce(lambda out, part: out.join(part, "model", "left"), parts, summary)
+
+
 def profit_rank(summary: DataFrame) -> DataFrame:
     """Models by growth, then ROI, then drawdown. One row per model reaches the ordering."""
     out = summary.withColumn("bankroll_growth", F.col("ending_bankroll") / F.col("starting_bankroll"))

@@ -140,3 +140,40 @@ def daily_volatility(daily: DataFrame, keys: Sequence[str], day: str, value: str
         .otherwise("high_vol")
     )
     return out.withColumn("vol_bucket", label).drop("__cut", "__n")
+
+
+def regime_plan(daily: DataFrame, profiles: dict[str, str], default: str, bucket: str = "vol_bucket") -> DataFrame:
+    """The ``profile`` to bet with in each day's regime; regimes without one of their own take the default."""
+    table = F.create_map(*[F.lit(x) for pair in profiles.items() for x in pair]) if profiles else None
+    own = F.try_element_at(table, F.col(bucket)) if profiles else F.lit(None)
+    return daily.withColumn("profile", F.coalesce(own, F.lit(default)))
+
+
+def regime_plan_summary(plan: DataFrame, keys: Sequence[str], bucket: str = "vol_bucket") -> DataFrame:
+    """Days, bets and mean daily figures per regime and profile; needs daily_bets, daily_win_rate, daily_pnl."""
+    return plan.groupBy(*keys, bucket, "profile").agg(
+        F.count(F.lit(1)).alias("days"), F.sum("daily_bets").alias("total_bets"), F.avg("daily_bets").alias("avg_daily_bets"),
+        F.avg("daily_win_rate").alias("avg_daily_win_rate"), F.avg("daily_pnl").alias("avg_daily_pnl"),
+    )
+
+
+def exposure_and_pnl(bets: DataFrame, keys: Sequence[str | Column], stake: str = "stake", pnl: str = "profit") -> DataFrame:
+    """Bets, staked fraction and P&L of any slice: per day for the exposure, per price tier for the P&L."""
+    return bets.groupBy(*keys).agg(F.count(F.lit(1)).alias("bets"), F.sum(stake).alias("exposure"), F.sum(pnl).alias("pnl"))
+
+
+def fold_risk(bets: DataFrame, keys: Sequence[str], fold: str = "fold", stake: str = "stake", pnl: str = "profit") -> DataFrame:
+    """Mean and spread of fold ROI, their ratio, and the deepest fall of the equity from its peak, at fold ends.
+
+    The equity starts at 1 and compounds the folds' P&L. The ratio is 0 where all folds have the same ROI and null with
+    fewer than two folds. The windows run over one row per fold.
+    """
+    folds = bets.groupBy(*keys, fold).agg(F.sum(pnl).alias("__pnl"), (F.sum(pnl) / F.nullif(F.sum(stake), F.lit(0.0))).alias("__roi"))
+    upto = Window.partitionBy(*keys).orderBy(fold).rowsBetween(Window.unboundedPreceding, 0)
+    curve = folds.withColumn("__equity", F.product(1 + F.col("__pnl")).over(upto))
+    curve = curve.withColumn("__peak", F.greatest(F.lit(1.0), F.max("__equity").over(upto)))
+    mean, spread = F.avg("__roi"), F.stddev_samp("__roi")
+    return curve.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("folds"), mean.alias("mean_roi"), spread.alias("volatility"),
+        F.when(spread == 0, 0.0).otherwise(mean / spread).alias("sharpe"), F.min(F.col("__equity") / F.col("__peak") - 1).alias("max_drawdown"),
+    )

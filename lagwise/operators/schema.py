@@ -52,6 +52,11 @@ def column_or_null(df: DataFrame, name: str) -> Column:
     return F.col(name).try_cast("double") if name in df.columns else F.lit(None).cast("double")
 
 
+def fill_trusted(df: DataFrame, columns: Sequence[str], trusted: Column) -> DataFrame:
+    """Nulls become 0 in rows of a trusted source, where a missing figure means none; other rows keep theirs, also where ``trusted`` is null."""
+    return df.withColumns({c: F.when(trusted, F.coalesce(F.col(c), F.lit(0))).otherwise(F.col(c)) for c in columns})
+
+
 def feature_names(
     columns: Sequence[str], allow: Sequence[str], deny: Sequence[str] = (), deny_parts: Sequence[str] = DENY_PARTS,
     include: Sequence[str] = (), exclude: Sequence[str] = (),

@@ -50,9 +50,9 @@ def mean_of_copies(s):
   bool_or(minutes_played = 0) AS any_absent FROM cl GROUP BY 1, 2""",
 )
 def mixed_aggregate(s):
-    return clean_players(s).groupBy("game_id", "team").agg(
-        F.min_by("points", F.struct("line", "supp", "player_id")).alias("first_points"), F.max("fga").alias("max_fga"),
-        F.sum("oreb").alias("oreb"), F.bool_or(F.col("minutes_played") == 0).alias("any_absent"),
+    return aggregates.mixed(
+        clean_players(s), ["game_id", "team"], ["line", "supp", "player_id"], first={"first_points": "points"}, largest={"max_fga": "fga"},
+        total={"oreb": "oreb"}, any_of={"any_absent": F.col("minutes_played") == 0},
     )
 
 

@@ -273,7 +273,7 @@ def four_factors_and_expectation(s):
     return s.games.select(
         "game_id", r6(numeric.signed_square(m.cast("double"))).alias("signed_square"), r6(numeric.logistic(m / 100.0)).alias("logistic_margin"),
         r6(numeric.pythagorean(h.cast("double"), a.cast("double"), 13.91)).alias("pyth_home"),
-        r6(0.4 * m - 0.25 * (h % 7 - a % 7) + 0.2 * (h % 5 - a % 5) + 0.15 * (h % 3 - a % 3)).alias("composite"),
+        r6(numeric.weighted_difference([(0.4, h, a), (-0.25, h % 7, a % 7), (0.2, h % 5, a % 5), (0.15, h % 3, a % 3)])).alias("composite"),
     )
 
 
@@ -283,9 +283,7 @@ def four_factors_and_expectation(s):
 )
 def fill_by_source(s):
     trusted = (F.col("game_id") % 3 != 0) & ~(F.col("game_id") % 10 > 7)
-    return s.games.select(
-        "game_id", F.when(trusted, F.coalesce("home_handicap", F.lit(0.0))).otherwise(F.col("home_handicap")).alias("metric")
-    )
+    return schema.fill_trusted(s.games, ["home_handicap"], trusted).select("game_id", F.col("home_handicap").alias("metric"))
 
 
 @query(

@@ -129,11 +129,8 @@ SELECT model, vol_bucket, profile, count(*) AS days, CAST(sum(daily_bets) AS BIG
   round(avg(daily_pnl), 8) AS avg_daily_pnl FROM p GROUP BY 1, 2, 3""",
 )
 def regime_plan_summary(s):
-    p = daily_regimes(s).withColumn("profile", F.when(F.col("vol_bucket") == "high_vol", "R2").otherwise("R1"))
-    return p.groupBy("model", "vol_bucket", "profile").agg(
-        F.count(F.lit(1)).alias("days"), F.sum("daily_bets").alias("total_bets"), r6(F.avg("daily_bets")).alias("avg_daily_bets"),
-        r6(F.avg("daily_win_rate")).alias("avg_daily_win_rate"), F.round(F.avg("daily_pnl"), 8).alias("avg_daily_pnl"),
-    )
+    out = ledger.regime_plan_summary(ledger.regime_plan(daily_regimes(s), {"high_vol": "R2"}, "R1"), ["model"])
+    return out.withColumns({"avg_daily_bets": r6("avg_daily_bets"), "avg_daily_win_rate": r6("avg_daily_win_rate"), "avg_daily_pnl": F.round("avg_daily_pnl", 8)})
 
 
 @query(
@@ -158,9 +155,8 @@ def ledger_summary(s):
     f"""WITH {SELECTED} SELECT model, tier, strftime(game_date, '%Y-%m') AS month, count(*) AS bets, round(sum(stake), 12) AS exposure, round(sum(profit), 12) AS pnl FROM led GROUP BY 1, 2, 3""",
 )
 def daily_exposure_and_tier_pnl(s):
-    return selected_bets(s).groupBy("model", "tier", F.date_format("game_date", "yyyy-MM").alias("month")).agg(
-        F.count(F.lit(1)).alias("bets"), F.round(F.sum("stake"), 12).alias("exposure"), F.round(F.sum("profit"), 12).alias("pnl")
-    )
+    out = ledger.exposure_and_pnl(selected_bets(s), ["model", "tier", F.date_format("game_date", "yyyy-MM").alias("month")])
+    return out.withColumns({"exposure": F.round("exposure", 12), "pnl": F.round("pnl", 12)})
 
 
 SUMMARY = SELECTED + """,
@@ -227,15 +223,11 @@ def strategy_matrix_query(s):
 @query(
     "strategy_summary", "A-20 A-19",
     f"""WITH {MATRIX} SELECT strategy_id, round(avg(roi), 6) AS avg_roi, round(quantile_cont(roi, 0.5), 6) AS median_roi, round(avg(max_drawdown), 6) AS avg_max_drawdown, CAST(sum(bets_placed) AS BIGINT) AS total_bets,
-  arg_max(model, roi) AS best_model, round(max(roi), 6) AS best_roi FROM mx GROUP BY 1""",
+  (max({{'roi': roi, 'model': model}})).model AS best_model, round(max(roi), 6) AS best_roi FROM mx GROUP BY 1""",
 )
 def strategy_summary(s):
-    m = matrix(s)
-    agg = m.groupBy("strategy_id").agg(
-        r6(F.avg("roi")).alias("avg_roi"), r6(F.percentile("roi", F.lit(0.5))).alias("median_roi"), r6(F.avg("max_drawdown")).alias("avg_max_drawdown"), F.sum("bets_placed").alias("total_bets"),
-        F.max_by("model", "roi").alias("best_model"), r6(F.max("roi")).alias("best_roi"),
-    )
-    return agg
+    out = diagnostics.strategy_summary(matrix(s))
+    return out.withColumns({c: r6(c) for c in ("avg_roi", "median_roi", "avg_max_drawdown", "best_roi")})
 
 
 @query(
@@ -254,12 +246,12 @@ def run_score(s):
 
 @query(
     "fold_risk", "R-23",
-    f"""WITH {SELECTED}, f AS (SELECT model, fold, sum(profit) / sum(stake) AS roi FROM led GROUP BY 1, 2)
-SELECT model, count(*) AS folds, round(avg(roi), 6) AS mean_roi, round(stddev_samp(roi), 6) AS volatility, round(avg(roi) / nullif(stddev_samp(roi), 0), 6) AS sharpe FROM f GROUP BY model""",
+    f"""WITH {SELECTED}, f AS (SELECT model, fold, sum(profit) AS pnl, sum(profit) / nullif(sum(stake), 0) AS roi FROM led GROUP BY 1, 2),
+q AS (SELECT *, product(1 + pnl) OVER (PARTITION BY model ORDER BY fold ROWS UNBOUNDED PRECEDING) AS equity FROM f),
+k AS (SELECT *, greatest(1.0, max(equity) OVER (PARTITION BY model ORDER BY fold ROWS UNBOUNDED PRECEDING)) AS peak FROM q)
+SELECT model, count(*) AS folds, round(avg(roi), 6) AS mean_roi, round(stddev_samp(roi), 6) AS volatility, round(CASE WHEN stddev_samp(roi) = 0 THEN 0 ELSE avg(roi) / stddev_samp(roi) END, 6) AS sharpe,
+  round(min(equity / peak - 1), 6) AS max_drawdown FROM k GROUP BY model""",
 )
 def fold_risk(s):
-    f = selected_bets(s).groupBy("model", "fold").agg((F.sum("profit") / F.sum("stake")).alias("roi"))
-    sd = F.stddev_samp("roi")
-    return f.groupBy("model").agg(
-        F.count(F.lit(1)).alias("folds"), r6(F.avg("roi")).alias("mean_roi"), r6(sd).alias("volatility"), r6(F.avg("roi") / F.nullif(sd, F.lit(0.0))).alias("sharpe")
-    )
+    out = ledger.fold_risk(selected_bets(s), ["model"])
+    return out.withColumns({c: r6(c) for c in ("mean_roi", "volatility", "sharpe", "max_drawdown")})

@@ -267,18 +267,8 @@ SELECT sm.model, num_bets, round((ending - start) / start, 7) AS roi, round(gap,
 FROM sm LEFT JOIN ga ON ga.model = sm.model LEFT JOIN rm ON rm.model = sm.model LEFT JOIN vl ON vl.model = sm.model LEFT JOIN ti ON ti.model = sm.model""",
 )
 def model_statistics(s):
-    b = bets(s)
-
-    def gap(df, kind, hi, lo, value):
-        return F.avg(F.when(F.col(kind) == hi, F.col(value))) - F.avg(F.when(F.col(kind) == lo, F.col(value)))
-
-    side = b.groupBy("model").agg(gap(b, "bet_side", "HOME", "AWAY", "pnl").alias("home_away_pnl_gap"), gap(b, "tier", "mirrored", "default", "pnl").alias("tier_gap"))
-    err = F.col("home_margin") - F.col("pred_ensemble")
-    rmse = s.model_bets.groupBy("model").agg(F.sqrt(F.avg(err * err)).alias("rmse_mean"))
-    vol = daily_regimes(s).groupBy("model").agg(gap(None, "vol_bucket", "high_vol", "low_vol", "daily_pnl").alias("vol_high_minus_low"))
-    out = model_summary(s).select("model", "num_bets", "roi")
-    for part in (side, rmse, vol):
-        out = out.join(part, "model", "left")
+    summary = model_summary(s).select("model", "num_bets", "roi")
+    out = diagnostics.model_statistics(summary, bets(s), s.model_bets, daily_regimes(s))
     return out.select("model", "num_bets", F.round("roi", 7).alias("roi"), *fine("home_away_pnl_gap", "tier_gap"), r6("rmse_mean").alias("rmse_mean"), F.round("vol_high_minus_low", 9).alias("vol_high_minus_low"))
 
 

@@ -119,6 +119,6 @@ def pair_ratings(games: DataFrame, rule: RatingRule = RatingRule(), pool: str =
     return placed.mapInArrow(lambda batches: _rated(batches, rule), "game_id bigint, elo_home double, elo_away double")
 
 
-def rating_windows(team_rows: DataFrame, line: Timeline, rating: str = "elo", n: int = 164, min_count: int = 20, name: str = "elo_roll") -> DataFrame:
+def rating_windows(team_rows: DataFrame, line: Timeline, rating: str = "elo", n: int = 164, min_count: int = 20, name: str = "elo_roll", bounded: bool = False) -> DataFrame:
     """Lagged long-run mean of an entity's own rating."""
-    return lagged_means(team_rows, line, {name: F.col(rating)}, n, min_count)
+    return lagged_means(team_rows, line, {name: F.col(rating)}, n, min_count, bounded=bounded)

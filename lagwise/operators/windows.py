@@ -7,7 +7,7 @@ one task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,9 +50,10 @@ def last_decayed(w, x: Column, n: int, decay: float) -> Column:
 
 
 def lagged_means(
-    df: DataFrame, line: Timeline, values: dict[str, Column], n: int, min_count: int | None = None, chunk_rows: int = CHUNK_ROWS
+    df: DataFrame, line: Timeline, values: dict[str, Column], n: int, min_count: int | None = None, chunk_rows: int = CHUNK_ROWS,
+    bounded: bool = False,
 ) -> DataFrame:
-    return framed(df, line, lambda w: {k: last_mean(w, x, n, min_count) for k, x in values.items()}, n, chunk_rows)
+    return framed(df, line, lambda w: {k: last_mean(w, x, n, min_count) for k, x in values.items()}, n, chunk_rows, bounded)
 
 
 def lagged_stds(
@@ -81,7 +82,7 @@ def prior_means(df: DataFrame, line: Timeline, values: dict[str, Column], min_co
     )
 
 
-def prior_zscores(df: DataFrame, line: Timeline, values: dict[str, Column], min_count: int = 5) -> DataFrame:
+def prior_zscores(df: DataFrame, line: Timeline, values: dict[str, Column], min_count: int = 5, bounded: bool = False) -> DataFrame:
     """Distance from the mean of the earlier rows in their standard deviations; 0 where undefined."""
     aggs = {}
     for name, x in values.items():
@@ -99,7 +100,7 @@ def prior_zscores(df: DataFrame, line: Timeline, values: dict[str, Column], min_
         z = F.when(real, (x - s / F.nullif(n, F.lit(0))) / F.sqrt(spread / F.nullif(n - 1, F.lit(0))))
         return F.coalesce(z, F.lit(0.0))
 
-    out = running(df, line, aggs)
+    out = running(df, line, aggs, bounded=bounded)
     kept = [c for c in df.columns if c not in values]
     return out.select(*kept, *[score(n, x).alias(n) for n, x in values.items()])
 
@@ -110,14 +111,14 @@ def rest_days(df: DataFrame, line: Timeline, date: str, name: str = "rest", chun
     return out.withColumn("b2b", F.coalesce(F.col(name) == 1, F.lit(False)).cast("int"))
 
 
-def streaks(df: DataFrame, line: Timeline, won: Column) -> DataFrame:
+def streaks(df: DataFrame, line: Timeline, won: Column, bounded: bool = False) -> DataFrame:
     """Win and loss streak before this row. Anything but a win counts as a loss.
 
     The streak is the distance to the last row of the other kind, so it needs a
     running maximum of positions and no loop.
     """
     win = F.coalesce(won, F.lit(False))
-    placed = positions(df, line, "__p")
+    placed = positions(df, line, "__p", bounded)
     last = running(
         placed,
         line,
@@ -125,6 +126,7 @@ def streaks(df: DataFrame, line: Timeline, won: Column) -> DataFrame:
             "__last_loss": cum_max(F.when(~win, F.col("__p"))),
             "__last_win": cum_max(F.when(win, F.col("__p"))),
         },
+        bounded=bounded,
     )
     wins = F.col("__p") - 1 - F.coalesce(F.col("__last_loss"), F.lit(-1))
     losses = F.col("__p") - 1 - F.coalesce(F.col("__last_win"), F.lit(-1))
@@ -133,24 +135,40 @@ def streaks(df: DataFrame, line: Timeline, won: Column) -> DataFrame:
     )
 
 
-def recent_counts(df: DataFrame, keys: Sequence[str], day: str, spans: Sequence[int]) -> DataFrame:
+def _dated(df: DataFrame, keys: Sequence[str], day: str, columns: Callable[..., dict[str, Column]]) -> DataFrame:
+    """Calendar-window columns on the rows themselves, for ``bounded`` entities; null without a key or day, as in a join."""
+    known = F.col(day).isNotNull()
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    new = columns(Window.partitionBy(*keys).orderBy(day))
+    return df.select("*", *[F.when(known, c).alias(n) for n, c in new.items()])
+
+
+def recent_counts(df: DataFrame, keys: Sequence[str], day: str, spans: Sequence[int], bounded: bool = False) -> DataFrame:
     """Rows in the previous w days, today excluded."""
+    if bounded:
+        return _dated(df, keys, day, lambda w: {f"games_last_{s}_days": F.count(F.lit(1)).over(w.rangeBetween(-s, -1)) for s in spans})
     return by_day(
         df, keys, day, {"__n": F.count(F.lit(1))},
         lambda w: {f"games_last_{s}_days": F.coalesce(F.sum("__n").over(w.rangeBetween(-s, -1)), F.lit(0)) for s in spans},
     )
 
 
-def recent_sums(df: DataFrame, keys: Sequence[str], day: str, value: Column, spans: Sequence[int], stem: str) -> DataFrame:
+def recent_sums(df: DataFrame, keys: Sequence[str], day: str, value: Column, spans: Sequence[int], stem: str, bounded: bool = False) -> DataFrame:
     """Sum of a measure over the previous w days, today excluded; no rows is 0."""
+    if bounded:
+        return _dated(df, keys, day, lambda w: {f"{stem}_{s}d": F.coalesce(F.sum(value).over(w.rangeBetween(-s, -1)), F.lit(0.0)) for s in spans})
     return by_day(
         df, keys, day, {"__v": F.sum(value)},
         lambda w: {f"{stem}_{s}d": F.coalesce(F.sum("__v").over(w.rangeBetween(-s, -1)), F.lit(0.0)) for s in spans},
     )
 
 
-def inverse_gap_load(df: DataFrame, keys: Sequence[str], day: str, span: int = 7, name: str = "rest_weighted_load") -> DataFrame:
+def inverse_gap_load(df: DataFrame, keys: Sequence[str], day: str, span: int = 7, name: str = "rest_weighted_load", bounded: bool = False) -> DataFrame:
     """Sum of 1 / (days ago) over the rows of the previous ``span`` days (at most ``span`` array entries)."""
+    if bounded:
+        per_day = lambda w: [F.count(F.lit(1)).over(w.rangeBetween(-k, -k)) / k for k in range(span, 0, -1)]
+        return _dated(df, keys, day, lambda w: {name: sum(per_day(w), F.lit(0.0))})
 
     def load(w) -> dict[str, Column]:
         near = F.collect_list(F.struct(F.col(day).alias("t"), F.col("__n").alias("n"))).over(w.rangeBetween(-span, -1))

@@ -4,13 +4,15 @@ The order of filters is part of the result. Form windows see all games; games
 without a full form history are then dropped, and every later family (streaks,
 cover rates, ratings, travel) sees only the survivors.
 
-Each family is computed from the same survivors and joined on (game_id, team).
-The survivors and the families are materialised (in ``store``, else in the checkpoint
-folder), so no stage is rebuilt by the next one.
+The families are computed from the same survivors: where no team's history is longer than a chunk, as windows over one
+shuffle by team, else apart and joined on (game_id, team). Games, survivors and families are materialised (in ``store``,
+else in the shared folder), so no stage is rebuilt by the next one.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +23,8 @@ from lagwise.operators import ratings
 from lagwise.operators import windows as W
 from lagwise.operators.joins import sides_to_wide
 from lagwise.operators.sets import team_view
-from lagwise.operators.timeline import Timeline, cum_count, cum_sum, framed, running
-from lagwise.session import cut_lineage
+from lagwise.operators.timeline import Timeline, cum_count, cum_sum, framed, running, short_histories
+from lagwise.session import shared_folder
 from lagwise.sources.tables import read_or_build
 
 
@@ -44,17 +46,17 @@ PAIRED_ZERO = ("win_streak", "loss_streak", "games_last_3_days", "games_last_5_d
 PAIRED_NULL = ("margin_std_last_10", "blowout_pct_last20", "blowout_pct_season", "ats_roll_last20", "pts_last5", "margin_last5")
 
 
-def long_view(games: DataFrame) -> DataFrame:
-    """Two rows per game with day number, points, margin and handicap from the team's side."""
+def long_view(games: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+    """Two rows per game with day number, points, margin and handicap from the team's side, and ``more`` of the game."""
     margin = F.col("score_home") - F.col("score_away")
     return team_view(
-        games, ["game_id", "game_date", "season", "d", "pool_id"],
-        {"team": F.col("home"), "is_home": F.lit(1), "pts": F.col("score_home"), "margin": margin, "handicap": F.col("home_handicap"), "venue": F.col("home")},
-        {"team": F.col("away"), "is_home": F.lit(0), "pts": F.col("score_away"), "margin": -margin, "handicap": -F.col("home_handicap"), "venue": F.col("home")},
+        games, ["game_id", "game_date", "season", "d", "pool_id", *more],
+        {"team": F.col("home"), "is_home": F.lit(1), "pts": F.col("score_home"), "margin": margin, "handicap": F.col("home_handicap")},
+        {"team": F.col("away"), "is_home": F.lit(0), "pts": F.col("score_away"), "margin": -margin, "handicap": -F.col("home_handicap")},
     )
 
 
-def form(games: DataFrame, cfg: FeatureSettings) -> DataFrame:
+def form(games: DataFrame, cfg: FeatureSettings, bounded: bool = False) -> DataFrame:
     """Games with a full form history on both sides, with form and rest columns."""
     n = cfg.form_rows
     rows = framed(
@@ -63,15 +65,19 @@ def form(games: DataFrame, cfg: FeatureSettings) -> DataFrame:
             f"pts_last{n}": W.last_mean(w, F.col("pts"), n), f"margin_last{n}": W.last_mean(w, F.col("margin"), n),
             "rest": F.datediff("game_date", F.lag("game_date").over(w)),
         },
-        n,
+        n, bounded=bounded,
     )
     wide = sides_to_wide(rows, "game_id", F.col("is_home") == 1, [f"pts_last{n}", f"margin_last{n}", "rest"])
     return games.join(wide, "game_id").dropna(subset=[f"{s}_{c}_last{n}" for s in ("home", "away") for c in ("pts", "margin")])
 
 
-def team_families(survivors: DataFrame, venues: DataFrame, cfg: FeatureSettings) -> DataFrame:
-    """Every per-team family on the survivors, one row per (game_id, team)."""
-    long = long_view(survivors).join(venues.select(F.col("team").alias("venue"), "lat", "lon"), "venue", "left")
+def team_families(survivors: DataFrame, venues: DataFrame, cfg: FeatureSettings, bounded: bool = False) -> DataFrame:
+    """Every per-team family but the ratings on the survivors, one row per (game_id, team).
+
+    ``bounded`` families are windows over one shuffle by team; others are computed apart and joined.
+    """
+    placed = survivors.join(venues.select(F.col("team").alias("home"), "lat", "lon"), "home", "left")
+    long = long_view(placed, ["lat", "lon"])
     cover = F.col("margin") + F.col("handicap")
     blowout = (F.abs("margin") >= cfg.blowout_margin).cast("int")
     long = long.withColumns({
@@ -88,31 +94,47 @@ def team_families(survivors: DataFrame, venues: DataFrame, cfg: FeatureSettings)
             "roll_10": clip(W.last_mean(w, F.col("margin"), 10, 5), -20, 20),
             "travel_dist": F.coalesce(W.haversine_miles(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon")), F.lit(0.0)),
         },
-        20,
+        20, bounded=bounded,
     )
+
+    def season(t: DataFrame) -> DataFrame:
+        sums = running(t, LINE, {"__s": cum_sum(F.col("blowout")), "__n": cum_count()}, bounded=bounded)
+        return sums.withColumn("blowout_pct_season", F.col("__s") / F.nullif(F.col("__n"), F.lit(0))).drop("__s", "__n")
+
+    def recent(t: DataFrame) -> DataFrame:
+        counts = W.recent_counts(t, ["team"], "d", cfg.recent_days, bounded)
+        return W.inverse_gap_load(counts, ["team"], "d", bounded=bounded)
+
+    def travel(t: DataFrame) -> DataFrame:
+        return W.recent_sums(t, ["team"], "d", F.col("travel_dist"), cfg.travel_days, "travel", bounded)
+
     key = ["game_id", "team"]
-    season = running(long, LINE, {"__s": cum_sum(F.col("blowout")), "__n": cum_count()}).select(
-        *key, (F.col("__s") / F.nullif(F.col("__n"), F.lit(0))).alias("blowout_pct_season")
+    families = [
+        (long, season, ["blowout_pct_season"]),
+        (long, lambda t: W.streaks(t, LINE, F.col("margin") > 0, bounded), ["win_streak", "loss_streak", "streak_length"]),
+        (long, recent, [*[f"games_last_{k}_days" for k in cfg.recent_days], "rest_weighted_load"]),
+        (rows, travel, [f"travel_{k}d" for k in cfg.travel_days]),
+    ]
+    own = [*key, "is_home", "margin_std_last_10", "blowout_pct_last20", "ats_roll_last20", "roll_5", "roll_10"]
+    if not bounded:
+        out = rows.select(*own)
+        for base, family, names in families:
+            out = out.join(family(base).select(*key, *names), key, "left")
+        return out
+    for _, family, _ in families:
+        rows = family(rows)
+    known = F.col("team").isNotNull()  # a row without a team has no history of one
+    return rows.select(*own, *[F.when(known, F.col(c)).alias(c) for _, _, names in families for c in names])
+
+
+def team_ratings(survivors: DataFrame, cfg: FeatureSettings, bounded: bool = False) -> DataFrame:
+    """Rating of each team before each game, and its lagged long-run mean."""
+    rated = survivors.select("game_id", "d", "home", "away").join(ratings.pair_ratings(survivors), "game_id")
+    long = team_view(
+        rated, ["game_id", "d"], {"team": F.col("home"), "is_home": F.lit(1), "elo": F.col("elo_home")}, {"team": F.col("away"), "is_home": F.lit(0), "elo": F.col("elo_away")},
     )
-    runs = W.streaks(long, LINE, F.col("margin") > 0).select(*key, "win_streak", "loss_streak", "streak_length")
-    recent = W.by_day(
-        long, ["team"], "d", {"__n": F.count(F.lit(1))},
-        lambda w: {
-            **{f"games_last_{k}_days": F.coalesce(F.sum("__n").over(w.rangeBetween(-k, -1)), F.lit(0)) for k in cfg.recent_days},
-            "rest_weighted_load": F.aggregate(
-                F.collect_list(F.struct(F.col("d").alias("t"), F.col("__n").alias("n"))).over(w.rangeBetween(-7, -1)),
-                F.lit(0.0), lambda acc, e: acc + e["n"] / (F.col("d") - e["t"]),
-            ),
-        },
-    ).select(*key, *[f"games_last_{k}_days" for k in cfg.recent_days], "rest_weighted_load")
-    travel = W.recent_sums(rows.select(*key, "d", "travel_dist"), ["team"], "d", F.col("travel_dist"), cfg.travel_days, "travel").drop("d", "travel_dist")
-    elo = ratings.pair_ratings(survivors)
-    rated = long.join(elo, "game_id").withColumn("elo", F.when(F.col("is_home") == 1, F.col("elo_home")).otherwise(F.col("elo_away")))
-    rated = ratings.rating_windows(rated.select(*key, "d", "elo"), LINE, n=cfg.rating_rows).select(*key, "elo", "elo_roll")
-    out = rows.select(*key, "is_home", "margin_std_last_10", "blowout_pct_last20", "ats_roll_last20", "roll_5", "roll_10")
-    for part in (season, runs, recent, travel, rated):
-        out = out.join(part, key, "left")
-    return out
+    out = ratings.rating_windows(long.where(F.col("team").isNotNull()), LINE, n=cfg.rating_rows, bounded=bounded)
+    return out.select("game_id", "team", "is_home", "elo", "elo_roll")
 
 
 def build_feature_table(games: DataFrame, venues: DataFrame, cfg: FeatureSettings = FeatureSettings(), store: str | None = None) -> DataFrame:
@@ -122,15 +144,32 @@ def build_feature_table(games: DataFrame, venues: DataFrame, cfg: FeatureSetting
     recent travel counts as a penalty at venues above ``altitude_feet``.
     """
     spark: SparkSession = games.sparkSession
+    store = store or f"{shared_folder(spark)}/features-{uuid.uuid4().hex}"
 
     def kept(name: str, build) -> DataFrame:
-        return read_or_build(spark, f"{store}/{name}", build) if store else cut_lineage(build())
-
-    survivors = kept("form", lambda: form(games, cfg))
-    per_team = kept("team_families", lambda: team_families(survivors, venues, cfg))
+        return read_or_build(spark, f"{store}/{name}", build)
+
+    games, venues = kept("games", lambda: games), kept("venues", lambda: venues)
+    bounded = short_histories(long_view(games), LINE.keys)
+    survivors = kept("form", lambda: form(games, cfg, bounded))
+    per_team = kept("team_families", lambda: team_families(survivors, venues, cfg, bounded))
+    rated = kept("team_ratings", lambda: team_ratings(survivors, cfg, bounded))
+    # scores against a home team's earlier games: on few columns, before the wide join
+    legs = {f"__z_{k}d": F.max(f"travel_{k}d").alias(f"__z_{k}d") for k in cfg.travel_days}
+    out = survivors.join(per_team.where("is_home = 1").groupBy("game_id").agg(*legs.values()), "game_id")
+    if "altitude" in venues.columns:
+        high = venues.select(F.col("team").alias("home"), F.col("altitude").cast("double").alias("away_altitude"))
+        out = out.join(high, "home", "left").withColumn("away_altitude", F.coalesce("away_altitude", F.lit(0.0)))
+    z = {f"travel_{k}d_z": F.col(f"__z_{k}d") for k in cfg.travel_days}
+    out = W.prior_zscores(out, Timeline(("home", "season"), ("d", "game_id")), z, bounded=bounded).drop(*legs)
     columns = [c for c in per_team.columns if c not in ("game_id", "team", "is_home")]
-    wide = sides_to_wide(per_team, "game_id", F.col("is_home") == 1, columns)
-    out = survivors.join(wide, "game_id")
+    scored = out.columns
+    for rows, names, how in ((per_team, columns, "inner"), (rated, ["elo", "elo_roll"], "left")):
+        out = out.join(sides_to_wide(rows, "game_id", F.col("is_home") == 1, names), "game_id", how)
+    first = ["home", "game_id"] if "altitude" in venues.columns else ["game_id"]
+    last = ["away_altitude", *z]
+    sides = [f"{side}_{c}" for side in ("home", "away") for c in [*columns, "elo", "elo_roll"]]
+    out = out.select(*first, *[c for c in scored if c not in (*first, *last)], *sides, *[c for c in last if c in scored])
 
     def gap(c: str, zero: bool = False):
         h, a = F.col(f"home_{c}"), F.col(f"away_{c}")
@@ -155,8 +194,6 @@ def build_feature_table(games: DataFrame, venues: DataFrame, cfg: FeatureSetting
         "rest_advantage_sq": signed_square(F.col("rest_advantage").cast("double")), "rest_diff_elo_diff": F.col("rest_diff") * F.col("elo_diff"),
     })
     if "altitude" in venues.columns:
-        high = venues.select(F.col("team").alias("home"), F.col("altitude").cast("double").alias("away_altitude"))
-        out = out.join(high, "home", "left").withColumn("away_altitude", F.coalesce("away_altitude", F.lit(0.0)))
         out = out.withColumn("altitude_travel_penalty", F.col("away_travel_3d") * (F.col("away_altitude") > cfg.altitude_feet).cast("int"))
-    z = {f"travel_{k}d_z": F.col(f"home_travel_{k}d") for k in cfg.travel_days}
-    return W.prior_zscores(out, Timeline(("home", "season"), ("d", "game_id")), z)
+    tail = [c for c in ("away_altitude", "altitude_travel_penalty", *z) if c in out.columns]
+    return out.select(*[c for c in out.columns if c not in tail], *tail)

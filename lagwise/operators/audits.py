@@ -21,13 +21,13 @@ def differs(a: Column, b: Column, rtol: float = 1e-7, atol: float = 1e-7) -> Col
     return ~F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise(close)
 
 
-def compare_builds(full: DataFrame, rebuilt: DataFrame, keys: Sequence[str], skip: Sequence[str] = ()) -> DataFrame:
+def compare_builds(full: DataFrame, rebuilt: DataFrame, keys: Sequence[str], skip: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:
     """One row per numeric column: rows compared, rows that differ, largest difference; plus missing keys.
 
-    One join and one aggregation over all columns.
+    One join and one aggregation over all columns, for each group ``by`` of the full build's rows if any.
     """
-    cols = [c for c in numeric_columns(full, [*keys, *skip]) if c in rebuilt.columns]
-    a = full.select(*keys, *[F.col(c).cast("double").alias(f"a_{c}") for c in cols], F.lit(1).alias("__a"))
+    cols = [c for c in numeric_columns(full, [*keys, *by, *skip]) if c in rebuilt.columns]
+    a = full.select(*keys, *by, *[F.col(c).cast("double").alias(f"a_{c}") for c in cols], F.lit(1).alias("__a"))
     b = rebuilt.select(*keys, *[F.col(c).cast("double").alias(f"b_{c}") for c in cols], F.lit(1).alias("__b"))
     j = a.join(b, list(keys), "left")
     both = F.col("__b").isNotNull()
@@ -35,13 +35,13 @@ def compare_builds(full: DataFrame, rebuilt: DataFrame, keys: Sequence[str], ski
     for c in cols:
         bad = both & differs(F.col(f"a_{c}"), F.col(f"b_{c}"))
         aggs += [F.count(F.when(bad, 1)).alias(f"n_{c}"), F.max(F.when(bad, F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")))).alias(f"x_{c}")]
-    one = j.agg(*aggs)
+    one = j.groupBy(*by).agg(*aggs)
     rows = F.array(*[
         F.struct(F.lit(c).alias("column"), F.col("__rows").alias("rows"), F.col("__missing").alias("missing_keys"),
                  F.col(f"n_{c}").alias("differing"), F.col(f"x_{c}").alias("max_difference"))
         for c in cols
     ])
-    return one.select(F.explode(rows).alias("r")).select("r.*")
+    return one.select(*by, F.explode(rows).alias("r")).select(*by, "r.*")
 
 
 def point_in_time_audit(

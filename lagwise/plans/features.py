@@ -129,7 +129,7 @@ def team_families(survivors: DataFrame, venues: DataFrame, cfg: FeatureSettings,
 
 def team_ratings(survivors: DataFrame, cfg: FeatureSettings, bounded: bool = False) -> DataFrame:
     """Rating of each team before each game, and its lagged long-run mean."""
-    rated = survivors.select("game_id", "d", "home", "away").join(ratings.pair_ratings(survivors), "game_id")
+    rated = survivors.select("game_id", "d", "home", "away").join(ratings.pair_ratings(survivors), "game_id", "left")
     long = team_view(
         rated, ["game_id", "d"], {"team": F.col("home"), "is_home": F.lit(1), "elo": F.col("elo_home")}, {"team": F.col("away"), "is_home": F.lit(0), "elo": F.col("elo_away")},
     )

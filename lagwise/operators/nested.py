@@ -143,13 +143,16 @@ def box_rows(documents: DataFrame, box: str = "boxscore", key: str = "game_id")
 
     Entries without an id, and entries without minutes or a reason, are skipped.
     """
-    t = documents.select(key, F.explode(f"{box}.players").alias("t"))
+    # of a bare column Spark would infer filters, and parse the document once more for each of them
+    players = F.coalesce(F.col(f"{box}.players"), F.array())
+    t = documents.select(key, F.explode(players).alias("t"))
     st = t.select(key, F.col("t.team.abbreviation").alias("team"), F.col("t.statistics")[0].alias("st"))
     a = st.select(key, "team", F.col("st.keys").alias("keys"), F.explode("st.athletes").alias("a")).where("a.athlete.id IS NOT NULL")
     values = F.coalesce(F.col("a.stats"), F.array().cast("array<string>"))
     shared = F.least(F.size("keys"), F.size(values))
     stats = F.map_from_arrays(F.slice("keys", F.lit(1), shared), F.slice(values, F.lit(1), shared))
-    a = a.withColumn("s", stats).withColumn("absent", F.coalesce(F.col("a.didNotPlay"), F.lit(False)) | (F.size("s") == 0))
+    a = a.select(key, "team", "a", F.explode(F.array(stats)).alias("s"))  # one map an entry, for the filter as for the columns
+    a = a.withColumn("absent", F.coalesce(F.col("a.didNotPlay"), F.lit(False)) | (F.size("s") == 0))
     minutes = F.try_element_at("s", F.lit("minutes"))
     a = a.where(F.col("absent") | F.coalesce(minutes.rlike("^[0-9]+$"), F.lit(False)))
     reason = F.trim(F.coalesce(F.col("a.reason"), F.lit("")))

@@ -4,6 +4,7 @@ from types import SimpleNamespace
 from pyspark.sql import functions as F
 
 from lagwise.functions import market
+from lagwise.operators import nested
 from lagwise.plans.catalog import ledgers
 
 
@@ -35,3 +36,11 @@ def test_probability_is_not_copied_into_columns_and_filters(spark):
     priced = market.priced_bets(rows.repartition(2), 0.02, 0.05, 0.005).where("bet_side <> 'NONE'")
     assert [r["bet_side"] for r in priced.orderBy("edge").collect()] == ["AWAY", "HOME"]
     assert optimized(priced).count("EXP(") <= 4
+
+
+def test_box_score_is_parsed_once(spark):
+    document = '{"players": [{"team": {"abbreviation": "T1"}, "statistics": [{"keys": ["minutes", "points"], "athletes": [{"athlete": {"id": "7", "displayName": "A B"}, "stats": ["12", "5"]}, {"athlete": {"id": "8", "displayName": "C D"}, "didNotPlay": true}]}]}]}'
+    raw = spark.createDataFrame([(1, document), (2, "{}"), (3, None)], "game_id long, doc string").repartition(2)
+    out = nested.box_rows(raw.select("game_id", F.from_json("doc", nested.BOX_SCHEMA).alias("boxscore"))).select("game_id", "source_player_id", "points", "minutes")
+    assert {tuple(r) for r in out.collect()} == {(1, 7, 5.0, "12:00"), (1, 8, 0.0, None)}
+    assert optimized(out).count("from_json(") == 1

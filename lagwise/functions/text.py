@@ -46,8 +46,7 @@ def integer_id(x: Column) -> Column:
 
 def number(x: Column, fill: float | None = None) -> Column:
     """Numeric coercion: bad text and NaN become null, then ``fill``."""
-    v = x.cast("string").try_cast("double")
-    v = F.when(~F.isnan(v), v)
+    v = F.nanvl(x.cast("string").try_cast("double"), F.lit(None).cast("double"))
     return v if fill is None else F.coalesce(v, F.lit(float(fill)))
 
 
@@ -84,18 +83,24 @@ def known_absence(minutes: Column, status: Column) -> Column:
     return (minutes <= 0) & (status != "") & ~F.contains(status, F.lit("COACH"))
 
 
+def around_rare(x: Column) -> Column:
+    """The text in pieces: each character that decomposes into several letters is a piece of its own."""
+    rare = "[\u0080-\U0010ffff&&[" + "".join(SEVERAL) + "]]"  # ASCII fails the first test
+    return F.split(x, f"(?<={rare})|(?={rare})")
+
+
 def name_key(x: Column) -> Column:
     """Lower-case ASCII name with single spaces, for matching people across sources.
 
-    Built-in functions only. Characters that decompose into several letters, such as
-    ligatures, are rare: only names that hold one are taken apart letter by letter.
+    Built-in functions only. Texts of ASCII alone skip all but the last steps. Characters that decompose into several
+    letters, such as ligatures, are looked up in a map, whose search is linear: the text is cut around them first.
     """
     forms = F.create_map(*[F.lit(v) for pair in SEVERAL.items() for v in pair])
-    apart = F.array_join(F.transform(F.split(x, ""), lambda c: F.coalesce(F.try_element_at(forms, c), c)), "")
-    whole = F.when(F.rlike(x, F.lit("[" + "".join(SEVERAL) + "]")), apart).otherwise(x)
-    plain = F.lower(F.translate(whole, "".join(SINGLE), "".join(SINGLE.values())))
-    kept = F.regexp_replace(plain, "[^a-z0-9 ]", "")
-    return F.trim(F.regexp_replace(kept, " +", " "))
+    apart = F.array_join(F.transform(around_rare(x), lambda c: F.when(F.length(c) > 1, c).otherwise(F.coalesce(F.try_element_at(forms, c), c))), "")
+    whole = F.when(F.length(F.translate(x, "".join(SEVERAL), "")) < F.length(x), apart).otherwise(x)
+    plain = F.when(F.rlike(x, F.lit("[^\\x00-\\x7F]")), F.translate(whole, "".join(SINGLE), "".join(SINGLE.values()))).otherwise(x)
+    kept = F.regexp_replace(F.lower(plain), "[^a-z0-9 ]+", "")
+    return F.trim(F.regexp_replace(kept, "  +", " "))
 
 
 def name_key_full(x: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 from pyspark.sql import functions as F
 
 from lagwise.functions import market
@@ -10,6 +12,7 @@ from lagwise.plans.adapters import MODEL_BETS
 from lagwise.plans.catalog.common import r6
 from lagwise.plans.catalog.ledgers import DAILY, SUMMARY, daily_regimes, model_summary
 from lagwise.plans.registry import query
+from lagwise.session import stored
 
 # Digits that keep sums of short decimals away from rounding ties.
 FINE = 11
@@ -178,6 +181,11 @@ def kpi_report(s):
 NEEDED = ("model", "game_id", "pnl", "edge", "kelly")
 
 
+def bets_once(s):
+    """The model bets of ``s``, worked out once and stored: a report reads them for each of its parts."""
+    return SimpleNamespace(model_bets=stored(s.model_bets.drop("home", "away", "season", "fold", "win_prob", "sigma_ensemble")))
+
+
 def metric_table(s):
     """All figures of a run, in long form: portfolio, outcomes, market, time, regime, calibration, quality, features."""
     b, m = bets(s), model_summary(s)
@@ -185,7 +193,7 @@ def metric_table(s):
     months = b.groupBy("month").agg(F.sum("pnl").alias("p"))
     days = daily_regimes(s).groupBy("vol_bucket").agg(F.avg("daily_pnl").alias("a"))
     best = m.agg(F.max_by("model", F.struct("roi", "model")).alias("model"))
-    own = ranking.equal_count_bins(b.join(F.broadcast(best), "model"), ["model"], F.round(F.abs("edge"), 9), ["game_id"], 10, "edge_decile", "D")  # one row
+    own = ranking.equal_count_bins(b.select("model", "game_id", "edge", "pnl").join(F.broadcast(best), "model"), ["model"], F.round(F.abs("edge"), 9), ["game_id"], 10, "edge_decile", "D")  # one row
     deciles = own.groupBy("edge_decile").agg(F.avg("pnl").alias("a"))
     of = lambda bucket: F.max(F.when(F.col("vol_bucket") == bucket, F.col("a")))
     low, high = (lambda name, v: (F.min(v), F.min_by(name, F.struct(v, name)))), (lambda name, v: (F.max(v), F.max_by(name, F.struct(v, name))))
@@ -240,12 +248,12 @@ FOUND = METRIC_SQL + ",\nfd AS (" + " UNION ALL ".join(
 
 @query("metric_table", "A-28", f"WITH {METRIC_SQL} SELECT category, metric, round(value, 7) AS value, label FROM mt")
 def metric_table_query(s):
-    return metric_table(s).withColumn("value", F.round("value", 7))
+    return metric_table(bets_once(s)).withColumn("value", F.round("value", 7))
 
 
 @query("rule_findings", "A-29", f"WITH {FOUND} SELECT area, finding, metric, round(value, 7) AS value, label, severity FROM fd")
 def rule_findings_query(s):
-    return rule_findings(s).withColumn("value", F.round("value", 7))
+    return rule_findings(bets_once(s)).withColumn("value", F.round("value", 7))
 
 
 @query(
@@ -254,6 +262,7 @@ def rule_findings_query(s):
 SELECT high_count, medium_count, round(r, 7) AS avg_roi, round(100 * r - 10 * high_count - 3 * medium_count, 5) AS score FROM c, a""",
 )
 def iteration_score(s):
+    s = bets_once(s)
     out = diagnostics.iteration_score(rule_findings(s), model_summary(s))
     return out.select("high_count", "medium_count", F.round("avg_roi", 7).alias("avg_roi"), F.round("score", 5).alias("score"))
 
@@ -267,6 +276,7 @@ SELECT sm.model, num_bets, round((ending - start) / start, 7) AS roi, round(gap,
 FROM sm LEFT JOIN ga ON ga.model = sm.model LEFT JOIN rm ON rm.model = sm.model LEFT JOIN vl ON vl.model = sm.model LEFT JOIN ti ON ti.model = sm.model""",
 )
 def model_statistics(s):
+    s = bets_once(s)
     summary = model_summary(s).select("model", "num_bets", "roi")
     out = diagnostics.model_statistics(summary, bets(s), s.model_bets, daily_regimes(s))
     return out.select("model", "num_bets", F.round("roi", 7).alias("roi"), *fine("home_away_pnl_gap", "tier_gap"), r6("rmse_mean").alias("rmse_mean"), F.round("vol_high_minus_low", 9).alias("vol_high_minus_low"))

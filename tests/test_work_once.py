@@ -5,14 +5,14 @@ from pyspark.sql import functions as F
 
 from lagwise.functions import market
 from lagwise.operators import nested
-from lagwise.plans.catalog import ledgers
+from lagwise.plans.catalog import ledgers, reports
 
 
 def optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_selected_bets_are_worked_out_once(spark):
+def counted_bets(spark):
     rows = [
         (m, g, dt.date(1995, 1, 1) + dt.timedelta(g // 4), g // 4, 1 + g // 40, "HOME" if g % 3 else "AWAY", "HOME" if g % 2 else "AWAY", "matched", 1.0 + g % 7, 0.002 + g % 5 / 1000)
         for m in ("m1", "m2") for g in range(80)
@@ -26,9 +26,25 @@ def test_selected_bets_are_worked_out_once(spark):
             yield b
 
     bets = spark.createDataFrame(rows, kind).mapInArrow(counted, kind).withColumns({"payout_home": F.lit(0.9), "payout_away": F.lit(0.8)})
+    return bets, seen, len(rows)
+
+
+def test_selected_bets_are_worked_out_once(spark):
+    bets, seen, n = counted_bets(spark)
     out = ledgers.ledger_summary(SimpleNamespace(model_bets=bets)).collect()
     assert {(r["model"], r["bets"]) for r in out} == {("m1", 60), ("m2", 60)}
-    assert seen.value == len(rows)
+    assert seen.value == n
+
+
+def test_reports_work_the_bets_out_once(spark):
+    more = {
+        "home": F.lit(1), "away": F.lit(2), "season": F.lit(1995), "win_prob": F.lit(0.5), "sigma_ensemble": F.lit(14.0), "home_margin": F.col("edge"),
+        "pred_ensemble": -F.col("edge"), "spread_signed": F.lit(-2.0), "ev_home": F.lit(0.1), "ev_away": F.lit(0.2), "pnl": F.col("kelly"),
+    }
+    for report, rows in ((reports.metric_table_query, 22), (reports.rule_findings_query, 10), (reports.iteration_score, 1), (reports.model_statistics, 2)):
+        bets, seen, n = counted_bets(spark)
+        assert len(report(SimpleNamespace(model_bets=bets.withColumns(more))).collect()) == rows
+        assert seen.value == n
 
 
 def test_probability_is_not_copied_into_columns_and_filters(spark):

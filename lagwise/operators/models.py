@@ -32,7 +32,11 @@ REGRESSORS: dict[str, Callable] = {
 
 
 #: Rows of a training window for one task of a fit; the many short jobs of a fit cost more than they gain on fewer.
+#: Also the most rows of a block of positions, so that a window's blocks can be dealt out evenly.
 FIT_ROWS = 50_000
+#: The same where that makes more than ``FEW_TASKS``: every task of the hundreds of passes has a fixed cost, whatever its rows.
+WIDE_ROWS = 250_000
+FEW_TASKS = 2
 
 
 @dataclass(frozen=True)
@@ -130,6 +134,16 @@ def imputed_vector(df: DataFrame, medians: dict[str, float], name: str) -> DataF
     return VectorAssembler(inputCols=names, outputCol=name).transform(wide).drop(*names)
 
 
+def fit_tasks(rows: int) -> int:
+    """Tasks of each pass of a fit over ``rows`` rows. The fits of all folds run side by side, so few tasks each keep all cores busy."""
+    return min(1 + rows // FIT_ROWS, max(FEW_TASKS, 1 + rows // WIDE_ROWS))
+
+
+def position_block(test_rows: int) -> int:
+    """Rows of a stored block: a quarter of a test block, at most the rows of one task."""
+    return max(1, min(test_rows // 4, FIT_ROWS))
+
+
 def fit_fold(table: DataFrame, spec: FoldSpec, medians: dict, block: int, models: Sequence[str], key: str, pool: ThreadPoolExecutor) -> list[DataFrame]:
     """Predictions of all models on one fold, with the out-of-sample sigma of the last fifth of training.
 
@@ -139,8 +153,9 @@ def fit_fold(table: DataFrame, spec: FoldSpec, medians: dict, block: int, models
     cut = early_end(spec)
     train = imputed_vector(between(table, spec.train_from, spec.test_from, block).where("label IS NOT NULL"), medians[spec.fold, "all"], "features")
     train = imputed_vector(train, medians[spec.fold, "early"], "__early").select("__pos", "label", "features", "__early")
-    train = train.coalesce(1 + (spec.test_from - spec.train_from) // FIT_ROWS).persist(StorageLevel.MEMORY_AND_DISK)
+    train = train.coalesce(fit_tasks(spec.test_from - spec.train_from)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        train.count()  # the fits start together; without it executors work out the same partitions several times
         test = imputed_vector(between(table, spec.test_from, spec.test_to, block), medians[spec.fold, "all"], "features")
         early = train.where(F.col("__pos") < cut).select("label", F.col("__early").alias("features"))
         late = train.where(F.col("__pos") >= cut).select("label", F.col("__early").alias("features"))
@@ -185,7 +200,7 @@ def walk_forward(
         specs.append(FoldSpec(specs[-1].fold + 1, first, total, total + slate.count()))
         unknown = slate.withColumn("home_margin", F.lit(None).cast(dict(rows.dtypes)["home_margin"]))
         rows = rows.unionByName(unknown.select(rows.columns))
-    block = max(1, test_rows // 4)
+    block = position_block(test_rows)
     table = by_position(_placed(rows, day, key), block)
     windows = [w for s in specs for w in ((s.fold, "all", s.train_from, s.test_from), (s.fold, "early", s.train_from, early_end(s)))]
     medians = window_medians(table, windows, features)

@@ -9,6 +9,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 
 from lagwise.operators.calibration import probit_probability
 from lagwise.operators.folds import causal_weights, ensemble, fold_calendar
-from lagwise.operators.timeline import RANGE, Timeline, in_ranges, positions
-from lagwise.session import cut_lineage, shared_folder
+from lagwise.operators.timeline import RANGE, Timeline, cum_count, cum_sum, in_ranges, positions, running
+from lagwise.session import cut_lineage, shared_folder, stored
 
 # Model id -> estimator factory. All learn from a "features" vector and a "label".
 REGRESSORS: dict[str, Callable] = {
@@ -114,16 +115,45 @@ def between(table: DataFrame, first: int, end: int, block: int) -> DataFrame:
     return table.where(blocks & (F.col("__pos") >= first) & (F.col("__pos") < end))
 
 
-def window_medians(table: DataFrame, windows: Sequence[tuple[int, str, int, int]], features: Sequence[str]) -> dict[tuple[int, str], dict[str, float]]:
-    """Per (fold, part) the median of each feature that has a value there, for all windows from one aggregate.
+def window_values(
+    table: DataFrame, windows: Sequence[tuple[int, str, int, int]], features: Sequence[str], bins: int = 1,
+) -> tuple[dict[tuple[int, str], dict[str, float]], dict[tuple[int, str], dict[str, np.ndarray]]]:
+    """Per (fold, part) the median of each feature that has a value there, and inner edges of its ``bins`` bins.
 
-    ``windows``: (fold, part, first position, end). Medians are elements of the data, by sketches of 1e-6 accuracy.
+    ``windows``: (fold, part, first position, end). Both are exact and elements of the data. Rows are counted by value and
+    stretch between ends of windows, so a task holds counts and no sketches; the driver gets at most ``bins`` values per
+    window and feature. A feature of at most ``bins`` values has an edge at each but the largest.
     """
-    marks = F.array(*[F.struct(F.lit(f).alias("f"), F.lit(p).alias("p"), F.lit(a).alias("a"), F.lit(z).alias("z")) for f, p, a, z in windows])
-    inside = F.filter(marks, lambda w: (F.col("__pos") >= w["a"]) & (F.col("__pos") < w["z"]))
-    rows = table.where("label IS NOT NULL").select(F.explode(inside).alias("w"), *features)
-    found = rows.groupBy("w.f", "w.p").agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, 1_000_000).alias(c) for c in features]).collect()
-    return {(r["f"], r["p"]): {c: float(r[c]) for c in features if r[c] is not None} for r in found}
+    ends = sorted({x for _, _, a, z in windows for x in (a, z)})
+    stretch = sum(((F.col("__pos") >= e).cast("int") for e in ends), F.lit(0))
+    values = F.array(*[F.struct(F.lit(i).alias("f"), F.nanvl(F.col(c).cast("double"), F.lit(None)).alias("v")) for i, c in enumerate(features)])
+    rows = table.where("label IS NOT NULL").select(stretch.alias("g"), F.explode(values).alias("c")).select("g", "c.f", "c.v").where("v IS NOT NULL")
+    marks = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(ends.index(a) + 1).alias("a"), F.lit(ends.index(z)).alias("z")) for w, (_, _, a, z) in enumerate(windows)])
+    inside = F.explode(F.filter(marks, lambda w: F.col("g").between(w["a"], w["z"])))
+    counted = rows.groupBy("g", "f", "v").agg(F.count(F.lit(1)).alias("n")).select(inside.alias("m"), "f", "v", "n")
+    counted = counted.groupBy(F.col("m.w").alias("w"), "f", "v").agg(F.sum("n").alias("n"))
+    line = Timeline(("w", "f"), ("v",), RANGE)
+    ranked = running(in_ranges(counted, line.keys, line.order), line, {"b": cum_sum(F.col("n"))}, overall={"t": cum_sum(F.col("n")), "d": cum_count()})
+    ranked = ranked.withColumn("b", F.coalesce("b", F.lit(0)))
+    middle = F.expr("b < (t + 1) div 2 AND (t + 1) div 2 <= b + n").alias("middle")
+    edge = F.expr(f"{bins} > 1 AND (d <= {bins} OR least((b + n) * {bins} div t, {bins - 1}) > b * {bins} div t)").alias("edge")
+    medians: dict = {}
+    found: dict = {}
+    few = {}
+    for r in ranked.select("w", "f", "v", "d", middle, edge).where("middle OR edge").collect():
+        at, name = windows[r["w"]][:2], features[r["f"]]
+        few[at, name] = r["d"] <= bins
+        if r["middle"]:
+            medians.setdefault(at, {})[name] = r["v"]
+        if r["edge"]:
+            found.setdefault((at, name), []).append(r["v"])
+    medians = {at: {c: m[c] for c in features if c in m} for at, m in medians.items()}
+    edges = {at: {c: np.array(sorted(found.get((at, c), []))[: -1 if few[at, c] else None]) for c in m} for at, m in medians.items()}
+    return medians, edges
+
+
+def window_medians(table: DataFrame, windows: Sequence[tuple[int, str, int, int]], features: Sequence[str]) -> dict[tuple[int, str], dict[str, float]]:
+    return window_values(table, windows, features)[0]
 
 
 def imputed_vector(df: DataFrame, medians: dict[str, float], name: str) -> DataFrame:
@@ -178,6 +208,24 @@ def early_end(spec: FoldSpec) -> int:
     return spec.train_from + int((spec.test_from - spec.train_from) * 0.8)
 
 
+def _walk_on_cells(
+    rows: DataFrame, day: str, key: str, features: Sequence[str], models: Sequence[str], specs: Sequence[FoldSpec], windows: Sequence[tuple[int, str, int, int]],
+) -> DataFrame | None:
+    """The walk on long windows, by ``cells``; None where rows are few, a model has no such fit or the grid would be large."""
+    from lagwise.operators import cells  # it imports the sweep, which imports this module
+
+    estimators = {m: REGRESSORS[m]() for m in models}
+    if max(z - a for _, _, a, z in windows) <= cells.CELL_ROWS or not all(cells.kind(e) for e in estimators.values()):
+        return None
+    narrow = rows.select(*dict.fromkeys([day, key, "home_margin", "spread_signed", *features]))
+    label = F.nanvl((F.col("home_margin") + F.col("spread_signed")).cast("double"), F.lit(None))
+    table = stored(cells.placed_by_day(narrow, day, key, [early_end(s) for s in specs]).withColumn("label", label))
+    medians, edges = window_values(table, windows, features, cells.BINS)
+    if any(w[:2] not in medians for w in windows) or max(map(cells.grid_size, edges.values())) > cells.MOST_CELLS:
+        return None
+    return cells.cell_walk(table, specs, [early_end(s) for s in specs], medians, edges, estimators, key)
+
+
 def walk_forward(
     rows: DataFrame, day: str, key: str, features: Sequence[str], models: Sequence[str], train_rows: int, test_rows: int, workers: int = 4,
     slate: DataFrame | None = None,
@@ -187,7 +235,8 @@ def walk_forward(
     ``rows`` needs home_margin and spread_signed. A ``slate`` of coming rows, all later than ``rows``, is one more fold,
     trained on the newest window, so that weights and calibrations of earlier folds reach it like any other. Rows are
     stored by position once; counts and medians of all windows come from one pass. Folds are independent: their jobs
-    are submitted from a few driver threads so that the cluster overlaps them. Predictions are materialised.
+    are submitted from a few driver threads so that the cluster overlaps them. Windows of more than ``cells.CELL_ROWS``
+    rows are fitted from sums per cell instead, for all folds together. Predictions are materialised.
     """
     calendar = fold_calendar(rows, day, train_rows, test_rows)
     specs = fold_specs(calendar)
@@ -200,9 +249,12 @@ def walk_forward(
         specs.append(FoldSpec(specs[-1].fold + 1, first, total, total + slate.count()))
         unknown = slate.withColumn("home_margin", F.lit(None).cast(dict(rows.dtypes)["home_margin"]))
         rows = rows.unionByName(unknown.select(rows.columns))
+    windows = [w for s in specs for w in ((s.fold, "all", s.train_from, s.test_from), (s.fold, "early", s.train_from, early_end(s)))]
+    whole = _walk_on_cells(rows, day, key, features, models, specs, windows)
+    if whole is not None:
+        return whole, calendar
     block = position_block(test_rows)
     table = by_position(_placed(rows, day, key), block)
-    windows = [w for s in specs for w in ((s.fold, "all", s.train_from, s.test_from), (s.fold, "early", s.train_from, early_end(s)))]
     medians = window_medians(table, windows, features)
     with ThreadPoolExecutor(max_workers=workers) as pool, ThreadPoolExecutor(max_workers=2 * workers * len(models)) as fits:
         parts = [p for ps in pool.map(lambda s: fit_fold(table, s, medians, block, models, key, fits), specs) for p in ps]
@@ -219,7 +271,7 @@ def forecast_slate(
     too few rows). ``model_version`` names features, models and window sizes.
     """
     predictions, _ = walk_forward(history, day, key, features, models, train_rows, test_rows, slate=slate)
-    margins = predictions.select(key, "home_margin").distinct()
+    margins = predictions.where(F.col("model") == models[0]).select(key, "home_margin").distinct()  # every model has all rows
     both = cut_lineage(ensembled(predictions, key).join(margins, key))
     last = both.agg(F.max("fold")).first()[0]
     error = both.agg(F.stddev_samp(F.col("home_margin") - F.col("pred_ensemble")).alias("s")).first()["s"]

@@ -17,9 +17,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagwise.operators.audits import flag_outliers
-from lagwise.session import cut_lineage
+from lagwise.session import cut_lineage, stored
 
 BASE = "__base"
+#: Rows whose values a task counts at a time, and points that it keeps of them.
+POINTS_OF = 200_000
+POINTS = 10_000
 
 
 @dataclass(frozen=True)
@@ -80,14 +83,56 @@ def time_blocks(df: DataFrame, day: str, blocks: int, name: str = "__block") ->
     ordered = Window.orderBy(day)  # one row per calendar day
     before = F.coalesce(F.sum("__n").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     total = F.sum("__n").over(Window.partitionBy())
-    return df.join(days.select(day, F.floor(before * blocks / total).cast("int").alias(name)), day)
+    return df.join(F.broadcast(days.select(day, F.floor(before * blocks / total).cast("int").alias(name))), day)
 
 
 def bin_edges(df: DataFrame, columns: Sequence[str], bins: int) -> dict[str, np.ndarray]:
-    """Inner quantiles of each column, without repeats, from one aggregate: ``columns`` x ``bins`` numbers."""
-    cuts = [k / bins for k in range(1, bins)]
-    one = df.agg(*[F.percentile_approx(F.col(f"`{c}`").cast("double"), cuts, 10_000).alias(c) for c in columns]).first()
-    return {c: np.unique(np.array(one[c] or [], float)) for c in columns}
+    """Inner quantiles of each column, without repeats: ``columns`` x ``bins`` numbers, up to ``POINTS_OF`` rows from one aggregate.
+
+    Of more rows, a task counts the values of ``POINTS_OF`` rows at a time; more than ``POINTS`` are thinned to that many even ranks, so a
+    rank is off by 1 / (2 ``POINTS``) of the rows at most. Each column's points meet in a task of its own.
+    """
+    if df.count() <= POINTS_OF:
+        ranks = [k / bins for k in range(1, bins)]
+        one = df.agg(*[F.percentile_approx(F.col(f"`{c}`").cast("double"), ranks, 10_000).alias(c) for c in columns]).first()
+        return {c: np.unique(np.array(one[c] or [], float)) for c in columns}
+
+    def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+
+        def counted() -> pa.RecordBatch:
+            found = []
+            for i in range(len(columns)):
+                x = np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held])
+                v, n = np.unique(x[~np.isnan(x)], return_counts=True)
+                if len(v) > POINTS:
+                    ranks = np.linspace(0, n.sum(), POINTS + 1).astype(np.int64)
+                    middle = (ranks[:-1] + ranks[1:] + 1) // 2
+                    v, n = v[np.searchsorted(np.cumsum(n), middle)], np.diff(ranks)
+                found.append((i, v.tobytes(), n.astype(np.int64).tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), *[pa.array([f[k] for f in found], pa.binary()) for k in (1, 2)]], ["c", "v", "n"])
+
+        for b in batches:
+            held.append(b)
+            rows += b.num_rows
+            if rows >= POINTS_OF:
+                yield counted()
+                held, rows = [], 0
+        if rows:
+            yield counted()
+
+    def cuts(t: pa.Table) -> pa.Table:
+        v, n = (np.concatenate([np.frombuffer(x, kind) for x in t.column(c).to_pylist()]) for c, kind in (("v", np.float64), ("n", np.int64)))
+        order = np.argsort(v, kind="stable")
+        upto = np.cumsum(n[order])
+        total = int(upto[-1]) if len(upto) else 0
+        found = np.unique(v[order][np.searchsorted(upto, [-(-k * total // bins) for k in range(1, bins)])]) if total else np.zeros(0)
+        return pa.table({"c": pa.array([t.column("c")[0].as_py()], pa.int32()), "e": pa.array([found], pa.list_(pa.float64()))})
+
+    rows = df.select(*[F.col(f"`{c}`").cast("double").alias(f"f{i}") for i, c in enumerate(columns)])
+    found = rows.mapInArrow(points, "c int, v binary, n binary").groupBy("c").applyInArrow(cuts, "c int, e array<double>").collect()
+    edges = {r["c"]: np.array(r["e"], float) for r in found}
+    return {c: edges.get(i, np.zeros(0)) for i, c in enumerate(columns)}
 
 
 def grid_sums(rows: DataFrame, edges: dict[str, np.ndarray], features: Sequence[str], blocks: int, bins: int) -> DataFrame:
@@ -108,10 +153,11 @@ def grid_sums(rows: DataFrame, edges: dict[str, np.ndarray], features: Sequence[
         flat = sums.reshape(3, shape[0], -1)
         for b in batches:
             y = b.column(1).to_numpy()
+            squares = y * y
             at = (b.column(0).to_numpy().astype(np.int64) * shape[2] + numbered(b.column(2), edges[BASE])) * shape[3]
             for i in range(shape[0]):
                 cell = at + numbered(b.column(3 + i), edges[features[i]]) if i < len(features) else at
-                for k, w in enumerate((np.ones(len(y)), y, y * y)):
+                for k, w in enumerate((None, y, squares)):
                     flat[k, i] += np.bincount(cell, w, flat.shape[2])
         f, block, base, bin_ = np.nonzero(sums[0])
         if len(f):
@@ -175,7 +221,7 @@ def tree_leak_screen(
         F.col(day).alias("__day"), target.cast("double").alias("__y"), base.cast("double").alias(BASE),
         *[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)).alias(c) for c in features],
     ).where(F.col("__y").isNotNull() & F.col(BASE).isNotNull() & F.col("__day").isNotNull())
-    rows = cut_lineage(time_blocks(rows, "__day", blocks))
+    rows = time_blocks(stored(rows), "__day", blocks)  # in columns, most of which have few values; the days are counted on one of them
     edges = bin_edges(rows, [BASE, *features], trees.bins)
     cells = grid_sums(rows, edges, features, blocks, trees.bins)
     scored = cut_lineage(out_of_fold(cells, blocks, train_blocks, trees, least_known))

@@ -97,3 +97,17 @@ def test_edges_and_empty(spark):
     assert screen.tree_leak_screen(df.limit(0), F.abs("m"), F.abs("line"), ["n1"], "day").collect() == []
     few = screen.tree_leak_screen(df, F.abs("m"), F.abs("line"), ["n1"], "day").collect()
     assert [(r.d_r2, r.flagged) for r in few] == [(None, False)]
+
+
+def test_edges_of_many_rows_come_from_points(spark, monkeypatch):
+    df = table(spark, 3000).withColumn("few", F.col("id") % 3).repartition(3)
+    columns = ["folded", "n1", "n4", "few", "empty", "broken"]
+    plain = screen.bin_edges(df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in columns]), columns, 8)
+    monkeypatch.setattr(screen, "POINTS_OF", 400)  # no task sees more at once, and no aggregate holds a sketch of all columns
+    monkeypatch.setattr(F, "percentile_approx", None)
+    exact = screen.bin_edges(df, columns, 8)
+    assert all(list(exact[c]) == list(plain[c]) for c in columns) and len(exact["n1"]) == 7 and len(exact["empty"]) == len(exact["broken"]) == 0
+    monkeypatch.setattr(screen, "POINTS", 50)
+    values = sorted(r.n1 for r in df.select("n1").collect() if r.n1 is not None)
+    for k, e in enumerate(screen.bin_edges(df, ["n1"], 8)["n1"], 1):
+        assert abs(values.index(e) / len(values) - k / 8) <= 0.5 / 50 + 1 / len(values)
